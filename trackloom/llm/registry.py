@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from trackloom.llm import packing
+from trackloom.llm import bpe, exact_dedup, packing
 
 QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_bpe_chunk_reuse": bpe.op7_bpe_chunk_reuse,
+}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": exact_dedup.ORACLE,
 }
-ORACLES: dict[str, str] = {}

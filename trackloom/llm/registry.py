@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from trackloom.llm import bpe, exact_dedup, packing
+from trackloom.llm import bpe, exact_dedup, jaccard_join, packing
 
 QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
     "op7_bpe_chunk_reuse": bpe.op7_bpe_chunk_reuse,
 }
 ORACLES: dict[str, str] = {

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,57 @@ def crc_remainder(column: Column | str, modulus: int) -> Column:
     """crc32 of a value's text, modulo `modulus`; null stays null."""
     c = F.col(column) if isinstance(column, str) else column
     return F.crc32(c.cast("string").cast("binary")) % F.lit(modulus)
+
+
+def arrow_rows(rows: Iterator[tuple], kinds: dict[str, pa.DataType], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Record batches of about `most` bytes from tuples in the order of `kinds`."""
+    held: list[tuple] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        columns = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    for row in rows:
+        held.append(row)
+        size += 24 + sum(len(x) for x in row if isinstance(x, (bytes, str)))
+        if size >= most:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def kind_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of every node of the undirected table (a, b): label is the smallest node reachable.
+
+    Alternates the large-star and small-star steps, each round staged, until a round changes nothing.
+    """
+
+    def both(e: DataFrame) -> DataFrame:
+        return e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
+
+    def star(e: DataFrame, large: bool) -> DataFrame:
+        near = both(e) if large else e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        low = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        met = near.join(low, "u")
+        if large:
+            return met.where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        return met.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.where("u <> m").select("u", "m")).distinct()
+
+    def mark(e: DataFrame):
+        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = mark(now)
+    while before[0]:
+        now = staged(star(star(now, True), False), "edges")
+        after = mark(now)
+        if after == before:
+            break
+        before = after
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b").distinct())

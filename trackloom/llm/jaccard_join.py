@@ -26,7 +26,8 @@ from pyspark.sql.window import Window
 from trackloom.llm import shared
 
 WIDTH, PERCENT = 5, 75
-SKETCH_BITS, BLOCK_BITS, LIGHT = 23, 16, 8
+SKETCH_BITS, BLOCK_BITS, LIGHT = 24, 16, 4
+LARGE, ROUNDS = 32, 2
 _BLOCK_BYTES = 1 << 20
 _RNG = np.random.default_rng(51_966)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -173,7 +174,7 @@ def sketch(texts: DataFrame, width: int = WIDTH, bits: int = SKETCH_BITS) -> np.
 def frequent(levels: np.ndarray, light: int = LIGHT) -> np.ndarray:
     """Buckets well above the mean load: those hold shingles of more than about `light` texts."""
     mean = float((2.0 ** (levels.astype(np.float32) / 4) - 1).mean())
-    return levels >= 4 * np.log2(mean + 6 * mean**0.5 + light + 1)
+    return levels >= 4 * np.log2(mean + 3 * mean**0.5 + light + 1)
 
 
 def prefix(tokens: np.ndarray, heavy: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -319,12 +320,23 @@ def _sizes_fit(n: str, m: str, percent: int) -> Column:
     return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
 
 
+def _open(sets: DataFrame, met: DataFrame, labels: DataFrame, on_token) -> tuple[DataFrame, DataFrame]:
+    """The sets with their labels, and the rows of tokens whose groups have more than one; a group of several labels has a null one."""
+    named = sets.select("gid", "set_key", F.col("n_shingles").alias("n")).join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    named = shared.staged(named, "named")
+    group_label = named.groupBy("gid").agg(F.min("label").alias("one"), F.max("label").alias("two"))
+    group_label = group_label.select("gid", F.when(F.col("one") == F.col("two"), F.col("one")).alias("label"))
+    rows = met.select("token", "pos", "gid", "n").join(group_label, "gid")
+    several = F.max(F.col("label").isNull()).over(on_token) | (F.min("label").over(on_token) != F.max("label").over(on_token))
+    return named, shared.staged(rows.withColumn("open", several).where("open").drop("open"), "open")
+
+
 def set_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The staged rows of `shapes`, and (node, label) of the sets that link with another set."""
     texts = docs.select("text")
     rows = shared.staged(shapes(docs, width, percent), "shapes")
     on_token = Window.partitionBy("token")
-    spread = rows.where("prefix is not null").select(F.explode("prefix").alias("token"), "gid", F.col("n_shingles").alias("n"))
+    spread = rows.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "gid", F.col("n_shingles").alias("n"))
     met = spread.withColumns({"lo": F.min("gid").over(on_token), "hi": F.max("gid").over(on_token)}).where("lo <> hi").distinct()
     met = shared.staged(met, "met")
     # groups that matter: those that meet another one, and those of more than one set
@@ -342,18 +354,26 @@ def set_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     edges = shared.staged(verify(chosen.union(inside).distinct(), sets, texts, width, percent), "links")
     labels = shared.staged(shared.components(edges), "labels")
 
+    # tokens that many groups still hold under different labels: compared with a pivot of the token's own, again and again
+    for turn in range(ROUNDS):
+        named, open_tokens = _open(sets, met, labels, on_token)
+        at = F.xxhash64("gid", "token", F.lit(turn))
+        large = open_tokens.withColumns({"c": F.count("*").over(on_token), "p": F.min(F.struct(at.alias("h"), "gid", "label", "n")).over(on_token)}).where(f"c >= {LARGE} and p.gid <> gid and (p.label is null or label is null or p.label <> label)")
+        asked = large.where(_sizes_fit("n", "p.n", percent)).select(F.col("p.gid").alias("p"), "gid").distinct()
+        asked = asked.join(reps.select(F.col("gid").alias("p"), F.col("rep").alias("a")), "p").join(reps.select("gid", F.col("rep").alias("b")), "gid").select("a", "b")
+        asked = shared.staged(asked, "asked")
+        if asked.isEmpty():
+            break
+        edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(verify(asked, sets, texts, width, percent))
+        labels = shared.staged(shared.components(edges), "labels")
+
     # every pair of groups of different components
-    named = sets.select("gid", "set_key", F.col("n_shingles").alias("n")).join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
-    named = shared.staged(named, "named")
-    group_label = named.groupBy("gid").agg(F.min("label").alias("one"), F.max("label").alias("two"), F.min("n").alias("n"))
-    group_label = group_label.select("gid", "n", F.when(F.col("one") == F.col("two"), F.col("one")).alias("label"))
-    open_tokens = met.select("token", "gid").join(group_label, "gid")
-    mixed = F.max(F.col("label").isNull()).over(on_token)
-    open_tokens = open_tokens.withColumn("open", mixed | (F.min("label").over(on_token) != F.max("label").over(on_token))).where("open").drop("open")
-    open_tokens = shared.staged(open_tokens, "open")
-    x, y = (open_tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "label"))) for s in "xy")
+    named, open_tokens = _open(sets, met, labels, on_token)
+    x, y = (open_tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("pos", "gid", "n", "label"))) for s in "xy")
     differ = F.col("label_x").isNull() | F.col("label_y").isNull() | (F.col("label_x") != F.col("label_y"))
-    met_pairs = x.join(y, (x.token == y.token) & (F.col("gid_x") < F.col("gid_y")) & _sizes_fit("n_x", "n_y", percent) & differ)
+    # at their first common token two sets that link have enough of both left
+    left = (100 + percent) * F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= percent * (F.col("n_x") + F.col("n_y"))
+    met_pairs = x.join(y, (x.token == y.token) & (F.col("gid_x") < F.col("gid_y")) & _sizes_fit("n_x", "n_y", percent) & left & differ)
     met_pairs = met_pairs.select("gid_x", "gid_y").distinct()
     group_pairs = met_pairs.union(several.select("gid", F.col("gid")))
     p, q = (named.select(*(F.col(c).alias(f"{c}_{s}") for c in ("gid", "set_key", "label"))) for s in "xy")

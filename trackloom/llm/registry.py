@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from trackloom.llm import bpe, exact_dedup, jaccard_join, packing
+from trackloom.llm import bpe, exact_dedup, jaccard_join, language_gru, packing, quality_conv
 
 QUERIES = {
+    "op3_language_gru": language_gru.op3_language_gru,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
     "op7_bpe_chunk_reuse": bpe.op7_bpe_chunk_reuse,
+    "op8_quality_conv": quality_conv.op8_quality_conv,
 }
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE,

@@ -1,8 +1,42 @@
-"""Corpus pipeline: stages that each write Parquet and hand it on."""
+"""Corpus pipeline: quality classifier, exact dedup, near-duplicate join, PII surrogates, packing.
 
-STAGES: list = []
+Each stage works on all rows its predecessor kept, is written as Parquet into the shared folder and read again. All
+but the last return the columns of `documents`; the last returns the packed pieces with their ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from trackloom.llm import exact_dedup, jaccard_join, packing, pii, quality_conv, shared
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_conv.keep_good(docs, shared.table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.deduplicate(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, keep_ids=True)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("pii", private), ("packing", pack)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = shared.staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -188,7 +188,8 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     left = entities.withColumn("attempt", F.lit(0))
     taken = None
     for _ in range(MOST_ROUNDS):
-        drawn = shared.staged(left.withColumn("surrogate", surrogate(key)), "drawn")
+        dealt = left.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "value")
+        drawn = shared.staged(dealt.withColumn("surrogate", surrogate(key)), "drawn")
         used = entities.select("kind", F.col("value").alias("surrogate"))
         if taken is not None:
             used = used.union(taken.select("kind", "surrogate"))

@@ -11,7 +11,7 @@ import json
 import re
 from array import array
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 _LOADED: dict[str, "WordEncoder"] = {}
 
 
@@ -36,16 +36,20 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Cache(dict):
-    """word -> ids as little-endian unsigned 32-bit integers; emptied when full."""
+    """word -> ids as little-endian unsigned 32-bit integers. When full it becomes the older generation, whose words come back as they are met."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        ids = self[word] = self.make(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.make(word)
+        self[word] = ids
         return ids
 
 
@@ -73,9 +77,12 @@ class WordEncoder:
         self._odd = re.compile("[\x1c-\x1f]")
 
     def _part(self, part: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():  # one part, and no special token is all letters
+            return self.parts[word.lower()]
         if word.isprintable() and max(word) < "ƀ" and not any(s in word for s in self.specials):  # below U+0300 NFC changes nothing
             return b"".join(map(self.parts.__getitem__, self.pattern.findall(word.lower())))
         return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()

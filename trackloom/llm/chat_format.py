@@ -57,7 +57,7 @@ def flattened(parts: Column) -> Column:
     kinds = F.transform(parts, lambda p: F.coalesce(p["kind"], F.lit("text")))
 
     def visit(part: Column, i: Column) -> Column:
-        number = F.size(F.filter(F.slice(kinds, F.lit(1), i), lambda k: k != "text"))
+        number = F.size(F.filter(F.slice(kinds, F.lit(1), i + 1), lambda k: k != "text"))
         mark = F.concat(F.lit("<"), part["kind"], F.lit(":"), number.cast("string"), F.lit(">"))
         return F.when(part["kind"].isin("image", "audio", "document"), mark).otherwise(escaped(F.coalesce(part["text"], F.lit(""))))
 

@@ -23,7 +23,7 @@ from trackloom.llm import byte_models, shared
 CHUNK, STRIDE, EMBED, KERNEL, STEP, FILTERS = 512, 480, 6, 8, 4, 12
 LAGS, LAG_BLOCK, LAG_FILTERS = 24, 8, 6
 #: bounds of the training sample: rows a label, windows a row
-PER_LABEL, WINDOWS, EPOCHS = 1500, 3, 8
+PER_LABEL, WINDOWS, EPOCHS, LEAST_STEPS = 1500, 3, 8, 360
 THRESHOLD, HELD_MODULUS, HELD_REMAINDER = 0.7, 4, 2
 
 
@@ -103,13 +103,14 @@ def fit(sample: list[tuple[int, list[str]]], epochs: int = EPOCHS, seed: int = 8
     if ones in (0, len(sample)):
         return ones / len(sample) if sample else 1.0
     r, net = np.random.default_rng(seed), ConvNet(seed)
-    # whole chunks, as the score sees them, and the longer windows' own later chunks
     matrix, _ = byte_models.window_matrix([w for _, ws in sample for w in ws], CHUNK)
     doc = np.repeat(np.arange(len(sample)), [len(ws) for _, ws in sample])
     y = np.array([y for y, _ in sample], np.float32)
     firsts = np.searchsorted(doc, np.arange(len(sample) + 1))
     adam, size = byte_models.Adam(net.params, 0.01), 64
-    steps = epochs * -(-len(sample) // size)
+    a_pass = -(-len(sample) // size)
+    epochs = max(epochs, -(-LEAST_STEPS // a_pass))
+    steps = epochs * a_pass
     for epoch in range(epochs):
         order = r.permutation(len(sample))
         for at in range(0, len(order), size):

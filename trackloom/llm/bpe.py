@@ -76,7 +76,8 @@ def _last_words(text: str, count: int) -> int:
     """Where the last `count` white-space separated words of the text begin."""
     at = len(text)
     for _ in range(count):
-        at = len(text[:at].rstrip())
+        while at and text[at - 1].isspace():
+            at -= 1
         while at and not text[at - 1].isspace():
             at -= 1
     return at

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from trackloom.llm import shared, tokenizer
 
 MASK_BITS, LEAST_BYTES, MOST_BYTES = 10, 256, 8192
+CACHE_WORDS = 100_000
 _GEAR = np.random.default_rng(20_240_229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -140,6 +141,14 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, str]]:
                 yield key, text
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[tuple]:
+    """The batches' rows as Python values, converted about `most` bytes at a time."""
+    for batch in batches:
+        step = max(1, len(batch) * most // max(most, batch.nbytes))
+        for at in range(0, len(batch), step):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, step).columns), strict=True)
+
+
 def _flushed(rows: Iterator[tuple], kinds: dict[str, pa.DataType], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Record batches of about `most` bytes."""
     held: list[tuple] = []
@@ -193,24 +202,25 @@ def encode_texts(texts: DataFrame, tokenizer_path: str, keep_ids: bool = False)
         """Texts that share nothing are encoded and done; owners of shared chunks encode those; others wait."""
         import zstandard
 
-        encoder, unpack = tokenizer.loaded(tokenizer_path), zstandard.ZstdDecompressor()
+        encoder, unpack = tokenizer.loaded(tokenizer_path, CACHE_WORDS), zstandard.ZstdDecompressor()
 
         def rows():
             seen: set[bytes] = set()
-            for batch in batches:
-                for key, packed, mine in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    if key in seen:
-                        continue
-                    seen.add(key)
-                    text = unpack.decompress(packed)
-                    if not mine:
-                        yield result(encoder, key, encoder.encode_bytes(text.decode()))
-                        continue
-                    yield 2, key, packed, None, None, None
-                    parts = chunks(text)
-                    for role in mine:
-                        if role["owned"]:
-                            yield 1, role["chunk_key"], encoder.encode_bytes(parts[role["pos"]].decode()), None, None, None
+            for key, packed, mine in _unpacked(batches):
+                if key in seen:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(key)
+                text = unpack.decompress(packed)
+                if not mine:
+                    yield result(encoder, key, encoder.encode_bytes(text.decode()))
+                    continue
+                yield 2, key, packed, None, None, None
+                parts = chunks(text)
+                for role in mine:
+                    if role["owned"]:
+                        yield 1, role["chunk_key"], encoder.encode_bytes(parts[role["pos"]].decode()), None, None, None
 
         yield from _flushed(rows(), kinds)
 
@@ -218,14 +228,13 @@ def encode_texts(texts: DataFrame, tokenizer_path: str, keep_ids: bool = False)
         """The waiting texts: shared chunks come with ids, the others are encoded here, the joins are stitched."""
         import zstandard
 
-        encoder, unpack = tokenizer.loaded(tokenizer_path), zstandard.ZstdDecompressor()
+        encoder, unpack = tokenizer.loaded(tokenizer_path, CACHE_WORDS), zstandard.ZstdDecompressor()
 
         def rows():
-            for batch in batches:
-                for key, packed, given in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    known = {g["pos"]: g["data"] for g in given or ()}
-                    parts = [c.decode() for c in chunks(unpack.decompress(packed))]
-                    yield result(encoder, key, stitch([(c, known[i] if i in known else encoder.encode_bytes(c)) for i, c in enumerate(parts)], encoder.encode_bytes))
+            for key, packed, given in _unpacked(batches):
+                known = {g["pos"]: g["data"] for g in given or ()}
+                parts = [c.decode() for c in chunks(unpack.decompress(packed))]
+                yield result(encoder, key, stitch([(c, known[i] if i in known else encoder.encode_bytes(c)) for i, c in enumerate(parts)], encoder.encode_bytes))
 
         yield from _flushed(rows(), kinds)
 

@@ -12,7 +12,7 @@ import re
 from array import array
 
 CACHE_WORDS = 200_000
-_LOADED: dict[str, "WordEncoder"] = {}
+_LOADED: dict[tuple[str, int], "WordEncoder"] = {}
 
 
 def default_path() -> str:
@@ -21,11 +21,12 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def loaded(path: str) -> "WordEncoder":
-    """One encoder a worker process and file; its cache outlives a task."""
-    if path not in _LOADED:
-        _LOADED[path] = WordEncoder(path)
-    return _LOADED[path]
+def loaded(path: str, cache_words: int = CACHE_WORDS) -> "WordEncoder":
+    """One encoder a worker process, file and cache size; its cache outlives a task."""
+    key = path, cache_words
+    if key not in _LOADED:
+        _LOADED[key] = WordEncoder(path, cache_words)
+    return _LOADED[key]
 
 
 def _byte_letters() -> dict[int, str]:

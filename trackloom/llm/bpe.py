@@ -187,12 +187,13 @@ def _packed(texts: DataFrame) -> DataFrame:
 
 def encode_texts(texts: DataFrame, tokenizer_path: str, keep_ids: bool = False) -> DataFrame:
     """(text_key, n_tokens, ids_sha256, decoded_sha256[, ids]) of each different text in the one-column table `texts`."""
-    # both sides of a join by a hot key are read from tables, so that adaptive execution can split that key
+    # both sides of a join by a hot key are read from tables, so that adaptive execution can split that key; all of
+    # them grow with the corpus, so none is broadcast at any size
     table = shared.staged(chunk_table(texts), "chunk_table")
     place = F.struct("text_key", "pos")
     owners = table.groupBy("chunk_key").agg(F.min(place).alias("owner"), F.max("text_key").alias("last")).where("owner.text_key <> last")
     held = shared.staged(owners.select("chunk_key", "owner"), "chunk_owners")
-    shared_chunks = shared.staged(table.join(held, "chunk_key").select("text_key", "pos", "chunk_key", (F.col("owner") == place).alias("owned")), "chunks")
+    shared_chunks = shared.staged(table.hint("merge").join(held, "chunk_key").select("text_key", "pos", "chunk_key", (F.col("owner") == place).alias("owned")), "chunks")
     roles = shared_chunks.groupBy("text_key").agg(F.collect_set(F.struct("pos", "chunk_key", "owned")).alias("roles"))
     kinds = {"kind": pa.int8(), "key": pa.binary(), "data": pa.binary(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
@@ -241,10 +242,10 @@ def encode_texts(texts: DataFrame, tokenizer_path: str, keep_ids: bool = False)
         yield from _flushed(rows(), kinds)
 
     schema = "kind byte, key binary, data binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    step = shared.staged(_packed(texts).join(roles, "text_key", "left").select("text_key", "packed", "roles").mapInArrow(first, schema), "encoded")
+    step = shared.staged(_packed(texts).hint("merge").join(roles, "text_key", "left").select("text_key", "packed", "roles").mapInArrow(first, schema), "encoded")
     ids_of = shared.staged(step.where("kind = 1").select(F.col("key").alias("chunk_key"), "data").dropDuplicates(["chunk_key"]), "chunk_ids")
-    given = shared_chunks.select("text_key", "pos", "chunk_key").distinct().join(ids_of, "chunk_key").groupBy("text_key").agg(F.collect_list(F.struct("pos", "data")).alias("given"))
-    waiting = step.where("kind = 2").select(F.col("key").alias("text_key"), "data").join(given, "text_key", "left").select("text_key", "data", "given").mapInArrow(second, schema)
+    given = shared_chunks.select("text_key", "pos", "chunk_key").distinct().hint("merge").join(ids_of, "chunk_key").groupBy("text_key").agg(F.collect_list(F.struct("pos", "data")).alias("given"))
+    waiting = step.where("kind = 2").select(F.col("key").alias("text_key"), "data").hint("merge").join(given, "text_key", "left").select("text_key", "data", "given").mapInArrow(second, schema)
     columns = [F.col("key").alias("text_key"), "n_tokens", "ids_sha256", "decoded_sha256", *(["data"] if keep_ids else [])]
     done = step.where("kind = 0").select(*columns).unionByName(waiting.select(*columns)).dropDuplicates(["text_key"])
     return done.withColumnRenamed("data", "ids") if keep_ids else done
@@ -254,4 +255,4 @@ def op7_bpe_chunk_reuse(spark: SparkSession, sf_dir: str, tokenizer_path: str |
     docs = shared.table(spark, sf_dir, "documents")
     done = shared.staged(encode_texts(docs.select("text"), tokenizer_path or tokenizer.default_path()), "encoded_texts")
     rows = docs.select("doc_id", _text_key(F.col("text")).alias("text_key"))
-    return rows.join(done, "text_key").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return rows.hint("merge").join(done, "text_key").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

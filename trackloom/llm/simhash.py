@@ -163,7 +163,8 @@ def within(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks:
     for i, m in reversed(list(enumerate(masks))):
         first = F.when(apart.bitwiseAND(F.lit(m)) == 0, i).otherwise(first)
     a, b = keyed(queries, "q").alias("a"), keyed(prints, "p").alias("b")
-    met = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.bit_count(apart) <= radius) & (first == F.col("a.t")))
+    # a table is many times its fingerprints' size, which Spark's estimate leaves out: so never broadcast
+    met = a.hint("merge").join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.bit_count(apart) <= radius) & (first == F.col("a.t")))
     return met.select("q", "p", F.bit_count(apart).alias("distance"))
 
 

@@ -127,6 +127,20 @@ def test_simhash(spark, odd, empty):
     assert sorted(map(tuple, simhash.within(df, df.withColumnRenamed("p", "q")).select("q", "p", "distance").collect())) == wanted
 
 
+def test_simhash_gives_the_near_rows(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(simhash, "HOT_KEY", 5)
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(3)]
+    made = [b ^ sum(1 << i for i in r.sample(range(64), k)) for b in base for k in (0, 1, 3, 4, 8, 10, 11, 11, 11, 12, 13) for _ in range(4)] + base
+    made += [base[0] ^ sum(1 << i for i in bits) for bits in ([0, 1, 2, 16, 17, 18, 32, 33, 34, 48, 49], range(11), range(53, 64), range(0, 64, 6))]
+    df = spark.createDataFrame([(i, f"{m:016x}") for i, m in enumerate(made)], "doc_id long, fingerprint string")
+    got = {x.fingerprint: [tuple(n) for n in x.near] for x in simhash.near_rows(df, F.col("doc_id") % 2 == 0).collect()}
+    wanted = {f"{a:016x}": sorted(((a ^ b).bit_count(), j) for j, b in enumerate(made) if (a ^ b).bit_count() <= 11) for a in made[::2]}
+    assert got == wanted
+
+
 def test_language(spark, odd, empty):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     net = language_gru.fit(language_gru.training_sample(docs, 100), steps=120)

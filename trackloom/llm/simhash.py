@@ -1,9 +1,9 @@
-"""SimHash fingerprints, and a search by permuted block tables.
+"""SimHash fingerprints, and a search by block tables.
 
 A text's terms are its words and pairs of neighbouring words, weighted by 1 + log(count); each term's hash votes on
-64 signed bits. For radius r the 64 bits are cut into b > r blocks: two fingerprints within r agree on at least b - r
-of them, so a table for each choice of b - r blocks, keyed by those blocks, finds every pair. A pair that several
-tables would give is given by the first alone.
+64 signed bits. The 64 bits are cut into b blocks, each the key of a table: two fingerprints within radius r differ by
+at most r / b bits in one of them, so a query that looks up every key within r / b bits of its own finds every pair. A
+pair that several tables would give is given by the first alone. Each query gets the doc_ids found and their distances.
 
 Edge cases: null or empty text has no terms and the fingerprint of zeros; equal texts share a fingerprint and are
 searched once; equal doc_ids are ordered by text; a null doc_id comes last; an empty table gives no rows.
@@ -25,7 +25,8 @@ from pyspark.sql.window import Window
 
 from trackloom.llm import shared
 
-RADIUS, BLOCKS, QUERY_MODULUS = 3, 6, 100
+RADIUS, SEARCH_RADIUS, BLOCKS, QUERY_MODULUS = 3, 11, 4, 100
+HOT_KEY = 1000
 CACHE_WORDS = 200_000
 
 
@@ -139,47 +140,58 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return done.where("kind = 0").select(*columns).unionByName(last.select(*columns))
 
 
-def _tables(radius: int, blocks: int) -> list[int]:
-    """The bit mask of each choice of blocks - radius blocks."""
-    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(masks, blocks - radius)]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _probes(width: int, bits: int) -> list[int]:
+    """What turns a block's value into each value at most `bits` bits away."""
+    return [sum(1 << i for i in c) for n in range(bits + 1) for c in combinations(range(width), n)]
+
+
 def within(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(q, p, distance): for each fingerprint of `queries` (q long) all of `prints` (p long) within the radius; both distinct."""
-    masks = [_signed(m) for m in _tables(radius, blocks)]
+    width, bits = 64 // blocks, radius // blocks
+    ones = (1 << width) - 1
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col(name).bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
+        keys = F.array(*[F.struct(F.lit(i).alias("t"), F.shiftrightunsigned(name, i * width).bitwiseAND(F.lit(ones)).alias("key")) for i in range(blocks)])
         return df.select(name, F.explode(keys).alias("k")).select(name, "k.*")
 
+    held = keyed(prints, "p")
+    # a key that many fingerprints share is dealt over parts, and its queries are repeated for each
+    hot = shared.staged(held.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY).select("t", "key", F.ceil(F.col("n") / HOT_KEY).cast("int").alias("parts")), "hot_keys")
+    parts = F.coalesce("parts", F.lit(1))
+    b = held.join(F.broadcast(hot), ["t", "key"], "left").select("p", "t", "key", F.pmod(F.xxhash64("p"), parts).cast("int").alias("part"))
+    probes = F.explode(F.array(*map(F.lit, map(_signed, _probes(width, bits)))))
+    asked = keyed(queries, "q").withColumn("probe", probes).select("q", "t", F.col("key").bitwiseXOR(F.col("probe").cast("long")).alias("key"))
+    a = asked.join(F.broadcast(hot), ["t", "key"], "left").select("q", "t", "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+
     apart = F.col("q").bitwiseXOR(F.col("p"))
-    first: Column = F.lit(len(masks))
-    for i, m in reversed(list(enumerate(masks))):
-        first = F.when(apart.bitwiseAND(F.lit(m)) == 0, i).otherwise(first)
-    a, b = keyed(queries, "q").alias("a"), keyed(prints, "p").alias("b")
+    first: Column = F.lit(blocks)
+    for i in reversed(range(blocks)):
+        first = F.when(F.bit_count(apart.bitwiseAND(F.lit(_signed(ones << i * width)))) <= bits, i).otherwise(first)
+    a, b = a.alias("a"), b.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("t", "key", "part")]
     # a table is many times its fingerprints' size, which Spark's estimate leaves out: so never broadcast
-    met = a.hint("merge").join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.bit_count(apart) <= radius) & (first == F.col("a.t")))
+    met = a.hint("merge").join(b, same[0] & same[1] & same[2] & (F.bit_count(apart) <= radius) & (first == F.col("a.t")))
     return met.select("q", "p", F.bit_count(apart).alias("distance"))
 
 
-def near_counts(rows: DataFrame, queries: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(q, n_near): for the fingerprints of the rows that are queries, how many rows' fingerprints are within the radius."""
+def near_rows(rows: DataFrame, queries: Column, radius: int = SEARCH_RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(fingerprint, near): for the fingerprints of the rows that are queries, (distance, doc_id) of all rows within the radius, the nearest first."""
     as_long = F.conv(F.col("fingerprint"), 16, -10).cast("long").alias("p")
-    counted = rows.groupBy("fingerprint").agg(F.count("*").alias("c"), F.max(queries).alias("asked"))
-    prints = shared.staged(counted.select(as_long, "c", "asked"), "distinct_prints")
+    listed = rows.groupBy("fingerprint").agg(F.collect_list(F.struct("doc_id")).alias("ids"), F.max(queries).alias("asked"))
+    prints = shared.staged(listed.select(as_long, "ids", "asked"), "distinct_prints")
     found = within(prints.select("p"), prints.where("asked").select(F.col("p").alias("q")), radius, blocks)
-    return found.join(prints.select("p", "c"), "p").groupBy("q").agg(F.sum("c").alias("n_near"))
+    near = F.transform("ids", lambda i: F.struct(F.col("distance"), i["doc_id"].alias("doc_id")))
+    lists = found.join(prints.select("p", "ids"), "p").groupBy("q").agg(F.sort_array(F.flatten(F.collect_list(near))).alias("near"))
+    return lists.select(F.lower(F.lpad(F.hex("q"), 16, "0")).alias("fingerprint"), "near")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shared.staged(fingerprints(shared.table(spark, sf_dir, "documents").select("doc_id", "text")), "fingerprints")
     asked = F.coalesce(F.col("doc_id") % QUERY_MODULUS == 0, F.lit(False))
-    near = near_counts(rows, asked).select(F.lower(F.lpad(F.hex("q"), 16, "0")).alias("fingerprint"), "n_near")
-    answers = rows.where(asked).select("doc_id", "fingerprint").join(near, "fingerprint").select("doc_id", "n_near").distinct()
-    return rows.join(answers, "doc_id", "left").select(*rows.columns, F.col("n_near").alias("n_within_3"))
+    answers = rows.where(asked).select("doc_id", "fingerprint").distinct().join(near_rows(rows, asked), "fingerprint")
+    close = F.when(F.col("near").isNotNull(), F.size(F.filter("near", lambda x: x["distance"] <= RADIUS)).cast("long"))
+    return rows.join(answers, ["doc_id", "fingerprint"], "left").select(*rows.columns, close.alias("n_within_3"), "near")

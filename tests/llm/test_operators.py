@@ -221,6 +221,25 @@ def test_html(spark):
     assert got[9] == "" and got[10] == "alone" and got[11] == ""
 
 
+def main_text(page):
+    return html_consensus.text_at(*html_consensus.scan(page), None)
+
+
+LONG = "This is a sentence of the main text, which goes on for a while. " * 8
+
+
+def test_html_keeps_main_text_beside_articles():
+    cards = '<article class="card"><p>A teaser of another page.</p></article>' * 2
+    for tag in ("main", "div"):
+        got = main_text(f"<body><{tag}><h1>Title</h1><p>{LONG}</p></{tag}>{cards}</body>")
+        assert got.startswith(f"Title\n{LONG.strip()}")
+    parts = main_text(f"<body><div class=page><div class=intro><h1>Title</h1><p>{LONG[:160]}.</p></div><div class=body><p>{LONG}</p></div></div><div>Label</div></body>")
+    assert parts == f"Title\n{LONG[:160].strip()}.\n{LONG.strip()}"
+    listed = main_text("<body>" + "".join(f"<article><p>{LONG}{i}</p></article>" for i in range(3)) + "</body>")
+    assert listed.count("\n") == 2
+    assert main_text(f"<body><article><h1>Title</h1><p>{LONG}</p></article><div><p>Some other text on the side.</p></div></body>") == f"Title\n{LONG.strip()}"
+
+
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
 

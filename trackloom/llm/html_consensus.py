@@ -1,8 +1,7 @@
 """Main-text extraction by consensus host paths.
 
 Each page is scanned into a light tree of its block elements. Menus, notices, adverts, forms and the like are set
-aside by tag, role and class words. The page's best container is where most of the remaining unlinked text meets;
-its path of tags and classes, without digits and ids, is a vote. Spark counts the votes of each host, and every page
+aside by tag, role and class words. The page's best container is where the remaining unlinked text meets; its path of tags and classes, without digits and ids, is a vote. Spark counts the votes of each host, and every page
 is read again at its host's winning path, or at its own best container where that path has no text.
 
 Edge cases: null or empty html gives an empty text; a page whose url has no host votes with the others of that kind;
@@ -38,7 +37,7 @@ CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "ht
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 VOID = {"hr", "br", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 CONTENT = {"content", "post", "entry", "article", "story", "main"}
-KEEP_OF_PARENT = 0.6
+NEARLY_ALL, LEAST_WORDS = 0.9, 4
 HOSTS_BROADCAST = 50_000
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>""")
@@ -47,11 +46,11 @@ _HEADING = re.compile("h[1-6]$")
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "dropped", "chars", "linked", "kids")
+    __slots__ = ("tag", "name", "parent", "dropped", "chars", "linked", "real", "kids")
 
     def __init__(self, tag: str, name: str, parent: Node | None, dropped: bool):
         self.tag, self.name, self.parent, self.dropped = tag, name, parent, dropped
-        self.chars, self.linked, self.kids = 0, 0, []
+        self.chars, self.linked, self.real, self.kids = 0, 0, 0, []
 
 
 def _attributes(text: str) -> tuple[list[str], list[str], str]:
@@ -94,6 +93,7 @@ def scan(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 blocks.append((node, text))
                 node.chars += len(text)
                 node.linked += min(linked, len(text))
+                node.real += 2 * linked < len(text) and (node.tag == "h1" or not _HEADING.match(node.tag) and (text[-1] in ".!?…:" or text.count(" ") >= LEAST_WORDS - 1))
             linked = 0
 
     def pop() -> None:
@@ -196,8 +196,8 @@ def path_of(node: Node) -> str:
     return ">".join(reversed(names))
 
 
-def _totals(root: Node) -> dict[int, tuple[int, list[Node]]]:
-    """Unlinked characters under each node."""
+def _totals(root: Node, own) -> dict[int, int]:
+    """The sum of own(node) under each node."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -205,31 +205,57 @@ def _totals(root: Node) -> dict[int, tuple[int, list[Node]]]:
         todo += node.kids
     sums: dict[int, int] = {}
     for node in reversed(order):
-        sums[id(node)] = node.chars - node.linked + sum(sums[id(k)] for k in node.kids)
+        sums[id(node)] = own(node) + sum(sums[id(k)] for k in node.kids)
     return sums
 
 
+def _unlinked(node: Node) -> int:
+    return node.chars - node.linked
+
+
+def _below(node: Node | None, top: Node) -> bool:
+    while node is not None and node is not top:
+        node = node.parent
+    return node is top
+
+
 def best_container(root: Node) -> Node | None:
-    """Where most unlinked text meets: an article or main element if there is one, else down from the root as long as one child holds most."""
-    sums = _totals(root)
+    """Where all unlinked text meets.
+
+    The only main element, if it holds most of the text and every h1, or else the page, is the scope. Its article is taken if it holds
+    nearly all of the scope's text, or if it is the only one and holds both the h1 and most of the text. Otherwise the
+    walk goes down from the scope as long as what it leaves behind has no text block: no h1, and nothing that ends
+    like a sentence or has four words or more (headings and links aside).
+    """
+    sums = _totals(root, _unlinked)
     if not sums[id(root)]:
         return None
-    marked, todo = [], [root]
+    articles, mains, titles, todo = [], [], [], [root]
     while todo:
         node = todo.pop()
-        if node.tag in ("article", "main") and not node.dropped and sums[id(node)]:
-            marked.append(node)
-            if node.tag == "article":
-                continue
+        if not node.dropped and sums[id(node)]:
+            kind = {"article": articles, "main": mains, "h1": titles}.get(node.tag)
+            if kind is not None and not (node.tag == "article" and any(_below(node, a) for a in articles[-1:])):
+                kind.append(node)
         todo += reversed(node.kids)
-    articles = [n for n in marked if n.tag == "article"]
-    if marked:
-        return max(articles or marked, key=lambda n: sums[id(n)])
+    scope = mains[0] if len(mains) == 1 else root
+    if 2 * sums[id(scope)] <= sums[id(root)] or any(not _below(t, scope) for t in titles):
+        scope = root
+    inside = [a for a in articles if _below(a, scope)]
+    if inside:
+        top = max(inside, key=lambda n: sums[id(n)])
+        titled = len(articles) == 1 and len(titles) == 1 and _below(titles[0], top) and 2 * sums[id(top)] > sums[id(scope)]
+        if titled or sums[id(top)] >= NEARLY_ALL * sums[id(scope)] and not any(t for t in titles if _below(t, scope) and not _below(t, top)):
+            return top
+    if scope is not root:
+        return scope
+    real = _totals(root, lambda n: n.real)
+    weight = real if real[id(root)] else sums
     node = root
     while True:
         inner = [k for k in node.kids if k.tag in CONTAINERS and not k.dropped]
-        top = max(inner, key=lambda k: sums[id(k)], default=None)
-        if top is None or sums[id(top)] < KEEP_OF_PARENT * sums[id(node)]:
+        top = max(inner, key=lambda k: weight[id(k)], default=None)
+        if top is None or weight[id(top)] < weight[id(node)]:
             return node
         node = top
 

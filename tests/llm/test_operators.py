@@ -240,6 +240,16 @@ def test_html_keeps_main_text_beside_articles():
     assert main_text(f"<body><article><h1>Title</h1><p>{LONG}</p></article><div><p>Some other text on the side.</p></div></body>") == f"Title\n{LONG.strip()}"
 
 
+def test_html_class_words_do_not_drop_the_main_text():
+    wanted = f"Title\n{LONG.strip()}"
+    for name in ("content no-sidebar", "has-sidebar", "elementor-widget-container", "post-share-enabled", "sidebar", "header-fixed"):
+        assert main_text(f'<body><div class="{name}"><h1>Title</h1><p>{LONG}</p></div><div class="sidebar"><p>Some other text on the side.</p></div></body>') == wanted
+        assert main_text(f'<body><div class="{name}"><article><h2>Title</h2><p>{LONG}</p></article></div><div class="ad"><p>Buy one of these now.</p></div></body>') == wanted
+    comments = '<div class="comments"><article class="comment"><p>' + LONG * 3 + "</p></article></div>"
+    assert main_text(f"<body><article><h1>Title</h1><p>{LONG}</p></article>{comments}</body>") == wanted
+    assert main_text(f"<body><h1>Title</h1><p>{LONG}</p>{comments}</body>") == wanted
+
+
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
 

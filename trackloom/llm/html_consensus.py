@@ -36,6 +36,7 @@ CONTAINERS = {"body", "div", "section", "article", "main", "td", "html"}
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "head", "option"}
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 VOID = {"hr", "br", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}
 CONTENT = {"content", "post", "entry", "article", "story", "main"}
 NEARLY_ALL, LEAST_WORDS = 0.9, 4
 HOSTS_BROADCAST = 50_000
@@ -43,36 +44,82 @@ HOSTS_BROADCAST = 50_000
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>""")
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HEADING = re.compile("h[1-6]$")
+_MODIFIER = re.compile(r"^(?:no|not|has|is|with|without|hide|show)[-_]|[-_](?:enabled|disabled|active|inactive)$|^elementor-widget(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "dropped", "chars", "linked", "real", "kids")
+    __slots__ = ("tag", "name", "parent", "dropped", "doubt", "chars", "linked", "real", "kids")
 
-    def __init__(self, tag: str, name: str, parent: Node | None, dropped: bool):
-        self.tag, self.name, self.parent, self.dropped = tag, name, parent, dropped
+    def __init__(self, tag: str, name: str, parent: Node | None, dropped: bool, doubt: set[str] | None = None):
+        self.tag, self.name, self.parent, self.dropped, self.doubt = tag, name, parent, dropped, doubt
         self.chars, self.linked, self.real, self.kids = 0, 0, 0, []
 
 
-def _attributes(text: str) -> tuple[list[str], list[str], str]:
+def _attributes(text: str) -> tuple[list[str], str, str]:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(text)} if "=" in text else {}
-    return found.get("class", "").lower().split(), re.split(r"[^a-z]+", found.get("id", "").lower()), found.get("role", "").lower()
+    return found.get("class", "").lower().split(), found.get("id", "").lower(), found.get("role", "").lower()
 
 
-def _boiler(tag: str, attributes: str, parent: Node | None) -> tuple[str, bool]:
-    """The node's generalised name, and whether it is boilerplate of its own."""
-    classes, ids, role = _attributes(attributes)
+def _words(name: str) -> set[str]:
+    """The words of a class or id; none if it only says what an element has or lacks, or names a framework's box."""
+    return set() if _MODIFIER.search(name) else set(re.split(r"[^a-z]+", name))
+
+
+def _boiler(tag: str, attributes: str, parent: Node | None) -> tuple[str, bool, set[str]]:
+    """The node's generalised name, whether its tag or role makes it boilerplate, and the class words that speak for it."""
+    classes, ident, role = _attributes(attributes)
     plain = sorted({re.sub(r"\d+", "", c) for c in classes} - {""})
     name = ".".join([tag, *plain])
-    words = {w for c in classes for w in re.split(r"[^a-z]+", c)} | set(ids)
     if tag in ("html", "body"):
-        return name, False
-    dropped = tag in DROPPED or role in ROLES or bool(words & WORDS)
+        return name, False, set()
+    words = {w for c in [*classes, ident] for w in _words(c)}
+    dropped, doubt = tag in DROPPED or role in ROLES, words & WORDS
     if (tag == "header" or "header" in words) and not dropped and not _HEADING.match(tag):
         at = parent
         while at is not None and at.tag not in ("article", "main") and not CONTENT & set(re.split(r"[^a-z]+", at.name)):
             at = at.parent
-        dropped = at is None
-    return name, dropped
+        if at is None and tag == "header":
+            dropped = True
+        elif at is None:
+            doubt = doubt | {"header"}
+    return name, dropped, doubt
+
+
+def _settle(root: Node) -> None:
+    """Drops the elements with boilerplate's class words, but not those that hold the page's main text.
+
+    Such an element stays if it holds a main, the only h1 or all articles, or at least half of the unlinked text while
+    no main or article is elsewhere alone; comments only with the main or the only h1, or where nothing else is marked.
+    """
+    order, todo, doubted = [], [root], False
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        doubted = doubted or bool(node.doubt)
+        todo += reversed(node.kids)
+    if not doubted:
+        return
+    sums = _totals(root, _unlinked)
+    marks = [n for n in order if n.tag in ("main", "article", "h1") and not n.dropped and sums[id(n)]]
+    titles = [n for n in marks if n.tag == "h1"]
+
+    def stays(node: Node) -> bool:
+        held = [n for n in marks if _below(n, node)]
+        if any(n.tag == "main" for n in held) or len(titles) == 1 and titles[0] in held:
+            return True
+        if node.doubt & COMMENTS and len(held) < len(marks):
+            return False
+        texts = [n for n in held if n.tag != "h1"]
+        if texts and len(texts) == len(marks) - len(titles):
+            return True
+        return 2 * sums[id(node)] >= sums[id(root)] > 0 and (bool(texts) or len(marks) == len(titles))
+
+    for node in order:
+        if node.parent is not None and node.parent.dropped or node.doubt and not node.dropped and not stays(node):
+            node.dropped = True
+    for node in order:
+        if node.dropped:
+            node.chars = node.linked = node.real = 0
 
 
 def scan(page: str) -> tuple[Node, list[tuple[Node, str]]]:
@@ -178,14 +225,15 @@ def scan(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             pop()
         if tag == "hr":
             continue
-        name, own = _boiler(tag, m[3], stack[-1])
+        name, own, doubt = _boiler(tag, m[3], stack[-1])
         parent = stack[-1]
-        node = Node(tag, name, parent, parent.dropped or own)
+        node = Node(tag, name, parent, parent.dropped or own, doubt)
         parent.kids.append(node)
         stack.append(node)
         open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
-    return root, blocks
+    _settle(root)
+    return root, [b for b in blocks if not b[0].dropped]
 
 
 def path_of(node: Node) -> str:

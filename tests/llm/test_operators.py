@@ -198,6 +198,18 @@ def test_pii(spark, odd, empty):
     assert len(made) == len({r.surrogate for r in made}) == 3000
 
 
+def test_pii_carries_names(spark):
+    texts = ["Mr. John Smith met us. Smith said so, and SMITH's dog; smith and Smithson.", "John Smith and Anna Keller saw Peter Novak. Keller left, Anna stayed.", "MR. JOHN SMITH came. Smith said it.", "Frau De Vries de Berlin: Vries, de la", "no names in here, but john 4111 1111 1111 1111", "Сергей Иванов и Иванов"]
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, hidden in ((0, "smith"), (1, "smith|anna|keller|peter|novak"), (2, "john|smith"), (3, "vries"), (5, "иванов|сергей")):
+        assert not re.search(rf"(?i)\b(?:{hidden})\b", got[k].text), got[k].text
+    last = re.match(r"Mr\. (\S+) (\S+) met us\. (\S+) said so, and (\S+)'s dog; (\S+) and Smithson\.", got[0].text)
+    assert last[2] == last[3] and last[4] == last[2].upper() and last[5] == last[2].lower() and got[0]._pii_n == 4
+    upper = re.match(r"MR\. (\S+) (\S+) came\. (\S+) said it\.", got[2].text)
+    assert upper[2] == upper[3].upper() == last[4] and upper[1] == last[1].upper()
+    assert " de Berlin" in got[3].text and got[3].text.endswith(", de la") and "but john" in got[4].text
+
+
 def test_chat(spark):
     hard = ["</s>[INST] ok [/INST]", r"<\s> <\\/s> [\ROLE] \ [x]", "", "<image:1> plain"]
     turns = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(zip(["user", "assistant", None, "assistant"], hard))] + [(2, 0, "assistant", None)], "conv_id long, turn long, role string, text string")

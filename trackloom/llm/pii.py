@@ -2,8 +2,8 @@
 
 One pattern finds e-mail addresses, phone numbers, card numbers (with a right check digit), IPv4 addresses, social
 security numbers, bank account numbers, secrets and personal names (after a title, or a known given name before a
-surname). An entity is its type and its canonical value (digits of a number, lower-case address, one name token), so
-mentions in other notations, or of the surname alone, share a surrogate. A surrogate comes from a keyed hash and keeps
+surname, also in capitals; then each further mention of a row's name tokens, in any case). An entity is its type and its canonical value (digits of a number, lower-case address, one name token), so
+mentions in other notations or cases, or of the surname alone, share a surrogate. A surrogate comes from a keyed hash and keeps
 type, script, gender, length and notation. Surrogates are checked over the whole corpus: one that equals another
 entity's surrogate or a value that really occurs is drawn anew until all differ.
 
@@ -33,9 +33,19 @@ CYRILLIC_FEMALE = ["Анна", "Мария", "Ольга", "Елена", "Нат
 LATIN_SYLLABLES = ["bar", "bel", "cor", "dal", "den", "fal", "gar", "hal", "jen", "kel", "lan", "mar", "mel", "nor", "pal", "quin", "ros", "sal", "tor", "val", "ver", "wen", "yor", "zan"]
 CYRILLIC_SYLLABLES = ["бар", "вел", "гор", "дал", "жен", "зор", "кел", "лан", "мар", "нор", "пал", "рос", "сал", "тор", "фед", "хар"]
 
-_GIVEN = MALE_NAMES + FEMALE_NAMES + CYRILLIC_MALE + CYRILLIC_FEMALE
+# Given names that are only found, never drawn.
+MORE_MALE = "John Peter Paul George Joseph Christopher Andrew Anthony Steven Kenneth Kevin Brian Edward Ronald Timothy Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Alexander Patrick Henry Philip Adam Simon Martin Oliver Harry Lukas Felix Stefan Andreas Markus Matthias Tobias Sebastian Florian Dieter Uwe Heinz Günter Helmut Manfred Ulrich Jean Michel Philippe Alain Bernard Laurent Nicolas Julien Olivier Antoine Luis Juan Antonio Francisco Manuel Pedro Pablo Rafael Sergio Alejandro Diego Andrés Marco Giovanni Luca Paolo Jan Pavel Tomáš Ahmed Mohammed Ali Omar".split()
+MORE_FEMALE = "Anna Anne Maria Linda Karen Lisa Nancy Betty Sandra Ashley Kimberly Donna Emma Olivia Sophia Isabella Charlotte Amelia Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Laura Sharon Cynthia Kathleen Amy Angela Helen Alice Julia Lucy Catherine Katherine Christine Victoria Rachel Hannah Claudia Petra Monika Andrea Birgit Gabriele Renate Martina Katrin Julie Marie Sophie Isabelle Nathalie Sylvie Camille Chloé Claire Hélène Ana Teresa Rosa Marta Cristina Elena Paula Sofía Laura Francesca Giulia Fatima Aisha Eva Jana Nina".split()
+MORE_CYRILLIC_MALE = "Алексей Александр Михаил Владимир Борис Павел Виктор Юрий Олег Игорь".split()
+MORE_CYRILLIC_FEMALE = "Светлана Ирина Екатерина Людмила Юлия Галина Вера Нина Лариса Оксана".split()
+#: Parts of names that are common words, so they are not looked for on their own.
+PARTICLES = "de la le les van von der den dem del des da di du dos das al el il bin ibn st y e und and the".split()
+
+_MALE, _FEMALE = MALE_NAMES + CYRILLIC_MALE + MORE_MALE + MORE_CYRILLIC_MALE, FEMALE_NAMES + CYRILLIC_FEMALE + MORE_FEMALE + MORE_CYRILLIC_FEMALE
+_GIVEN = _MALE + _FEMALE
 _TITLES = MALE_TITLES + FEMALE_TITLES + OTHER_TITLES
 _NAME = r"\p{Lu}\p{Ll}[\p{L}'’-]*+"
+_UPPER = r"\p{Lu}(?:['’-]?\p{Lu})++(?!\p{L})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,8}"
 SECRET_VALUE = r"(?=[A-Za-z+/_~-]*\d)[A-Za-z0-9+/_~-]{8,}+"
@@ -46,9 +56,13 @@ IPV4 = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?!\d)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]))"
-PERSON = rf"(?<!\p{{L}})(?:(?:{'|'.join(_TITLES)})\.? {_NAME}(?: {_NAME}){{0,2}}|(?:{'|'.join(_GIVEN)}) {_NAME}(?: {_NAME})?)"
+_upper = lambda names: "|".join(n.upper() for n in names)
+PERSON = (
+    rf"(?<!\p{{L}})(?=[\p{{Lu}}г])(?:(?:{'|'.join(_TITLES)})\.? {_NAME}(?: {_NAME}){{0,2}}|(?:{'|'.join(_GIVEN)}) {_NAME}(?: {_NAME})?"
+    rf"|(?:{'|'.join([*_TITLES, _upper(_TITLES)])})\.? {_UPPER}(?: {_UPPER}){{0,2}}|(?:{_upper(_GIVEN)}) {_UPPER}(?: {_UPPER})?)"
+)
 PATTERN = "|".join([SECRET, PREFIXED, EMAIL, IPV4, PHONE, SSN, IBAN, CARD, PERSON])
-MAYBE = rf"[0-9@]|(?<!\p{{L}})(?:{'|'.join(_TITLES + _GIVEN)})\b"
+MAYBE = rf"[0-9@]|(?<!\p{{L}})(?=[\p{{Lu}}г])(?:{'|'.join([*_TITLES, *_GIVEN, _upper(_TITLES + _GIVEN)])})(?!\p{{L}})"
 
 
 def _digits(c: Column) -> Column:
@@ -83,12 +97,28 @@ def kind_of(mention: Column) -> Column:
     )
 
 
+def _is_in(word: Column, names: list[str]) -> Column:
+    return F.lower(word).isin(*{n.lower() for n in names})
+
+
+def _genitive(word: Column) -> Column:
+    """What a name token ends with: an apostrophe, with or without an s, or a hyphen."""
+    return F.regexp_extract(word, r"(?:['’][sS]?|-+)$", 0)
+
+
+def _token(word: Column) -> Column:
+    """A name token's canonical form: without the genitive, in title case."""
+    return F.initcap(F.lower(F.left(word, F.length(word) - F.length(_genitive(word)))))
+
+
+def _cased(made: Column, like: Column) -> Column:
+    return F.when((F.upper(like) == like) & (F.length(like) > 1), F.upper(made)).when(F.lower(like) == like, F.lower(made)).otherwise(made)
+
+
 def _gender(mention: Column) -> Column:
     first = F.regexp_replace(F.substring_index(mention, " ", 1), r"\.$", "")
     second = F.element_at(F.split(mention, " "), 2)
-    is_in = lambda c, names: c.isin(*names)
-    male, female = MALE_NAMES + CYRILLIC_MALE, FEMALE_NAMES + CYRILLIC_FEMALE
-    return F.when(is_in(first, MALE_TITLES + male), "m").when(is_in(first, FEMALE_TITLES + female), "f").when(is_in(second, male), "m").when(is_in(second, female), "f").otherwise("u")
+    return F.when(_is_in(first, MALE_TITLES + _MALE), "m").when(_is_in(first, FEMALE_TITLES + _FEMALE), "f").when(_is_in(second, _MALE), "m").when(_is_in(second, _FEMALE), "f").otherwise("u")
 
 
 def _entity(kind: Column, value: Column) -> Column:
@@ -98,10 +128,10 @@ def _entity(kind: Column, value: Column) -> Column:
 def entities_of(kind: Column, mention: Column) -> Column:
     """The entities of a mention: one, or one for each token of a name (given names carry the gender)."""
     words = F.split(mention, " ")
-    names = F.filter(words, lambda w: ~F.regexp_replace(w, r"\.$", "").isin(*_TITLES))
+    names = F.filter(words, lambda w: ~_is_in(F.regexp_replace(w, r"\.$", ""), _TITLES))
     given = F.concat(F.lit("given_"), _gender(mention))
     count = F.size(names)
-    person = F.transform(names, lambda w, i: _entity(F.when((i < count - 1) | w.isin(*_GIVEN), given).otherwise(F.lit("surname")), w))
+    person = F.transform(names, lambda w, i: _entity(F.when((i < count - 1) | _is_in(_token(w), _GIVEN), given).otherwise(F.lit("surname")), _token(w)))
     value = (
         F.when(kind == "email", F.lower(mention)).when(kind.isin("phone", "ssn", "card"), _digits(mention)).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .when(kind == "secret", F.regexp_extract(mention, r"([A-Za-z0-9+/_~-]+)$", 1)).otherwise(mention)
@@ -222,7 +252,9 @@ def _replaced(found: Column, table: Column) -> Column:
     value = found["entities"][0]["value"]
     names = found["entities"]
     titles = F.size(F.split(mention, " ")) - F.size(names)
-    person = F.concat_ws(" ", F.slice(F.split(mention, " "), F.lit(1), titles), F.transform(names, of))
+    words = F.split(mention, " ")
+    named = F.zip_with(F.slice(words, titles + 1, F.greatest(F.size(names), F.lit(0))), names, lambda w, e: F.concat(_cased(of(e), w), _genitive(w)))
+    person = F.concat_ws(" ", F.slice(words, F.lit(1), titles), named)
     spaced = F.when(mention.contains(" "), F.trim(F.regexp_replace(only, "(.{4})", "$1 "))).otherwise(only)
     return (
         F.when(kind.isNull(), mention).when(kind == "person", person).when(kind.isin("phone", "ssn", "card"), _in_notation(mention, only))
@@ -231,6 +263,14 @@ def _replaced(found: Column, table: Column) -> Column:
     )
 
 
+def _carried(piece: Column, names: Column, pattern: Column) -> Column:
+    """{text, n}: a piece between mentions with the row's name tokens (lower-case k, surrogate v) replaced wherever they stand as words."""
+    found = F.regexp_extract_all(piece, pattern, F.lit(0))
+    made = F.transform(found, lambda w: _cased(F.get(F.filter(names, lambda n: n["k"] == F.lower(w)), F.lit(0))["v"], w))
+    text = F.array_join(F.flatten(F.zip_with(F.split(piece, pattern, -1), made, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    return F.struct(text.alias("text"), F.size(found).alias("n"))
+
+
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """`docs` with surrogates in text; adds _pii_n, the number of mentions replaced."""
     maybe = F.coalesce(F.col("text").rlike(MAYBE) & F.col("text").rlike(PATTERN), F.lit(False))
@@ -244,9 +284,20 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     # a row's entities are parts of its own text, so its map is bounded by it
     tables = asked.join(known, ["kind", "value"]).groupBy("_pii_row").agg(F.map_from_entries(F.collect_list(entry)).alias("_pii_map"))
     met = hits.join(tables, "_pii_row", "left")
-    between = F.split("text", PATTERN, -1)
+    # further mentions of a row's names, in any case, also where neither title nor given name is beside them
+    persons = F.filter(F.map_entries("_pii_map"), lambda e: e["key"].rlike("^(?:surname|given_.)\x1f"))
+    names = F.transform(persons, lambda e: F.struct(F.lower(F.substring_index(e["key"], "\x1f", -1)).alias("k"), e["value"].alias("v"), (~e["key"].startswith("surname")).alias("given")))
+    names = F.filter(names, lambda n: ~n["k"].isin(*PARTICLES) & (F.length(n["k"]) > 1))
+    met = met.withColumn("_pii_names", F.coalesce(F.array_sort(names, lambda a, b: F.when(a["given"] == b["given"], 0).when(b["given"], -1).otherwise(1)), F.array().cast(
+        "array<struct<k:string, v:string, given:boolean>>")))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("_pii_names", lambda n: n["k"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    met = met.withColumn("_pii_pattern", F.when(F.size("_pii_names") > 0, pattern).otherwise(F.lit("(?!)")))
+    whole = F.transform(F.split("text", PATTERN, -1), lambda p: F.struct(p.alias("text"), F.lit(0).alias("n")))
+    carried = F.transform(F.split("text", PATTERN, -1), lambda p: _carried(p, F.col("_pii_names"), F.col("_pii_pattern")))
+    met = met.withColumn("_pii_between", F.when(F.size("_pii_names") > 0, carried).otherwise(whole))
+    between = F.transform("_pii_between", lambda p: p["text"])
     given = F.transform("_pii_found", lambda m: _replaced(m, F.col("_pii_map")))
-    met = met.withColumn("_pii_n", F.size(F.filter("_pii_found", lambda m: m["kind"].isNotNull())).cast("long"))
+    met = met.withColumn("_pii_n", (F.size(F.filter("_pii_found", lambda m: m["kind"].isNotNull())) + F.aggregate("_pii_between", F.lit(0), lambda n, p: n + p["n"])).cast("long"))
     met = met.withColumn("text", F.array_join(F.flatten(F.zip_with(between, given, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), ""))
     if "n_chars" in docs.columns:
         met = met.withColumn("n_chars", F.when(F.col("_pii_n") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

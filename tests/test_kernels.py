@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from trackloom.functions import kernels as k
 from trackloom.sources import scripts
@@ -90,3 +91,17 @@ def test_action_lists_round_trip(rows):
 def test_overrun_is_an_error():
     with pytest.raises(ValueError):
         scripts.decode_actions(scripts.encode_actions([(1.0, 5)])[:-1])
+
+
+def test_spans_end_at_prominent_turns_and_plateaus(spark):
+    from trackloom.operators import per_track, sequences
+
+    noisy = np.interp(np.arange(61), [0, 14, 16, 30, 45, 60], [0, 1, 1, 0, 0.9, 0.1]) + 0.01 * (np.arange(61) % 2) * (np.abs(np.arange(61) - 15) > 1)
+    track = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(noisy)], "video_id string, frame long, pos double").withColumns({"spread": F.col("pos") * 0.1, "gap": F.col("pos") * 0.2})
+    spans = {r.frame: r.span for r in per_track.turning_spans(track, 30.0).collect()}
+    cuts = [f for f in range(1, 61) if spans[f] != spans[f - 1]]
+    assert len(cuts) == 3 and all(abs(c - w) <= 1 for c, w in zip(cuts, (15, 30, 45)))
+    got = sorted(sequences.confidence(track, spans=lambda t, pos: per_track.turning_spans(t, 30.0, pos=pos)).collect(), key=lambda r: r.frame)
+    for r in got:
+        same = [x for x in got if spans[x.frame] == spans[r.frame]]
+        assert r.c3 == pytest.approx(min(np.median([x.c1 for x in same]), np.median([x.c2 for x in same])))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import kernels
 from trackloom.functions.scalars import quantised
-from trackloom.schema import FRAME, KEY, whole
+from trackloom.schema import FRAME, KEY, rows, whole
 
 CHUNK_SECONDS, OVERLAP_SECONDS = 300.0, 2.0
 
@@ -36,6 +36,18 @@ def turning_points(track: DataFrame, fps: float, prominence: float = 0.035, seco
     return _per_track(track, pos, f"{FRAME} long", lambda f, x: {FRAME: f[kernels.turning_points(x, fps, prominence, seconds)]})
 
 
+def turning_spans(track: DataFrame, fps: float, prominence: float = 0.035, seconds: float = 0.15, pos: str = "pos") -> DataFrame:
+    """Adds span: the number of the stretch between successive peaks and troughs, prominent and far enough apart, that a frame lies in."""
+
+    def starts(f, x):
+        gap, x = max(1, round(seconds * fps)), x.astype(np.float32)
+        return {FRAME: f[np.union1d(kernels.find_peaks(x, gap, prominence), kernels.find_peaks(-x, gap, prominence)).astype(np.int64)]}
+
+    turns = _per_track(track, pos, f"{FRAME} long", starts)
+    marked = track.join(turns.withColumn("_t", F.lit(1)), [KEY, FRAME], "left")
+    return marked.withColumn("span", F.sum(F.coalesce("_t", F.lit(0))).over(rows(None, 0))).drop("_t")
+
+
 def troughs(track: DataFrame, fps: float, seconds: float = 0.15, pos: str = "pos") -> DataFrame:
     return _per_track(track, pos, f"{FRAME} long", lambda f, x: {FRAME: f[kernels.find_peaks(-x.astype(np.float32), max(1, round(seconds * fps)))]})
 

@@ -121,14 +121,14 @@ def speed_residual(track: DataFrame, pos: str = "pos", spread: str = "spread") -
     return moved.withColumn("residual", F.col(spread) - F.when(fits, line).otherwise(F.avg(spread).over(whole())))
 
 
-def confidence(track: DataFrame, pos: str = "pos", spread: str = "spread", gap: str = "gap") -> DataFrame:
-    """c1 from the spread's residual, c2 from the mode gap, c3 the lower of their medians in each stroke."""
+def confidence(track: DataFrame, pos: str = "pos", spread: str = "spread", gap: str = "gap", spans=stroke_spans) -> DataFrame:
+    """c1 from the spread's residual, c2 from the mode gap, c3 the lower of their medians in each stroke; spans(track, pos) numbers the strokes."""
     clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     both = speed_residual(track, pos, spread)
     both = both.withColumn("c1", clip(0.5 - moving_average(F.col("residual")) / (2 * RESIDUAL_HALF_RANGE))).withColumn("c2", clip(1 - moving_average(F.col(gap)) / GAP_CEILING))
     stroke = Window.partitionBy(KEY, "span")
     c3 = F.least(F.percentile("c1", F.lit(0.5)).over(stroke), F.percentile("c2", F.lit(0.5)).over(stroke))
-    return stroke_spans(both, pos).withColumn("c3", c3)
+    return spans(both, pos).withColumn("c3", c3)
 
 
 def stretched(track: DataFrame, segment: str, pos: str = "pos", gain: float = 4.0, linear: bool = False) -> Column:

@@ -369,6 +369,25 @@ def turning_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.turning_points(tracks(spark, sf_dir), FPS)
 
 
+@query()
+def turning_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = K.turning_spans(tracks(spark, sf_dir), FPS)
+    return found.groupBy(KEY, "span").agg(F.min(FRAME).alias("start"), (F.max(FRAME) + 1).alias("stop"), _r(F.percentile("pos", F.lit(0.5))).alias("mid"))
+
+
+@query()
+def turning_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tracks(spark, sf_dir).withColumns({"spread": F.col("pos") * F.col("pos"), "gap": F.abs(F.col("pos") - 0.5) / 4})
+    return S.confidence(t, spans=lambda track, pos: K.turning_spans(track, FPS, pos=pos)).select(KEY, FRAME, *(_r(F.col(c), 6).alias(c) for c in ("c1", "c2", "c3")))
+
+
+@query()
+def turning_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = K.turning_spans(tracks(spark, sf_dir), FPS)
+    ends = t.groupBy(KEY).agg(F.max(FRAME).alias(FRAME))
+    return t.join(t.groupBy(KEY, "span").agg(F.min(FRAME).alias(FRAME)).select(KEY, FRAME).union(ends).distinct(), [KEY, FRAME], "left_semi").select(KEY, FRAME, "pos")
+
+
 @query()
 def troughs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.troughs(tracks(spark, sf_dir), FPS)

@@ -152,6 +152,19 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in language_gru.predict(odd, language_gru.fit([])).collect()} == {"und"}
 
 
+def test_language_counts_each_byte_once():
+    import numpy as np
+    import pyarrow as pa
+
+    from trackloom.llm import byte_models
+
+    sizes = np.array([1, 111, 112, 113, 127, 128, 129, 224, 225, 320, 1000])
+    got = np.zeros(len(sizes), int)
+    for _, lengths, owner, number in byte_models.chunked(pa.array(["x" * n for n in sizes]), language_gru.CHUNK, language_gru.CORE, 4):
+        np.add.at(got, owner, language_gru.own_positions(lengths, number, sizes[owner]).sum(1))
+    assert got.tolist() == sizes.tolist()
+
+
 def test_language_gradients():
     import numpy as np
 

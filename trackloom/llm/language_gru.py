@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from trackloom.llm import byte_models, shared
 
 HIDDEN, CHUNK, MARGIN = 8, 128, 16
+CORE = CHUNK - 2 * MARGIN
 #: bounds of the training sample: rows a language, windows a row
 PER_LABEL, WINDOWS, WIDTH, STEPS, BATCH = 700, 2, 96, 240, 192
 UNKNOWN, HELD_MODULUS, HELD_REMAINDER = "und", 3, 1
@@ -130,6 +131,12 @@ def training_sample(docs: DataFrame, per_label: int = PER_LABEL) -> list[tuple[s
     return byte_models.sampled_windows(rows.select("doc_id", "text", "lang"), "lang", per_label, WINDOWS, WIDTH, 31)
 
 
+def own_positions(lengths: np.ndarray, number: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which positions of each chunk count: without the margins, but for a text's start and end; each byte counts once."""
+    at, last = np.arange(CHUNK), number * CORE + lengths == sizes
+    return (at >= np.where(number == 0, 0, MARGIN)[:, None]) & (at < np.where(last, lengths, CHUNK - MARGIN)[:, None])
+
+
 def predict(docs: DataFrame, net: BiGru | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text."""
     held = docs.sparkSession.sparkContext.broadcast(net)
@@ -137,16 +144,14 @@ def predict(docs: DataFrame, net: BiGru | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        core = CHUNK - 2 * MARGIN
         for batch in batches:
             for piece in byte_models.slices(batch):
                 total = np.zeros((len(piece), len(model.labels) if model else 1))
                 if model:
-                    for chunks, lengths, owner, number in byte_models.chunked(piece.column(1), CHUNK, core, 1024):
+                    sizes = np.diff(byte_models.text_bytes(piece.column(1))[1])
+                    for chunks, lengths, owner, number in byte_models.chunked(piece.column(1), CHUNK, CORE, 1024):
                         prob = model.position_probabilities(np.ascontiguousarray(_FOLD[chunks].T))
-                        at = np.arange(CHUNK)
-                        last = np.append(owner[1:] != owner[:-1], True) & (lengths < CHUNK)
-                        counts = (at >= np.where(number == 0, 0, MARGIN)[:, None]) & (at < np.where(last, lengths, CHUNK - MARGIN)[:, None])
+                        counts = own_positions(lengths, number, sizes[owner])
                         np.add.at(total, owner, np.einsum("tcb,bt->bc", prob, counts.astype(np.float32)))
                 sums = total.sum(1)
                 shares = total / np.maximum(sums, 1e-9)[:, None]

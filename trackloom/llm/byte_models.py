@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sampled_windows(rows: DataFrame, label: str, per_label: int, windows: int, chars: int, seed: int) -> list[tuple[object, list[str]]]:
+#: label values that are learned at most
+MOST_LABELS = 256
+
+
+def sampled_windows(rows: DataFrame, label: str, per_label: int, windows: int, chars: int, seed: int, most_labels: int = MOST_LABELS) -> list[tuple[object, list[str]]]:
     """About `per_label` rows of each label value, chosen by hash, each as up to `windows` windows of its text.
 
-    This bounds what the driver trains on: per_label * windows * chars characters a label. `rows` has doc_id, text and
-    the label column.
+    This bounds what the driver trains on: per_label * windows * chars characters a label, for the `most_labels` most
+    frequent labels. `rows` has doc_id, text and the label column.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, min(1.0, per_label / c))])
@@ -24,7 +28,7 @@ def sampled_windows(rows: DataFrame, label: str, per_label: int, windows: int, c
     text = F.coalesce(F.col("text"), F.lit(""))
     free = F.greatest(F.length(text) - chars, F.lit(0)) + 1
     parts = F.array_distinct(F.array(*[F.substring(text, (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + k)), free) + 1).cast("int"), F.lit(chars)) for k in range(windows)]))
-    return [(r[0], list(r[1])) for r in rows.where(place < share[F.col(label)]).select(label, parts).toLocalIterator()]
+    return [(r[0], list(r[1])) for r in rows.where(place < share[F.col(label)]).select(label, parts).collect()]
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

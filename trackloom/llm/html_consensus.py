@@ -343,6 +343,7 @@ def _pages(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch,
 def host_votes(pages: DataFrame) -> DataFrame:
     """(host, path, votes): how many pages of the host have their best container there."""
 
+    @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, texts in _pages(batch, 1):
@@ -365,10 +366,10 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
     winners = shared.staged(winning_paths(host_votes(rows)), "winners")
-    small = winners.limit(HOSTS_BROADCAST + 1).count() <= HOSTS_BROADCAST
-    met = rows.join(F.broadcast(winners) if small else winners, "host", "left").select("page_id", "url", "html", "path")
+    met = rows.join(shared.sized(winners, HOSTS_BROADCAST), "host", "left").select("page_id", "url", "html", "path")
     kind = shared.kind_of(pages, "page_id")
 
+    @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, texts in _pages(batch, 2):

@@ -142,6 +142,7 @@ def predict(docs: DataFrame, net: BiGru | None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(net)
     kind = shared.kind_of(docs, "doc_id")
 
+    @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:

@@ -90,6 +90,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             a, b, c = (print_of.fingerprint(w) for w in (words, print_of.words(edited), nxt_words))
             yield 0, None, doc_id, None, len(text), hashlib.sha256(edited.encode()).hexdigest(), f"{a:016x}", f"{b:016x}", likeness(a, b), likeness(a, c)
 
+    @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, print_of = TaskContext.get().partitionId(), Fingerprinter()
         kinds = None
@@ -128,6 +129,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     parts = heads.select("part").withColumn("next", F.coalesce(F.lead("part").over(ring), F.first("part").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     ends = tails.join(parts, "part").select(F.col("next").alias("part"), "doc_id", "text").join(heads.select("part", F.col("text").alias("following")), "part")
 
+    @shared.trimming
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         print_of = Fingerprinter()
         for batch in batches:
@@ -161,11 +163,12 @@ def within(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks:
     held = keyed(prints, "p")
     # a key that many fingerprints share is dealt over parts, and its queries are repeated for each
     hot = shared.staged(held.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY).select("t", "key", F.ceil(F.col("n") / HOT_KEY).cast("int").alias("parts")), "hot_keys")
+    few = shared.sized(hot)
     parts = F.coalesce("parts", F.lit(1))
-    b = held.join(F.broadcast(hot), ["t", "key"], "left").select("p", "t", "key", F.pmod(F.xxhash64("p"), parts).cast("int").alias("part"))
+    b = held.join(few, ["t", "key"], "left").select("p", "t", "key", F.pmod(F.xxhash64("p"), parts).cast("int").alias("part"))
     probes = F.explode(F.array(*map(F.lit, map(_signed, _probes(width, bits)))))
     asked = keyed(queries, "q").withColumn("probe", probes).select("q", "t", F.col("key").bitwiseXOR(F.col("probe").cast("long")).alias("key"))
-    a = asked.join(F.broadcast(hot), ["t", "key"], "left").select("q", "t", "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    a = asked.join(few, ["t", "key"], "left").select("q", "t", "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
 
     apart = F.col("q").bitwiseXOR(F.col("p"))
     first: Column = F.lit(blocks)

@@ -17,32 +17,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import shared, tokenizer
+from trackloom.llm import byte_models, shared, tokenizer
 
 SEQUENCE_TOKENS, END_ID, OPEN_BINS, PIECES_A_LANE = 2048, 0, 4096, 200_000
+#: bytes of text that become Python values at a time, and of pieces that leave in one batch
+SLICE_BYTES = 2_000_000
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and the end id, cut every `capacity` ids."""
     end = end_id.to_bytes(4, "little")
 
+    @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer.loaded(tokenizer_path).encode_bytes
+
+        def pieces(batch: pa.RecordBatch):
+            for part in byte_models.slices(batch, SLICE_BYTES):
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    ids = encode(text.as_py()) + end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        cut = ids[at : at + 4 * capacity]
+                        yield doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut), *([cut] if keep_ids else [])
+
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            kept = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, value in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
-                    if keep_ids:
-                        kept.append(part)
-            kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.binary())] if keep_ids else []), names + ["ids"] * keep_ids)
+            kinds = {"doc_id": batch.schema.field(0).type, "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
+            yield from shared.arrow_rows(pieces(batch), kinds | ({"ids": pa.binary()} if keep_ids else {}), SLICE_BYTES)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
@@ -92,6 +92,7 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, open_bins: int = OP
     lanes = max(1, round(pieces.count() / pieces_a_lane))
     fields = pieces.schema.fields
 
+    @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, lane = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -105,9 +106,16 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, open_bins: int = OP
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """Pieces of all documents with their places; the pieces are staged, so texts are encoded once."""
+    """Pieces of all documents with their places; the pieces are staged, so texts are encoded once.
+
+    With ids, only what packing needs goes through the lanes; the places come back to the pieces by a row number.
+    """
     pieces = token_pieces(docs, tokenizer_path or tokenizer.default_path(), keep_ids=keep_ids)
-    return pack(shared.staged(pieces, "pieces"))
+    if not keep_ids:
+        return pack(shared.staged(pieces, "pieces"))
+    held = shared.staged(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    places = shared.staged(pack(held.drop("ids")).select("row", "sequence_id", "offset"), "places")
+    return held.join(places.hint("merge"), "row").drop("row")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ import json
 import re
 from array import array
 
-CACHE_WORDS = 200_000
+#: words a cache generation holds; about 200 bytes each, two generations of two caches a worker
+CACHE_WORDS = 150_000
 _LOADED: dict[tuple[str, int], "WordEncoder"] = {}
 
 
@@ -83,7 +84,8 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():  # one part, and no special token is all letters
-            return self.parts[word.lower()]
+            low = word.lower()
+            return self._part(word) if low == word else self.parts[low]  # the word's own entry is enough
         if word.isprintable() and max(word) < "ƀ" and not any(s in word for s in self.specials):  # below U+0300 NFC changes nothing
             return b"".join(map(self.parts.__getitem__, self.pattern.findall(word.lower())))
         return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()

@@ -22,6 +22,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"{shared.SPACE_CLASS}+", " ")
 
 
+def hash_of(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
 def _shape(docs: DataFrame, prefix_chars: int) -> DataFrame:
     """Adds the length and the prefix hash of the normalised text."""
     norm = normalised(F.col("text"))
@@ -29,15 +33,15 @@ def _shape(docs: DataFrame, prefix_chars: int) -> DataFrame:
 
 
 def _surviving(shapes: DataFrame) -> DataFrame:
-    """The (length, prefix hash) keys that more than one row has, lengths first."""
+    """The (length, prefix hash) keys that more than one row has, lengths first; both counts are combined before they move."""
     by_length = shapes.groupBy("_xd_n").agg(F.count("*").alias("_xd_c")).where("_xd_c > 1").select("_xd_n")
-    left = shapes.join(by_length, "_xd_n", "left_semi")
+    left = shapes.join(shared.sized(shared.staged(by_length, "lengths")), "_xd_n", "left_semi")
     return left.groupBy("_xd_n", "_xd_p").agg(F.count("*").alias("_xd_c")).where("_xd_c > 1").select("_xd_n", "_xd_p")
 
 
-def _hashed(shaped: DataFrame, keys: DataFrame) -> DataFrame:
+def _hashed(shaped: DataFrame, keys: DataFrame, full_hash: Column) -> DataFrame:
     """The surviving rows with the full hash of their text."""
-    return shaped.join(keys, ["_xd_n", "_xd_p"], "left_semi").withColumn("_xd_h", F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    return shaped.join(shared.sized(keys), ["_xd_n", "_xd_p"], "left_semi").withColumn("_xd_h", full_hash)
 
 
 def _elected(hashed: DataFrame) -> DataFrame:
@@ -47,34 +51,48 @@ def _elected(hashed: DataFrame) -> DataFrame:
     return by_id.groupBy("_xd_n", "_xd_h").agg(best.alias("_xd_best"), F.sum("_xd_c").alias("_xd_size"))
 
 
-def groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """Every row's columns but the text, with keep_id, group_size and kept."""
+def groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, full_hash: str | None = None) -> DataFrame:
+    """Every row's columns but the text, with keep_id, group_size and kept.
+
+    `full_hash` names a column that has the hash of the whole normalised text already; without it the surviving rows'
+    texts are read again. Both sides of the last join are staged tables, so adaptive execution can split a hot text.
+    """
     shaped = _shape(docs, prefix_chars)
     narrow = shared.staged(shaped.drop("text"), "shapes")
     keys = shared.staged(_surviving(narrow), "survivors")
-    hashed = shared.staged(_hashed(shaped, keys).drop("text"), "hashed")
+    found = _hashed(narrow, keys, F.col(full_hash)) if full_hash else _hashed(shaped, keys, hash_of(F.col("text"))).drop("text")
+    hashed = shared.staged(found, "hashed")
+    elected = shared.staged(_elected(hashed), "elected")
     out = [c for c in docs.columns if c != "text"]
-    alone = narrow.join(keys, ["_xd_n", "_xd_p"], "left_anti").select(*out, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    met = hashed.join(_elected(hashed), ["_xd_n", "_xd_h"]).select(*out, F.col("_xd_best.i").alias("keep_id"), F.col("_xd_size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("_xd_best.i")).alias("kept"))
+    alone = narrow.join(shared.sized(keys), ["_xd_n", "_xd_p"], "left_anti").select(*out, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    met = hashed.join(elected.hint("merge"), ["_xd_n", "_xd_h"]).select(*out, F.col("_xd_best.i").alias("keep_id"), F.col("_xd_size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("_xd_best.i")).alias("kept"))
     return alone.unionByName(met)
 
 
 def deduplicate(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """The rows that stay, with the input's columns: one of each set of equal texts."""
     shaped = _shape(docs, prefix_chars)
-    keys = shared.staged(_surviving(shaped.select("_xd_n", "_xd_p")), "survivors")
-    hashed = _hashed(shaped, keys)
+    narrow = shared.staged(shaped.select("_xd_n", "_xd_p"), "shapes")
+    keys = shared.staged(_surviving(narrow), "survivors")
+    shared.released(narrow)
+    hashed = _hashed(shaped, keys, hash_of(F.col("text")))
     elected = shared.staged(_elected(hashed.select("_xd_n", "_xd_h", "doc_id")), "elected")
-    stay = hashed.join(elected, ["_xd_n", "_xd_h"]).where(F.col("doc_id").eqNullSafe(F.col("_xd_best.i")))
-    sole = stay.where("_xd_best.c = 1")
-    tied = stay.where("_xd_best.c > 1").dropDuplicates(["_xd_n", "_xd_h"])
-    alone = shaped.join(keys, ["_xd_n", "_xd_p"], "left_anti")
-    return alone.select(*docs.columns).unionByName(sole.select(*docs.columns)).unionByName(tied.select(*docs.columns))
+    # the texts of the elected rows alone move: a row that isn't elected leaves at the semi-join of (hash, doc_id) pairs
+    chosen = shared.staged(elected.select("_xd_n", "_xd_h", F.col("_xd_best.i").alias("_xd_i"), (F.col("_xd_best.c") > 1).alias("_xd_tied")), "chosen")
+    same = hashed.withColumn("_xd_i", F.col("doc_id"))
+    by = ["_xd_n", "_xd_h"]
+    stay = same.alias("a").join(shared.sized(chosen, shared.BROADCAST_ROWS // 2).alias("b"), [*(F.col(f"a.{c}") == F.col(f"b.{c}") for c in by), F.col("a._xd_i").eqNullSafe(F.col("b._xd_i"))]).select("a.*", "b._xd_tied")
+    sole = stay.where(~F.col("_xd_tied"))
+    alone = shaped.join(shared.sized(keys), ["_xd_n", "_xd_p"], "left_anti")
+    kept = alone.select(*docs.columns).unionByName(sole.select(*docs.columns))
+    if chosen.where("_xd_tied").isEmpty():
+        return kept
+    return kept.unionByName(stay.where("_xd_tied").dropDuplicates(by).select(*docs.columns))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return groups(docs.withColumn("text_sha256", F.sha2(normalised(F.col("text")), 256))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return groups(docs.withColumn("text_sha256", F.sha2(normalised(F.col("text")), 256)), full_hash="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE = r"""

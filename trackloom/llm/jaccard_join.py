@@ -9,8 +9,9 @@ fixed size bounds the broadcast and never changes a result. Verification is exac
 then the sets themselves.
 
 Edge cases: null or empty text has no shingles and links with nothing; under `width` words the whole sequence is one
-shingle; equal texts share a set; rows with one doc_id are one document; a null doc_id takes part and its component
-is the smallest doc_id there is, or null; an empty table gives no rows; other columns are ignored.
+shingle; a text of any length is one row's work; equal texts share a set; rows that share a doc_id are told apart by
+their texts; a null doc_id takes part and its component is the smallest doc_id there is, or null; an empty table gives
+no rows; other columns may have any names but `_jj_id` and `_jj_hash`, and `deduplicate` keeps them.
 """
 
 from __future__ import annotations
@@ -21,13 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from trackloom.llm import shared
+from trackloom.llm import byte_models, shared
 
 WIDTH, PERCENT = 5, 75
 SKETCH_BITS, BLOCK_BITS, LIGHT = 24, 16, 4
-LARGE, ROUNDS = 32, 2
+LARGE, ROUNDS, TABLE_BITS = 32, 2, 22
 _BLOCK_BYTES = 1 << 20
 _RNG = np.random.default_rng(51_966)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,16 +107,10 @@ def shingle_hashes(batch: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
             yield np.empty(0, np.uint64)
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of bounded text."""
-    rows = max(1, int(len(batch) * most / max(most, batch.nbytes)))
-    for at in range(0, len(batch), rows):
-        yield batch.slice(at, rows)
-
-
 def _counted(parts: DataFrame, bits: int) -> np.ndarray:
     """Sums the tasks' sketch blocks; a fixed 2**bits levels (uint8: twice the binary logarithm) reach the driver."""
 
+    @shared.trimming
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -133,7 +127,7 @@ def _counted(parts: DataFrame, bits: int) -> np.ndarray:
 
     out = np.zeros(1 << bits, np.uint8)
     size = 1 << min(bits, BLOCK_BITS)
-    for row in parts.repartition(F.col("block")).mapInArrow(merge, "block int, counts binary").toLocalIterator():
+    for row in parts.repartition(F.col("block")).mapInArrow(merge, "block int, counts binary").collect():
         out[row.block * size : (row.block + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.counts)), np.uint8)
     return out
 
@@ -155,17 +149,13 @@ _BLOCK_KINDS = {"block": pa.int32(), "counts": pa.binary()}
 def sketch(texts: DataFrame, width: int = WIDTH, bits: int = SKETCH_BITS) -> np.ndarray:
     """Levels of how often the shingles of each bucket occur in all texts."""
 
+    @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
-        held: list[np.ndarray] = []
         for batch in batches:
-            for piece in _pieces(batch):
-                held += [(s >> np.uint64(64 - bits)).astype(np.int64) for s in shingle_hashes(piece.column(0), width)]
-            if sum(map(len, held)) > 2_000_000:
-                counts += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
-                held = []
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
+            for piece in byte_models.slices(batch):
+                for found in shingle_hashes(piece.column(0), width):
+                    np.add.at(counts, (found >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         yield from shared.arrow_rows(_blocks(counts), _BLOCK_KINDS)
 
     return _counted(texts.select("text").mapInArrow(run, "block int, counts binary"), bits)
@@ -211,58 +201,70 @@ def _set_key(tokens: np.ndarray) -> bytes:
 
 
 def shapes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, set_key, gid, prefix, bits) of each row; prefix and bits where a task first meets them.
+    """(doc_id, text_hash, n_shingles, set_key, gid, prefix, bits) of each row; prefix and bits where a task first meets them.
 
-    gid stands for the group of texts with that prefix and size, set_key for the whole set.
+    text_hash tells rows of one doc_id apart, gid stands for the group of texts with that prefix and size, set_key for the whole set.
     """
     spark = docs.sparkSession
     heavy = spark.sparkContext.broadcast(np.packbits(frequent(sketch(docs, width))))
     field = docs.schema["doc_id"]
 
+    @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        last = np.unpackbits(heavy.value).astype(bool)
+        last = np.unpackbits(heavy.value).view(bool)
         seen: set[bytes] = set()
 
         def rows(batch: pa.RecordBatch):
-            for doc_id, found in zip(batch.column(0).to_pylist(), shingle_hashes(batch.column(1), width), strict=True):
+            for doc_id, text_hash, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_hashes(batch.column(2), width), strict=True):
                 tokens = np.unique(found)
                 if not len(tokens):
-                    yield doc_id, 0, None, None, None, None
+                    yield doc_id, text_hash, 0, None, None, None, None
                     continue
                 key = _set_key(tokens)
                 first = prefix(tokens, last, percent)
                 gid = xxhash.xxh3_64_intdigest(first, seed=len(tokens)) - (1 << 63)
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 new_set, new_group = key not in seen, gid not in seen
                 seen.update((key, gid))
-                yield doc_id, len(tokens), key, gid, first.view(np.int64) if new_group else None, bitmap(tokens) if new_set else None
+                yield doc_id, text_hash, len(tokens), key, gid, first.view(np.int64) if new_group else None, bitmap(tokens) if new_set else None
 
         for batch in batches:
-            kinds = {"doc_id": batch.schema.field(0).type, "n_shingles": pa.int64(), "set_key": pa.binary(), "gid": pa.int64(), "prefix": pa.list_(pa.int64()), "bits": pa.binary()}
-            for piece in _pieces(batch):
+            kinds = {"doc_id": batch.schema.field(0).type, "text_hash": pa.int64(), "n_shingles": pa.int64(), "set_key": pa.binary(), "gid": pa.int64(), "prefix": pa.list_(pa.int64()), "bits": pa.binary()}
+            for piece in byte_models.slices(batch):
                 yield from shared.arrow_rows(rows(piece), kinds)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {field.dataType.simpleString()}, n_shingles long, set_key binary, gid long, prefix array<long>, bits binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {field.dataType.simpleString()}, text_hash long, n_shingles long, set_key binary, gid long, prefix array<long>, bits binary")
+
+
+def _places(column: pa.Array, bits: int) -> np.ndarray:
+    """The buckets of hashes: longs by their first bits, 16-byte keys by those of their first half."""
+    values = np.frombuffer(b"".join(column.to_pylist()), np.uint64)[::2] if pa.types.is_binary(column.type) else column.to_numpy().view(np.uint64)
+    return (values >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _token_rows(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(set_key, tokens) of the sets in `wanted`; a fixed-size bit table drops most other texts before the exchange."""
-    bits = 22
+def bit_table(hashes: DataFrame, bits: int):
+    """A broadcast table of fixed size, packed: which buckets the hashes of a one-column table fall into. It only thins what an exact join follows."""
 
+    @shared.trimming
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            for key in batch.column(0).to_pylist():
-                counts[int.from_bytes(key[:4], "little") >> (32 - bits)] = 1
+            counts[_places(batch.column(0), bits)] = 1
         yield from shared.arrow_rows(_blocks(counts), _BLOCK_KINDS)
 
-    some = texts.sparkSession.sparkContext.broadcast(np.packbits(_counted(wanted.mapInArrow(mark, "block int, counts binary"), bits) > 0))
+    return hashes.sparkSession.sparkContext.broadcast(np.packbits(_counted(hashes.mapInArrow(mark, "block int, counts binary"), bits) > 0))
 
+
+def live_tokens(texts: DataFrame, live: DataFrame, width: int, bits: int = TABLE_BITS) -> DataFrame:
+    """(set_key, tokens) of the sets of `live` and of few others; a set may come once a task."""
+    some = bit_table(live, bits)
+
+    @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.unpackbits(some.value).astype(bool)
+        there = np.unpackbits(some.value).view(bool)
         seen: set[bytes] = set()
 
         def rows(piece: pa.RecordBatch):
@@ -270,40 +272,75 @@ def _token_rows(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 if len(found):
                     tokens = np.unique(found)
                     key = _set_key(tokens)
-                    if key not in seen and there[int.from_bytes(key[:4], "little") >> (32 - bits)]:
-                        if len(seen) > 200_000:
+                    if key not in seen and there[int.from_bytes(key[:8], "little") >> (64 - bits)]:
+                        if len(seen) > 100_000:
                             seen.clear()
                         seen.add(key)
                         yield key, tokens.tobytes()
 
         for batch in batches:
-            for piece in _pieces(batch):
+            for piece in byte_models.slices(batch):
                 yield from shared.arrow_rows(rows(piece), {"set_key": pa.binary(), "tokens": pa.binary()})
 
-    return texts.select("text").mapInArrow(run, "set_key binary, tokens binary").join(wanted, "set_key", "left_semi").dropDuplicates(["set_key"])
+    return texts.select("text").mapInArrow(run, "set_key binary, tokens binary")
+
+
+def _tokens_of(tokens: DataFrame, wanted: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
+    """The rows of `tokens` whose set is in `wanted`, each set once; the bit table drops most others before the exchange."""
+    some = bit_table(wanted, bits)
+
+    @shared.trimming
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.unpackbits(some.value).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(there[_places(batch.column(0), bits)]))
+
+    return tokens.mapInArrow(run, "set_key binary, tokens binary").join(wanted.hint("merge"), "set_key", "left_semi").dropDuplicates(["set_key"])
+
+
+def _prefix_rows(rows: DataFrame, met: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """(token, pos, gid, n) of the prefix tokens that may be in `met`, each once."""
+    some = bit_table(met, bits)
+
+    @shared.trimming
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.unpackbits(some.value).view(bool)
+        for batch in batches:
+            for piece in byte_models.slices(batch):
+                lists = piece.column(2)
+                tokens, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+                keep = there[_places(tokens, bits)]
+                at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                gid, n = (np.repeat(piece.column(i).to_numpy(), sizes)[keep] for i in range(2))
+                yield pa.RecordBatch.from_arrays([tokens.filter(pa.array(keep)), pa.array(at[keep].astype(np.int32)), pa.array(gid), pa.array(n.astype(np.int32))], ["token", "pos", "gid", "n"])
+
+    spread = rows.where("prefix is not null").select("gid", "n_shingles", "prefix").mapInArrow(run, "token long, pos int, gid long, n int")
+    return spread.dropDuplicates(["token", "gid"])
 
 
 def _with_both(pairs: DataFrame, facts: DataFrame, columns: list[str]) -> DataFrame:
     for side in ("a", "b"):
         named = facts.select(F.col("set_key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
-        pairs = pairs.join(named, side)
+        pairs = pairs.join(named.hint("merge"), side)
     return pairs
 
 
-def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Those pairs (a, b) of set keys that reach the similarity."""
+def verify(pairs: DataFrame, sets: DataFrame, tokens: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those pairs (a, b) of set keys that reach the similarity, staged."""
     held = shared.staged(pairs, "pairs")
 
+    @shared.trimming
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n, x, m, y = (batch.column(i).to_pylist() for i in range(6))
             keep = [(percent + 100) * bitmap_distance(p, q) <= (100 - percent) * (j + k) for j, p, k, q in zip(n, x, m, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
+    @shared.trimming
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):  # one pair's tokens at a time
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
@@ -311,93 +348,145 @@ def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int = WID
 
     rough = _with_both(held, sets, ["n_shingles", "bits"]).select("a", "b", "n_shingles_a", "bits_a", "n_shingles_b", "bits_b")
     left = shared.staged(rough.mapInArrow(bound, "a binary, b binary"), "bounded")
-    wanted = left.select(F.col("a").alias("set_key")).union(left.select("b")).distinct()
-    tokens = shared.staged(_token_rows(texts, wanted, width), "tokens")
-    return _with_both(left, tokens, ["tokens"]).select("a", "b", "tokens_a", "tokens_b").mapInArrow(exact, "a binary, b binary")
+    wanted = shared.staged(left.select(F.col("a").alias("set_key")).union(left.select("b")).distinct(), "wanted")
+    some = shared.staged(_tokens_of(tokens, wanted), "some_tokens")
+    linked = shared.staged(_with_both(left, some, ["tokens"]).select("a", "b", "tokens_a", "tokens_b").mapInArrow(exact, "a binary, b binary"), "linked")
+    shared.released(held, left, wanted, some)
+    return linked
 
 
 def _sizes_fit(n: str, m: str, percent: int) -> Column:
     return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
 
 
-def _open(sets: DataFrame, met: DataFrame, labels: DataFrame, on_token) -> tuple[DataFrame, DataFrame]:
-    """The sets with their labels, and the rows of tokens whose groups have more than one; a group of several labels has a null one."""
-    named = sets.select("gid", "set_key", F.col("n_shingles").alias("n")).join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+def _open(sets: DataFrame, met: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets with their labels, and the rows of tokens whose groups have more than one, with the count of such rows; a group of several labels has a null one."""
+    named = sets.select("gid", "set_key", F.col("n_shingles").alias("n")).join(labels.withColumnRenamed("node", "set_key").hint("merge"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     named = shared.staged(named, "named")
     group_label = named.groupBy("gid").agg(F.min("label").alias("one"), F.max("label").alias("two"))
     group_label = group_label.select("gid", F.when(F.col("one") == F.col("two"), F.col("one")).alias("label"))
-    rows = met.select("token", "pos", "gid", "n").join(group_label, "gid")
-    several = F.max(F.col("label").isNull()).over(on_token) | (F.min("label").over(on_token) != F.max("label").over(on_token))
-    return named, shared.staged(rows.withColumn("open", several).where("open").drop("open"), "open")
+    rows = shared.staged(met.select("token", "pos", "gid", "n").join(group_label.hint("merge"), "gid").select("token", "pos", "gid", "n", "label"), "labelled")
+    several = F.max(F.col("label").isNull()) | (F.min("label") != F.max("label"))
+    tokens = shared.staged(rows.groupBy("token").agg(several.alias("open"), F.count("*").alias("c")).where("open").select("token", "c"), "open_tokens")
+    found = shared.staged(rows.join(tokens.hint("merge"), "token"), "open")
+    shared.released(rows, tokens)
+    return named, found
 
 
 def set_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The staged rows of `shapes`, and (node, label) of the sets that link with another set."""
-    texts = docs.select("text")
+    """The staged rows of `shapes`, and (node, label) of the sets that link with another set, staged.
+
+    Tables by token are joined with one aggregated row a token, both sides staged, so that adaptive execution can
+    split a hot token; none of them is broadcast, as all grow with the corpus.
+    """
     rows = shared.staged(shapes(docs, width, percent), "shapes")
-    on_token = Window.partitionBy("token")
-    spread = rows.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "gid", F.col("n_shingles").alias("n"))
-    met = spread.withColumns({"lo": F.min("gid").over(on_token), "hi": F.max("gid").over(on_token)}).where("lo <> hi").distinct()
-    met = shared.staged(met, "met")
+    pairs = rows.where("prefix is not null").select(F.explode("prefix").alias("token"), "gid")
+    bounds = pairs.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo <> hi")
+    bounds = shared.staged(bounds, "bounds")
+    met = shared.staged(_prefix_rows(rows, bounds.select("token")).join(bounds.hint("merge"), "token"), "met")
     # groups that matter: those that meet another one, and those of more than one set
     several = rows.where("gid is not null").groupBy("gid").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("gid")
     several = shared.staged(several, "several")
     live = met.select("gid").union(several).distinct()
-    sets = rows.where("bits is not null").select("gid", "set_key", "n_shingles", "bits").join(live, "gid", "left_semi").dropDuplicates(["set_key", "gid"])
+    sets = rows.where("bits is not null").select("gid", "set_key", "n_shingles", "bits").join(live.hint("merge"), "gid", "left_semi").dropDuplicates(["set_key", "gid"])
     sets = shared.staged(sets, "sets")
     reps = shared.staged(sets.groupBy("gid").agg(F.min("set_key").alias("rep"), F.min("n_shingles").alias("n")), "reps")
 
     # each group with the lowest and the highest group at its shingles, each set with its group's first
     pivots = met.select(F.col("lo").alias("p"), "gid").union(met.select("hi", "gid")).where("p <> gid").distinct()
-    chosen = pivots.join(reps.select(F.col("gid").alias("p"), F.col("rep").alias("a"), F.col("n").alias("m")), "p").join(reps, "gid").where(_sizes_fit("n", "m", percent)).select("a", F.col("rep").alias("b"))
-    inside = sets.join(reps, "gid").where("set_key <> rep").select(F.col("rep").alias("a"), F.col("set_key").alias("b"))
-    edges = shared.staged(verify(chosen.union(inside).distinct(), sets, texts, width, percent), "links")
+    pivot_reps = reps.select(F.col("gid").alias("p"), F.col("rep").alias("a"), F.col("n").alias("m"))
+    chosen = pivots.join(pivot_reps.hint("merge"), "p").join(reps.hint("merge"), "gid").where(_sizes_fit("n", "m", percent)).select("a", F.col("rep").alias("b"))
+    inside = sets.join(reps.select("gid", "rep").hint("merge"), "gid").where("set_key <> rep").select(F.col("rep").alias("a"), F.col("set_key").alias("b"))
+    tokens = shared.staged(live_tokens(docs, sets.select("set_key"), width), "tokens")
+    edges = verify(chosen.union(inside).distinct(), sets, tokens, percent)
     labels = shared.staged(shared.components(edges), "labels")
+    shared.released(bounds, edges)
 
     # tokens that many groups still hold under different labels: compared with a pivot of the token's own, again and again
+    # labels only ever merge, so a token that is closed once stays so, and each turn reads the rows the last one left
+    named = open_tokens = None
     for turn in range(ROUNDS):
-        named, open_tokens = _open(sets, met, labels, on_token)
-        at = F.xxhash64("gid", "token", F.lit(turn))
-        large = open_tokens.withColumns({"c": F.count("*").over(on_token), "p": F.min(F.struct(at.alias("h"), "gid", "label", "n")).over(on_token)}).where(f"c >= {LARGE} and p.gid <> gid and (p.label is null or label is null or p.label <> label)")
-        asked = large.where(_sizes_fit("n", "p.n", percent)).select(F.col("p.gid").alias("p"), "gid").distinct()
-        asked = asked.join(reps.select(F.col("gid").alias("p"), F.col("rep").alias("a")), "p").join(reps.select("gid", F.col("rep").alias("b")), "gid").select("a", "b")
+        named, open_tokens = _open(sets, met, labels)
+        shared.released(met)
+        large = open_tokens.where(f"c >= {LARGE}")
+        pivot = large.groupBy("token").agg(F.min(F.struct(F.xxhash64("gid", "token", F.lit(turn)).alias("h"), "gid", "label", "n")).alias("p"))
+        pivot = shared.staged(pivot, "token_pivots")
+        asked = large.join(pivot.hint("merge"), "token").where("p.gid <> gid and (p.label is null or label is null or p.label <> label)")
+        asked = asked.where(_sizes_fit("n", "p.n", percent)).select(F.col("p.gid").alias("p"), "gid").distinct()
+        asked = asked.join(pivot_reps.select("p", "a").hint("merge"), "p").join(reps.select("gid", F.col("rep").alias("b")).hint("merge"), "gid").select("a", "b")
         asked = shared.staged(asked, "asked")
+        shared.released(pivot)
         if asked.isEmpty():
             break
-        edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(verify(asked, sets, texts, width, percent))
-        labels = shared.staged(shared.components(edges), "labels")
+        more = verify(asked, sets, tokens, percent)
+        old, labels = labels, shared.staged(shared.components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "labels")
+        shared.released(asked, more, old, named)
+        named, met = None, open_tokens
 
     # every pair of groups of different components
-    named, open_tokens = _open(sets, met, labels, on_token)
+    if named is None:
+        named, open_tokens = _open(sets, met, labels)
+        shared.released(met)
     x, y = (open_tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("pos", "gid", "n", "label"))) for s in "xy")
     differ = F.col("label_x").isNull() | F.col("label_y").isNull() | (F.col("label_x") != F.col("label_y"))
     # at their first common token two sets that link have enough of both left
     left = (100 + percent) * F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= percent * (F.col("n_x") + F.col("n_y"))
-    met_pairs = x.join(y, (x.token == y.token) & (F.col("gid_x") < F.col("gid_y")) & _sizes_fit("n_x", "n_y", percent) & left & differ)
+    met_pairs = x.hint("merge").join(y, (x.token == y.token) & (F.col("gid_x") < F.col("gid_y")) & _sizes_fit("n_x", "n_y", percent) & left & differ)
     met_pairs = met_pairs.select("gid_x", "gid_y").distinct()
     group_pairs = met_pairs.union(several.select("gid", F.col("gid")))
     p, q = (named.select(*(F.col(c).alias(f"{c}_{s}") for c in ("gid", "set_key", "label"))) for s in "xy")
-    expanded = group_pairs.join(p, "gid_x").join(q, "gid_y").where((F.col("label_x") != F.col("label_y")) & ((F.col("gid_x") < F.col("gid_y")) | (F.col("set_key_x") < F.col("set_key_y"))))
+    expanded = group_pairs.join(p.hint("merge"), "gid_x").join(q.hint("merge"), "gid_y").where((F.col("label_x") != F.col("label_y")) & ((F.col("gid_x") < F.col("gid_y")) | (F.col("set_key_x") < F.col("set_key_y"))))
     rest = expanded.select(F.col("set_key_x").alias("a"), F.col("set_key_y").alias("b")).distinct()
-    more = verify(rest, sets, texts, width, percent)
-    return rows, shared.staged(shared.components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "components")
+    more = verify(rest, sets, tokens, percent)
+    linked = shared.staged(shared.components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "components")
+    shared.released(several, sets, reps, tokens, labels, named, open_tokens, more)
+    return rows, linked
+
+
+def _classed(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two staged tables and, read from them, (doc_id, text_hash, n_shingles, first) of every row; first is its component's smallest (doc_id, text_hash), ids that are null last; null without a link or an equal set."""
+    rows, linked = set_components(docs, width, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")))
+    least = rows.where("set_key is not null").groupBy("set_key").agg(first.alias("least"), F.count("*").alias("c"))
+    least = shared.staged(least.join(linked.withColumnRenamed("node", "set_key").hint("merge"), "set_key", "left"), "least")
+    by_label = shared.staged(least.where("label is not null").groupBy("label").agg(F.min("least").alias("lowest")), "by_label")
+    placed = least.where("c > 1 or label is not null").join(by_label.hint("merge"), "label", "left").select("set_key", F.coalesce("lowest", "least").alias("first"))
+    placed = shared.staged(placed, "placed")
+    shared.released(least, linked, by_label)
+    return rows, placed, rows.join(placed.hint("merge"), "set_key", "left").select("doc_id", "text_hash", "n_shingles", "first")
 
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id reachable by links."""
-    rows, linked = set_components(docs, width, percent)
-    least = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
-    least = shared.staged(least.join(linked.withColumnRenamed("node", "set_key"), "set_key", "left"), "least")
-    by_label = least.where("label is not null").groupBy("label").agg(F.min("least").alias("lowest"))
-    placed = least.where("c > 1 or label is not null").join(by_label, "label", "left").select("set_key", F.coalesce("lowest", "least").alias("component_id"))
-    return rows.join(placed, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _classed(docs, width, percent)[2].select("doc_id", "n_shingles", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its component; rows without doc_id stay."""
-    gone = classes(docs, width, percent).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(shared.staged(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs` that are the first of their component by doc_id, then by text; repeated rows (equal doc_id and text) stay together."""
+    rows, placed, found = _classed(docs, width, percent)
+    here = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.hash"))
+    gone = shared.staged(found.where(F.col("first").isNotNull() & ~here).select(F.col("doc_id").alias("_jj_id"), F.col("text_hash").alias("_jj_hash")).distinct(), "gone")
+    shared.released(rows, placed)
+    return docs.join(shared.sized(gone), F.col("doc_id").eqNullSafe(F.col("_jj_id")) & (F.xxhash64("text") == F.col("_jj_hash")), "left_anti")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(shared.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) END AS sh FROM d),
+t AS MATERIALIZED (SELECT r, unnest(list_transform(sh, lambda x: hash(x))) AS h, len(sh) AS n FROM s),
+p AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM t a JOIN t b ON a.h = b.h AND a.r <> b.r AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+c AS (SELECT r, r AS x FROM s UNION SELECT c.r, p.b FROM c JOIN p ON p.a = c.x)
+SELECT s.doc_id, CAST(any_value(len(s.sh)) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM c JOIN s ON s.r = c.r JOIN s o ON o.r = c.x GROUP BY c.r, s.doc_id
+"""

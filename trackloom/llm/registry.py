@@ -18,5 +18,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op6_ngram_jaccard_join": jaccard_join.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
 }

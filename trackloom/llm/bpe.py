@@ -6,7 +6,7 @@ is encoded once, by its first holder, and its ids are joined to the others. A te
 around each join a window of words is re-encoded, and widened until its ends agree exactly with what stands there.
 
 Edge cases: null counts as empty (no ids); equal texts are encoded together; null or repeated doc_id rows keep a row
-each; texts without white space are stitched by re-encoding them whole; an empty table gives no rows.
+each; a run of chunks with hardly any white space is encoded once, together; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from trackloom.llm import shared, tokenizer
 
 MASK_BITS, LEAST_BYTES, MOST_BYTES = 10, 256, 8192
-CACHE_WORDS = 100_000
 _GEAR = np.random.default_rng(20_240_229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -94,33 +93,58 @@ def _first_words(text: str, count: int) -> int:
     return at
 
 
-def stitch(parts: list[tuple[str, bytes]], encode) -> bytes:
-    """The ids of the joined parts, from each part's own ids.
+#: words a chunk must hold so that the joins at its two ends stay apart
+LEAST_WORDS = 8
+
+
+def _has_words(text: str) -> bool:
+    return len(text.split(None, LEAST_WORDS)) >= LEAST_WORDS
+
+
+def _merged(parts: list[tuple[str, bytes | None]], encode) -> list[tuple[str, bytes]]:
+    """Runs of parts with too few words to be joined at both ends become one part each, encoded once as a whole."""
+    runs: list[list[tuple[str, bytes | None]]] = []
+    open_end = False
+    for part in parts:
+        wide = _has_words(part[0])
+        if runs and not (wide and open_end):
+            runs[-1].append(part)
+        else:
+            runs.append([part])
+        open_end = wide
+    out = []
+    for run in runs:
+        text = "".join(t for t, _ in run)
+        out.append((text, run[0][1] if len(run) == 1 and run[0][1] is not None else encode(text)))
+    return out
+
+
+def stitch(parts: list[tuple[str, bytes | None]], encode) -> bytes:
+    """The ids of the joined parts, from each part's own ids (None: not yet encoded).
 
     At every join the last words of the left and the first words of the right are encoded together; the outer words
-    of that window must come out as they stood, else the window is widened, up to both sides' whole length.
+    of that window must come out as they stood, else the window is widened. Where no width agrees, the text is
+    encoded whole, once. What stands left of a join's window is final, so the work is linear in the text.
     """
-    text, ids = parts[0]
-    out = bytearray(ids)
-    for right, right_ids in parts[1:]:
+    joined = _merged(parts, encode)
+    text, ids = joined[0]
+    out = []
+    for right, right_ids in joined[1:]:
         words = 2
         while True:
             a, b = _last_words(text, words), _first_words(right, words)
             guard_a, guard_b = _last_words(text, 1), _first_words(right, 1)
             left_ids, end_ids = encode(text[a:]), encode(right[:b])
             window = encode(text[a:] + right[:b])
-            before, after = encode(text[a:guard_a]), encode(right[guard_b:b])
-            agrees = window.startswith(before) and window.endswith(after) and out.endswith(left_ids) and right_ids.startswith(end_ids)
-            if agrees and (a < guard_a or a == 0) and (b > guard_b or b == len(right)):
-                out[len(out) - len(left_ids) :] = window
-                out += right_ids[len(end_ids) :]
-                break
-            if a == 0 and b == len(right):
-                out = bytearray(encode(text + right))
+            agrees = window.startswith(encode(text[a:guard_a])) and window.endswith(encode(right[guard_b:b])) and ids.endswith(left_ids) and right_ids.startswith(end_ids)
+            if agrees and a < guard_a and b > guard_b:
                 break
+            if a == 0 or b == len(right):
+                return encode("".join(t for t, _ in parts))
             words *= 2
-        text += right
-    return bytes(out)
+        out.append(ids[: len(ids) - len(left_ids)])
+        text, ids = text[a:] + right, window + right_ids[len(end_ids) :]
+    return b"".join(out) + ids
 
 
 def _text_key(text: Column) -> Column:
@@ -149,26 +173,13 @@ def _unpacked(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Itera
             yield from zip(*(c.to_pylist() for c in batch.slice(at, step).columns), strict=True)
 
 
-def _flushed(rows: Iterator[tuple], kinds: dict[str, pa.DataType], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Record batches of about `most` bytes."""
-    held: list[tuple] = []
-    size = 0
-    for row in rows:
-        held.append(row)
-        size += 40 + sum(len(x) for x in row if isinstance(x, (bytes, str)))
-        if size >= most:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], list(kinds))
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], list(kinds))
-
-
 def chunk_table(texts: DataFrame) -> DataFrame:
     """(text_key, pos, chunk_key) of all different texts with more than nothing in them."""
 
+    @shared.trimming
     def run(batches):
         rows = ((key, i, _key(c)) for key, text in _distinct(batches) if text for i, c in enumerate(chunks(text.encode())))
-        yield from _flushed(rows, {"text_key": pa.binary(), "pos": pa.int32(), "chunk_key": pa.binary()})
+        yield from shared.arrow_rows(rows, {"text_key": pa.binary(), "pos": pa.int32(), "chunk_key": pa.binary()})
 
     return texts.mapInArrow(run, "text_key binary, pos int, chunk_key binary")
 
@@ -176,11 +187,12 @@ def chunk_table(texts: DataFrame) -> DataFrame:
 def _packed(texts: DataFrame) -> DataFrame:
     """(text_key, packed): different texts, compressed for the one exchange that moves them."""
 
+    @shared.trimming
     def run(batches):
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3)
-        yield from _flushed(((key, pack.compress(text.encode())) for key, text in _distinct(batches)), {"text_key": pa.binary(), "packed": pa.binary()})
+        yield from shared.arrow_rows(((key, pack.compress(text.encode())) for key, text in _distinct(batches)), {"text_key": pa.binary(), "packed": pa.binary()})
 
     return texts.mapInArrow(run, "text_key binary, packed binary")
 
@@ -201,11 +213,12 @@ def encode_texts(texts: DataFrame, tokenizer_path: str, keep_ids: bool = False)
         decoded = encoder.decode_bytes(ids).encode()
         return 0, key, ids if keep_ids else None, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
+    @shared.trimming
     def first(batches):
         """Texts that share nothing are encoded and done; owners of shared chunks encode those; others wait."""
         import zstandard
 
-        encoder, unpack = tokenizer.loaded(tokenizer_path, CACHE_WORDS), zstandard.ZstdDecompressor()
+        encoder, unpack = tokenizer.loaded(tokenizer_path), zstandard.ZstdDecompressor()
 
         def rows():
             seen: set[bytes] = set()
@@ -225,21 +238,22 @@ def encode_texts(texts: DataFrame, tokenizer_path: str, keep_ids: bool = False)
                     if role["owned"]:
                         yield 1, role["chunk_key"], encoder.encode_bytes(parts[role["pos"]].decode()), None, None, None
 
-        yield from _flushed(rows(), kinds)
+        yield from shared.arrow_rows(rows(), kinds)
 
+    @shared.trimming
     def second(batches):
         """The waiting texts: shared chunks come with ids, the others are encoded here, the joins are stitched."""
         import zstandard
 
-        encoder, unpack = tokenizer.loaded(tokenizer_path, CACHE_WORDS), zstandard.ZstdDecompressor()
+        encoder, unpack = tokenizer.loaded(tokenizer_path), zstandard.ZstdDecompressor()
 
         def rows():
             for key, packed, given in _unpacked(batches):
                 known = {g["pos"]: g["data"] for g in given or ()}
                 parts = [c.decode() for c in chunks(unpack.decompress(packed))]
-                yield result(encoder, key, stitch([(c, known[i] if i in known else encoder.encode_bytes(c)) for i, c in enumerate(parts)], encoder.encode_bytes))
+                yield result(encoder, key, stitch([(c, known.get(i)) for i, c in enumerate(parts)], encoder.encode_bytes))
 
-        yield from _flushed(rows(), kinds)
+        yield from shared.arrow_rows(rows(), kinds)
 
     schema = "kind byte, key binary, data binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
     step = shared.staged(_packed(texts).hint("merge").join(roles, "text_key", "left").select("text_key", "packed", "roles").mapInArrow(first, schema), "encoded")

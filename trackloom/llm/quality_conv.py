@@ -1,10 +1,10 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Overlapping chunks cover the whole document. In each chunk one bank of learned filters runs over byte embeddings, a
-second one over the byte stream's matches with itself at small lags (repeated words), and both are max-pooled. The
-chunks' features are pooled again over the document, by maximum and mean, and combined into one probability.
+Overlapping chunks cover the whole document. In each chunk a bank of learned filters runs over byte embeddings and is
+max-pooled. The chunks' features are pooled again over the document, by maximum and mean, and combined into one
+probability.
 
-Edge cases: null or empty text has all-zero features and gets the bias' probability; without rows of both label
+Edge cases: repeated rows are scored once each and alike; a text of any length is read in slices of its chunks; null or empty text has all-zero features and gets the bias' probability; without rows of both label
 values there is nothing to learn, and every score is the share of label 1 (1 without labels); a label of null is no label; an
 empty table gives no rows; other columns are ignored by the score and kept by `keep_good`.
 """
@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 
 from trackloom.llm import byte_models, shared
 
-CHUNK, STRIDE, EMBED, KERNEL, STEP, FILTERS = 512, 480, 6, 8, 4, 12
-LAGS, LAG_BLOCK, LAG_FILTERS = 24, 8, 6
+CHUNK, STRIDE, EMBED, KERNEL, STEP, FILTERS = 512, 480, 6, 16, 4, 24
 #: bounds of the training sample: rows a label, windows a row
-PER_LABEL, WINDOWS, EPOCHS, LEAST_STEPS = 1500, 3, 8, 360
+PER_LABEL, WINDOWS, EPOCHS, LEAST_STEPS = 1500, 3, 12, 360
 THRESHOLD, HELD_MODULUS, HELD_REMAINDER = 0.7, 4, 2
 
 
@@ -31,41 +30,29 @@ class ConvNet:
     def __init__(self, seed: int = 8):
         r = np.random.default_rng(seed)
         n = lambda *s, by: (r.standard_normal(s) * by).astype(np.float32)
-        feats = FILTERS + LAG_FILTERS
         self.params = {
             "embed": n(256, EMBED, by=0.5), "conv": n(KERNEL * EMBED, FILTERS, by=0.25), "conv_b": np.zeros(FILTERS, np.float32),
-            "lag": np.abs(n(2 * LAGS, LAG_FILTERS, by=0.4)), "lag_b": np.full(LAG_FILTERS, -0.5, np.float32),
-            "out": n(2 * feats, by=0.1), "out_b": np.zeros(1, np.float32),
+            "out": n(2 * FILTERS, by=0.1), "out_b": np.zeros(1, np.float32),
         }
-        self.mean = np.zeros(0, np.float32)
 
-    def _columns(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The unrolled byte windows and the lag matches of blocks and their successors."""
+    def _columns(self, chunks: np.ndarray) -> np.ndarray:
+        """The unrolled byte windows."""
         e = self.params["embed"][chunks]
         steps = (CHUNK - KERNEL) // STEP + 1
         s = e.strides
         wide = np.lib.stride_tricks.as_strided(e, (len(chunks), steps, KERNEL * EMBED), (s[0], STEP * s[1], s[2]))
-        n = CHUNK // LAG_BLOCK
-        match = np.empty((len(chunks), n, LAGS), np.float32)
-        real = chunks != 0
-        for lag in range(1, LAGS + 1):
-            same = np.zeros(chunks.shape, np.uint8)
-            same[:, lag:] = (chunks[:, lag:] == chunks[:, :-lag]) & real[:, lag:]
-            match[:, :, lag - 1] = same.reshape(len(chunks), n, LAG_BLOCK).sum(2, dtype=np.uint8)
-        match *= 1 / LAG_BLOCK
-        return np.ascontiguousarray(wide).reshape(-1, KERNEL * EMBED), np.concatenate([match[:, :-1], match[:, 1:]], 2).reshape(-1, 2 * LAGS)
+        return np.ascontiguousarray(wide).reshape(-1, KERNEL * EMBED)
 
     def features(self, chunks: np.ndarray, kept: dict | None = None) -> np.ndarray:
         """Max-pooled filter outputs of each chunk."""
         p = self.params
-        wide, match = self._columns(chunks)
+        wide = self._columns(chunks)
         a = (wide @ p["conv"]).reshape(len(chunks), -1, FILTERS) + p["conv_b"]
-        b = (match @ p["lag"]).reshape(len(chunks), -1, LAG_FILTERS) + p["lag_b"]
-        i, j = a.argmax(1), b.argmax(1)
-        rows = np.arange(len(chunks))[:, None]
-        out = np.concatenate([a[rows, i, np.arange(FILTERS)], b[rows, j, np.arange(LAG_FILTERS)]], 1)
-        if kept is not None:
-            kept.update(wide=wide.reshape(len(chunks), -1, KERNEL * EMBED), match=match.reshape(len(chunks), -1, 2 * LAGS), i=i, j=j, pre=out)
+        if kept is None:
+            return np.maximum(a.max(1), 0)
+        i = a.argmax(1)
+        out = a[np.arange(len(chunks))[:, None], i, np.arange(FILTERS)]
+        kept.update(wide=wide.reshape(len(chunks), -1, KERNEL * EMBED), i=i, pre=out)
         return np.maximum(out, 0)
 
     @staticmethod
@@ -89,12 +76,11 @@ class ConvNet:
         k = f.shape[1]
         df = (dx[:, :k][owner] * (f == best[owner]) + dx[:, k:][owner] / count[owner, None]) * (kept["pre"] > 0)
         rows = np.arange(len(chunks))[:, None]
-        wide, match = kept["wide"][rows, kept["i"]], kept["match"][rows, kept["j"]]  # chunk, filter, window
-        da, db = df[:, :FILTERS], df[:, FILTERS:]
+        wide = kept["wide"][rows, kept["i"]]  # chunk, filter, window
         at = chunks[rows[:, :, None], kept["i"][:, :, None] * STEP + np.arange(KERNEL)]
         de = np.zeros_like(p["embed"])
-        np.add.at(de, at, (da[:, :, None] * p["conv"].T[None]).reshape(*at.shape, EMBED))
-        return {"embed": de, "conv": np.einsum("cf,cfw->wf", da, wide), "conv_b": da.sum(0), "lag": np.einsum("cf,cfw->wf", db, match), "lag_b": db.sum(0), "out": x.T @ d + 1e-4 * p["out"], "out_b": d.sum(keepdims=True)}
+        np.add.at(de, at, (df[:, :, None] * p["conv"].T[None]).reshape(*at.shape, EMBED))
+        return {"embed": de, "conv": np.einsum("cf,cfw->wf", df, wide), "conv_b": df.sum(0), "out": x.T @ d + 1e-4 * p["out"], "out_b": d.sum(keepdims=True)}
 
 
 def fit(sample: list[tuple[int, list[str]]], epochs: int = EPOCHS, seed: int = 8) -> ConvNet | float:
@@ -130,16 +116,20 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LAB
         return []
     share = F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, min(1.0, per_label / c))])
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(81)), F.lit(1_000_003)) / 1_000_003.0 < share[F.col("quality")])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about per_label rows a label
+    # about per_label rows a label, counted before they are broadcast
+    rows = docs.select("doc_id", "text").join(shared.sized(shared.staged(chosen, "chosen"), 8 * per_label), "doc_id")
     return byte_models.sampled_windows(rows, "quality", 2 * per_label, WINDOWS, CHUNK, 82)
 
 
-def scores(docs: DataFrame, net: ConvNet | float) -> DataFrame:
-    """The columns of `docs` but the text, with score."""
+def scores(docs: DataFrame, net: ConvNet | float, keep_text: bool = False) -> DataFrame:
+    """The columns of `docs`, the text only if asked for, with score."""
     held = docs.sparkSession.sparkContext.broadcast(net)
-    fields = [f for f in docs.schema.fields if f.name != "text"]
-    names = [f.name for f in fields]
+    at = docs.columns.index("text")
+    fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    # by position, so any names may stand beside the text and the score
+    names = [f"c{i}" for i in range(len(fields))]
 
+    @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
@@ -148,26 +138,29 @@ def scores(docs: DataFrame, net: ConvNet | float) -> DataFrame:
                 if isinstance(model, float):
                     found = np.full(n, model)
                 else:
-                    best = np.zeros((n, FILTERS + LAG_FILTERS), np.float32)
+                    best = np.zeros((n, FILTERS), np.float32)
                     total, count = np.zeros_like(best), np.zeros(n, np.int64)
-                    for chunks, _, owner, _ in byte_models.chunked(piece.column(piece.num_columns - 1), CHUNK, STRIDE, 256):
+                    for chunks, _, owner, _ in byte_models.chunked(piece.column(at), CHUNK, STRIDE, 256):
                         low, high = owner[0], owner[-1] + 1
                         b, t, c = model.pooled(model.features(chunks), owner - low, high - low)
                         best[low:high] = np.maximum(best[low:high], b)
                         total[low:high] += t
                         count[low:high] += c
                     found = model.probability(best, total, count)
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(found, pa.float64())], [*names, "score"])
+                kept = [c for i, c in enumerate(piece.columns) if keep_text or i != at]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.float64())], [*names, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*[F.col(f"`{n}`") for n in names], "text").mapInArrow(run, f"{schema}, score double")
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields, strict=True))
+    scored = docs.mapInArrow(run, f"{schema}, score double")
+    return scored.select(*(F.col(n).alias(f.name) for n, f in zip(names, fields, strict=True)), "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score reaches the threshold, with the columns of `docs`."""
-    both = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("text"))
-    scored = scores(both, fit(training_sample(docs, labels)))
-    return scored.where(F.col("score") >= threshold).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    """The rows whose score reaches the threshold, with the columns of `docs`; texts go to Python once and come back."""
+    net = fit(training_sample(docs, labels))
+    numbered = docs.toDF(*("text" if c == "text" else f"in{i}" for i, c in enumerate(docs.columns)))
+    scored = scores(numbered, net, keep_text=True)
+    return scored.where(F.col("score") >= threshold).drop("score").toDF(*docs.columns)
 
 
 def op8_quality_conv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ UNESCAPE = re.compile(rf"([<\[])\\(\\*)(?={TAIL})")
 SEGMENT = re.compile(r"<s>\[ROLE\](.*?)\[/ROLE\](.*?)</s>", re.DOTALL)
 LEARNED = "assistant"
 PARTS = "array<struct<kind:string, text:string, ref:string, width:int, height:int, seconds:double, pages:int>>"
+PLACED = ["image", "audio", "document"]
 PATCH, AUDIO_TOKENS_A_SECOND, PAGE_TOKENS = 14, 25, 512
 
 
@@ -52,23 +53,27 @@ def part_tokens(part: Column) -> Column:
 
 
 def flattened(parts: Column) -> Column:
-    """A turn's content: each part in order, text escaped, others as `<kind:number>`."""
+    """A turn's content: each part in order, text escaped, others as `<kind:number>`.
+
+    Neighbouring text parts are one text before it is escaped, so that no control string arises where they meet.
+    """
     parts = F.filter(F.coalesce(parts, F.array().cast(PARTS)), lambda p: p.isNotNull())
-    kinds = F.transform(parts, lambda p: F.coalesce(p["kind"], F.lit("text")))
+    state = lambda done, text, n: F.struct(done.alias("done"), text.alias("text"), n.alias("n"))
 
-    def visit(part: Column, i: Column) -> Column:
-        number = F.size(F.filter(F.slice(kinds, F.lit(1), i + 1), lambda k: k != "text"))
+    def visit(at: Column, part: Column) -> Column:
+        number = at["n"] + 1
         mark = F.concat(F.lit("<"), part["kind"], F.lit(":"), number.cast("string"), F.lit(">"))
-        return F.when(part["kind"].isin("image", "audio", "document"), mark).otherwise(escaped(F.coalesce(part["text"], F.lit(""))))
+        placed = state(F.concat(at["done"], escaped(at["text"]), mark), F.lit(""), number)
+        return F.when(part["kind"].isin(*PLACED), placed).otherwise(state(at["done"], F.concat(at["text"], F.coalesce(part["text"], F.lit(""))), at["n"]))
 
-    return F.array_join(F.transform(parts, visit), "")
+    return F.aggregate(parts, state(F.lit(""), F.lit(""), F.lit(0)), visit, lambda at: F.concat(at["done"], escaped(at["text"])))
 
 
 def formatted(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, segment, loss_start, loss_end, attachments) of rows (conv_id, turn, role, parts)."""
     role = escaped(F.coalesce(F.col("role"), F.lit("")))
     head = F.concat(F.lit("<s>[ROLE]"), role, F.lit("[/ROLE]"))
-    others = F.filter(F.coalesce("parts", F.array().cast(PARTS)), lambda p: p["kind"].isin("image", "audio", "document"))
+    others = F.filter(F.coalesce("parts", F.array().cast(PARTS)), lambda p: p["kind"].isin(*PLACED))
     attachments = F.transform(others, lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
     made = turns.select("conv_id", "turn", F.col("role").eqNullSafe(LEARNED).alias("learned"), head.alias("head"), flattened(F.col("parts")).alias("content"), attachments.alias("attachments"))
     begin = F.length("head")
@@ -80,6 +85,7 @@ def read_back(segments: DataFrame) -> DataFrame:
     """Digests of each conversation, parsed from its segments as a stream in order of turn: a conversation of any length needs no more memory than one turn."""
     kind = shared.kind_of(segments, "conv_id")
 
+    @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv_type = None
 

@@ -196,24 +196,24 @@ def test_pii(spark, odd, empty):
     text = 'Mr. John Smith, js.1@mail5.example.com, +1 (743) 555-3824, 4111 1111 1111 1111, 10.2.3.4, token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e"; Smith: +1 743 555 3824'
     decoys = "1234567890123456 and 3.14159, version 1.2.3, 12:30, a@b"
     df = spark.createDataFrame([(1, text), (2, text.upper()), (3, decoys), (4, "Frau Ingrid Meyer")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii.replace_pii(df).collect()}
+    got = {r.doc_id: r.text for r in pii.replace_pii(df, "k").collect()}
     for real in ("John", "Smith,", "js.1@", "743", "4111", "10.2.3.4", "2321bac4"):
         assert real not in got[1]
     digits = re.findall(r"\+1 \((\d{3})\) (\d{3})-(\d{4})", got[1])[0]
     assert f"+1 {' '.join(digits)}" in got[1] and got[3] == decoys and re.fullmatch(r"Frau (\S+) (\S+)", got[4])[1] in pii.FEMALE_NAMES
     card = re.findall(r"\d{4} \d{4} \d{4} \d{4}", got[1])[0].replace(" ", "")
     assert sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(card)) % 10 == 0
-    assert got == {r.doc_id: r.text for r in pii.replace_pii(df).collect()} and pii.replace_pii(empty).count() == 0
-    clean = {r.doc_id: r for r in pii.replace_pii(odd).collect()}
+    assert got == {r.doc_id: r.text for r in pii.replace_pii(df, "k").collect()} and pii.replace_pii(empty, "k").count() == 0
+    clean = {r.doc_id: r for r in pii.replace_pii(odd, "k").collect()}
     assert clean[3].text is None and clean[7].text == ODD[8][1] and "555-3824" not in clean[None].text
-    many = spark.range(3000).select(F.lit("surname").alias("kind"), F.concat(F.lit("Q"), F.conv(F.col("id").cast("string"), 10, 36)).alias("value"))
-    made = pii.surrogates(many).collect()
+    many = spark.range(3000).select(F.lit("surname").alias("kind"), F.concat(F.lit("Q"), F.conv(F.col("id").cast("string"), 10, 36)).alias("value"), F.lit("u").alias("gender"))
+    made = pii.surrogates(many, "k").collect()
     assert len(made) == len({r.surrogate for r in made}) == 3000
 
 
 def test_pii_carries_names(spark):
     texts = ["Mr. John Smith met us. Smith said so, and SMITH's dog; smith and Smithson.", "John Smith and Anna Keller saw Peter Novak. Keller left, Anna stayed.", "MR. JOHN SMITH came. Smith said it.", "Frau De Vries de Berlin: Vries, de la", "no names in here, but john 4111 1111 1111 1111", "Сергей Иванов и Иванов"]
-    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
     for k, hidden in ((0, "smith"), (1, "smith|anna|keller|peter|novak"), (2, "john|smith"), (3, "vries"), (5, "иванов|сергей")):
         assert not re.search(rf"(?i)\b(?:{hidden})\b", got[k].text), got[k].text
     last = re.match(r"Mr\. (\S+) (\S+) met us\. (\S+) said so, and (\S+)'s dog; (\S+) and Smithson\.", got[0].text)
@@ -283,3 +283,27 @@ def test_queries_and_pipeline(spark):
         assert registry.QUERIES[name](spark, DATA).count() == n
     docs = corpus_pipeline.run(spark, DATA)
     assert 0 < docs.select("doc_id").distinct().count() < n
+
+
+def test_pii_is_injective_and_consistent(spark):
+    """Brute force over generated mentions: one surrogate an entity, in every notation and under every title, and no two alike."""
+    given = pii.MALE_NAMES[:12] + pii.FEMALE_NAMES[:12] + [f"Xa{c}lo" for c in "bcdfghjklm"]
+    titles = ["Mr", "Mrs", "Dr", "Prof"]
+    mentions = [(f"{titles[(i + k) % 4]} {g} Zyx{chr(97 + i)}ko", g) for i, g in enumerate(given) for k in range(3)]
+    phones = [(f"+1 (743) 555-38{n:02d}", f"(743) 555-38{n:02d}", f"743-555-38{n:02d}") for n in range(20)]
+    rows = [(i, m) for i, (m, _) in enumerate(mentions)] + [(1000 + 3 * n + k, f"call {p} now") for n, ps in enumerate(phones) for k, p in enumerate(ps)]
+    rows += [(5000, "Mrs O’Neil and Mr D'Angelo"), (5001, "Mr John Smith-Jones")]
+    got = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    made = {}
+    for i, (m, g) in enumerate(mentions):
+        title, first, last = got[i].split(" ")
+        assert title == m.split(" ")[0] and made.setdefault(g, first) == first and first not in given and "Zyx" not in last
+    assert len(set(made.values())) == len(given)
+    numbers = set()
+    for n in range(20):
+        a, b, c = (re.sub(r"\D", "", got[1000 + 3 * n + k]) for k in range(3))
+        assert a == "1" + b and b == c and b != re.sub(r"\D", "", phones[n][1])
+        numbers.add(b)
+    assert len(numbers) == 20
+    assert re.fullmatch(r"Mrs O’[A-Z][a-z]+ and Mr D'[A-Z][a-z]+", got[5000]) and "Neil" not in got[5000] and "Angelo" not in got[5000]
+    assert re.fullmatch(r"Mr \S+ [A-Z][a-z]+-[A-Z][a-z]+", got[5001]) and "Smith" not in got[5001]

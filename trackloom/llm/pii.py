@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from trackloom.llm import shared
 
-KEY = "trackloom-surrogates"
+#: the query's own key; other callers give theirs
+QUERY_KEY = "op1"
 MOST_ROUNDS = 64
 
-# Titles and given names by gender, and syllables of surnames by script.
+# Our own choice: titles and given names by gender, and syllables of surnames by script.
 MALE_TITLES = ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Sir", "господин"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "госпожа"]
 OTHER_TITLES = ["Dr", "Prof", "Mx"]
@@ -44,7 +45,7 @@ PARTICLES = "de la le les van von der den dem del des da di du dos das al el il
 _MALE, _FEMALE = MALE_NAMES + CYRILLIC_MALE + MORE_MALE + MORE_CYRILLIC_MALE, FEMALE_NAMES + CYRILLIC_FEMALE + MORE_FEMALE + MORE_CYRILLIC_FEMALE
 _GIVEN = _MALE + _FEMALE
 _TITLES = MALE_TITLES + FEMALE_TITLES + OTHER_TITLES
-_NAME = r"\p{Lu}\p{Ll}[\p{L}'’-]*+"
+_NAME = r"(?:\p{Lu}['’](?=\p{Lu}\p{Ll}))?\p{Lu}\p{Ll}[\p{L}'’-]*+"
 _UPPER = r"\p{Lu}(?:['’-]?\p{Lu})++(?!\p{L})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,8}"
@@ -121,22 +122,33 @@ def _gender(mention: Column) -> Column:
     return F.when(_is_in(first, MALE_TITLES + _MALE), "m").when(_is_in(first, FEMALE_TITLES + _FEMALE), "f").when(_is_in(second, _MALE), "m").when(_is_in(second, _FEMALE), "f").otherwise("u")
 
 
-def _entity(kind: Column, value: Column) -> Column:
-    return F.struct(kind.alias("kind"), value.alias("value"))
+def _entity(kind: Column, value: Column, gender: Column | None = None) -> Column:
+    return F.struct(kind.alias("kind"), value.alias("value"), (F.lit("u") if gender is None else gender).alias("gender"))
+
+
+def _phone(digits: Column, mention: Column) -> Column:
+    """A number's digits; those of a country whose national notation is read too (1 and ten digits) without the country's."""
+    return F.when(mention.startswith("+1") & (F.length(digits) == 11), F.substr(digits, F.lit(2))).otherwise(digits)
 
 
 def entities_of(kind: Column, mention: Column) -> Column:
-    """The entities of a mention: one, or one for each token of a name (given names carry the gender)."""
+    """The entities of a mention: one, or one for each token of a name (given names carry the gender as evidence)."""
     words = F.split(mention, " ")
     names = F.filter(words, lambda w: ~_is_in(F.regexp_replace(w, r"\.$", ""), _TITLES))
-    given = F.concat(F.lit("given_"), _gender(mention))
     count = F.size(names)
-    person = F.transform(names, lambda w, i: _entity(F.when((i < count - 1) | _is_in(_token(w), _GIVEN), given).otherwise(F.lit("surname")), _token(w)))
+    person = F.transform(names, lambda w, i: _entity(F.when((i < count - 1) | _is_in(_token(w), _GIVEN), F.lit("given")).otherwise(F.lit("surname")), _token(w), _gender(mention)))
     value = (
-        F.when(kind == "email", F.lower(mention)).when(kind.isin("phone", "ssn", "card"), _digits(mention)).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
+        F.when(kind == "email", F.lower(mention)).when(kind == "phone", _phone(_digits(mention), mention)).when(kind.isin("ssn", "card"), _digits(mention)).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .when(kind == "secret", F.regexp_extract(mention, r"([A-Za-z0-9+/_~-]+)$", 1)).otherwise(mention)
     )
-    return F.when(kind == "person", person).when(kind.isNotNull(), F.array(_entity(kind, value))).otherwise(F.array().cast("array<struct<kind:string, value:string>>"))
+    return F.when(kind == "person", person).when(kind.isNotNull(), F.array(_entity(kind, value))).otherwise(F.array().cast("array<struct<kind:string, value:string, gender:string>>"))
+
+
+def distinct_entities(asked: DataFrame) -> DataFrame:
+    """(kind, value, gender) of all entities; a given name's gender is that of most of its mentions with a known one, m where they tie, u without any."""
+    count = lambda g: F.count_if(F.col("gender") == g)
+    gender = F.when(count("f") > count("m"), "f").when(count("m") > 0, "m").otherwise("u")
+    return asked.groupBy("kind", "value").agg(gender.alias("gender"))
 
 
 def _stream(key: str) -> Column:
@@ -173,7 +185,7 @@ def _chosen(names: list[str], n: Column) -> Column:
 
 
 def surrogate(key: str) -> Column:
-    """The surrogate of an entity row (kind, value, attempt), of the value's canonical form."""
+    """The surrogate of an entity row (kind, value, gender, attempt), of the value's canonical form."""
     kind, value, stream = F.col("kind"), F.col("value"), _stream(key)
     number = lambda i: _number(stream, F.lit(i))
     local, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
@@ -200,36 +212,44 @@ def surrogate(key: str) -> Column:
         parts = F.transform(F.sequence(F.lit(0), extra), lambda i: F.when(cyrillic, _chosen(other, _number(stream, i))).otherwise(_chosen(latin, _number(stream, i))))
         return F.array_join(parts, "-")
 
-    syllables = F.transform(F.sequence(F.lit(0), extra + 2), lambda i: F.when(cyrillic, _chosen(CYRILLIC_SYLLABLES, _number(stream, i))).otherwise(_chosen(LATIN_SYLLABLES, _number(stream, i))))
-    surname = F.initcap(F.array_join(syllables, ""))
+    def family(part: Column, i: Column) -> Column:
+        """A family name's hyphenated part: O' and the like stay, syllables are as many as its length asks for."""
+        size = F.least(F.greatest(F.round(F.length(part) / 3).cast("int"), F.lit(2)), F.lit(4)) + extra
+        drawn = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.when(cyrillic, _chosen(CYRILLIC_SYLLABLES, _number(stream, (13 * i + k) % 40))).otherwise(_chosen(LATIN_SYLLABLES, _number(stream, (13 * i + k) % 40))))
+        return F.concat(F.regexp_extract(part, r"^(\p{L}['’])", 1), F.initcap(F.array_join(drawn, "")))
+
+    surname = F.array_join(F.transform(F.split(value, "-"), family), "-")
+    gender = F.col("gender")
+    names = F.when(gender == "m", given(MALE_NAMES, CYRILLIC_MALE)).when(gender == "f", given(FEMALE_NAMES, CYRILLIC_FEMALE)).otherwise(given(MALE_NAMES + FEMALE_NAMES, CYRILLIC_MALE + CYRILLIC_FEMALE))
     return (
         F.when(kind == "email", email).when(kind == "ipv4", octets).when(kind == "phone", _like(value, stream, country)).when(kind == "card", card).when(kind == "iban", iban)
-        .when(kind == "given_m", given(MALE_NAMES, CYRILLIC_MALE)).when(kind == "given_f", given(FEMALE_NAMES, CYRILLIC_FEMALE)).when(kind == "given_u", given(MALE_NAMES + FEMALE_NAMES, CYRILLIC_MALE + CYRILLIC_FEMALE))
-        .when(kind == "surname", surname).when(value.rlike("^[0-9a-f]+$") & value.rlike("[a-f]"), F.substr(stream, F.lit(1), F.length(value))).otherwise(_like(value, stream))
+        .when(kind == "given", names).when(kind == "surname", surname).when(value.rlike("^[0-9a-f]+$") & value.rlike("[a-f]"), F.substr(stream, F.lit(1), F.length(value))).otherwise(_like(value, stream))
     )
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, value, surrogate) of the distinct entities (kind, value), no two of a kind alike and none a real value.
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, value, surrogate) of the distinct entities (kind, value, gender), no two of a kind alike and none a real value.
 
-    Each round draws for the entities that are left and keeps those whose surrogate is free; earlier rounds, then
-    smaller values, go first, so a result depends on the corpus and the key alone.
+    Given names of all genders are one kind, so pools that overlap are checked together. Each round draws for the
+    entities that are left and keeps those whose surrogate is free; earlier rounds, then smaller values, go first, so a
+    result depends on the corpus and the key alone. Each round's finds are a table of their own.
     """
     left = entities.withColumn("attempt", F.lit(0))
-    taken = None
+    real = entities.select("kind", F.col("value").alias("surrogate"))
+    found: DataFrame | None = None
     for _ in range(MOST_ROUNDS):
         dealt = left.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "value")
         drawn = shared.staged(dealt.withColumn("surrogate", surrogate(key)), "drawn")
-        used = entities.select("kind", F.col("value").alias("surrogate"))
-        if taken is not None:
-            used = used.union(taken.select("kind", "surrogate"))
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
-        good = first.join(used.distinct(), ["kind", "surrogate"], "left_anti").select("kind", "value", "surrogate")
-        taken = shared.staged(good if taken is None else taken.union(good), "taken")
-        left = drawn.join(taken.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
+        used = real if found is None else real.union(found.select("kind", "surrogate"))
+        foreign = drawn.where(~F.array_contains(F.split(F.lower("surrogate"), "-"), F.lower("value")))
+        first = foreign.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
+        good = shared.staged(first.join(used.hint("merge"), ["kind", "surrogate"], "left_anti").select("kind", "value", "surrogate"), "taken")
+        found = good if found is None else found.union(good)
+        left = drawn.join(good.select("kind", "value").hint("merge"), ["kind", "value"], "left_anti").select("kind", "value", "gender", (F.col("attempt") + 1).alias("attempt"))
         left = shared.staged(left, "left")
+        shared.released(drawn)
         if left.isEmpty():
-            return taken
+            return found
     raise RuntimeError(f"no free surrogates after {MOST_ROUNDS} rounds")
 
 
@@ -255,9 +275,11 @@ def _replaced(found: Column, table: Column) -> Column:
     words = F.split(mention, " ")
     named = F.zip_with(F.slice(words, titles + 1, F.greatest(F.size(names), F.lit(0))), names, lambda w, e: F.concat(_cased(of(e), w), _genitive(w)))
     person = F.concat_ws(" ", F.slice(words, F.lit(1), titles), named)
+    # a number that came with the country's digits keeps them
+    digits = F.concat(F.left(_digits(mention), F.greatest(F.length(_digits(mention)) - F.length(only), F.lit(0))), only)
     spaced = F.when(mention.contains(" "), F.trim(F.regexp_replace(only, "(.{4})", "$1 "))).otherwise(only)
     return (
-        F.when(kind.isNull(), mention).when(kind == "person", person).when(kind.isin("phone", "ssn", "card"), _in_notation(mention, only))
+        F.when(kind.isNull(), mention).when(kind == "person", person).when(kind.isin("phone", "ssn", "card"), _in_notation(mention, digits))
         .when(kind == "iban", spaced).when(kind == "secret", F.concat(F.left(mention, F.length(mention) - F.length(value)), only))
         .when((kind == "email") & (mention == F.upper(mention)), F.upper(only)).otherwise(only)
     )
@@ -271,7 +293,7 @@ def _carried(piece: Column, names: Column, pattern: Column) -> Column:
     return F.struct(text.alias("text"), F.size(found).alias("n"))
 
 
-def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """`docs` with surrogates in text; adds _pii_n, the number of mentions replaced."""
     maybe = F.coalesce(F.col("text").rlike(MAYBE) & F.col("text").rlike(PATTERN), F.lit(False))
     mentions = F.transform(F.regexp_extract_all("text", F.lit(PATTERN), 0), lambda m: F.struct(m.alias("text"), kind_of(m).alias("kind")))
@@ -279,13 +301,14 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     hits = docs.where(maybe).withColumn("_pii_found", mentions).withColumn("_pii_found", with_entities)
     hits = shared.staged(hits.withColumn("_pii_row", F.monotonically_increasing_id()), "hits")
     asked = hits.select("_pii_row", F.explode(F.array_distinct(F.flatten(F.col("_pii_found.entities")))).alias("e")).select("_pii_row", "e.*")
-    known = surrogates(shared.staged(asked.select("kind", "value").distinct(), "entities"), key)
+    asked = shared.staged(asked, "asked")
+    known = surrogates(shared.staged(distinct_entities(asked), "entities"), key)
     entry = F.struct(F.concat_ws("\x1f", "kind", "value").alias("k"), F.col("surrogate").alias("v"))
     # a row's entities are parts of its own text, so its map is bounded by it
-    tables = asked.join(known, ["kind", "value"]).groupBy("_pii_row").agg(F.map_from_entries(F.collect_list(entry)).alias("_pii_map"))
-    met = hits.join(tables, "_pii_row", "left")
+    tables = asked.select("_pii_row", "kind", "value").distinct().join(known.hint("merge"), ["kind", "value"]).groupBy("_pii_row").agg(F.map_from_entries(F.collect_list(entry)).alias("_pii_map"))
+    met = hits.join(tables.hint("merge"), "_pii_row", "left")
     # further mentions of a row's names, in any case, also where neither title nor given name is beside them
-    persons = F.filter(F.map_entries("_pii_map"), lambda e: e["key"].rlike("^(?:surname|given_.)\x1f"))
+    persons = F.filter(F.map_entries("_pii_map"), lambda e: e["key"].rlike("^(?:surname|given)\x1f"))
     names = F.transform(persons, lambda e: F.struct(F.lower(F.substring_index(e["key"], "\x1f", -1)).alias("k"), e["value"].alias("v"), (~e["key"].startswith("surname")).alias("given")))
     names = F.filter(names, lambda n: ~n["k"].isin(*PARTICLES) & (F.length(n["k"]) > 1))
     met = met.withColumn("_pii_names", F.coalesce(F.array_sort(names, lambda a, b: F.when(a["given"] == b["given"], 0).when(b["given"], -1).otherwise(1)), F.array().cast(
@@ -307,4 +330,4 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return replace_pii(docs).select("doc_id", "text", F.col("_pii_n").alias("n_replaced"))
+    return replace_pii(docs, QUERY_KEY).select("doc_id", "text", F.col("_pii_n").alias("n_replaced"))

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trackloom.llm import exact_dedup, jaccard_join, packing, pii, quality_conv, shared
 
+#: a real run takes its own, secret
+SURROGATE_KEY = "corpus-pipeline"
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_conv.keep_good(docs, shared.table(spark, sf_dir, "labels"))
@@ -24,7 +27,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(docs).select(*docs.columns)
+    return pii.replace_pii(docs, SURROGATE_KEY).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

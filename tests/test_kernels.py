@@ -53,7 +53,7 @@ def test_short_tracks(n):
     assert len(k.lowpass(x, 30)) == n and len(k.smooth(x, 30, 0.45)) == n
     assert k.simplified(100 * x, 30).tolist() == sorted(set(k.simplified(100 * x, 30).tolist()))
     if n:
-        assert len(k.postprocessed(x, 30)) == n
+        assert len(k.postprocessed(x, 30)[0]) == n
 
 
 def test_lowpass_passes_slow_and_stops_fast():
@@ -105,3 +105,112 @@ def test_spans_end_at_prominent_turns_and_plateaus(spark):
     for r in got:
         same = [x for x in got if spans[x.frame] == spans[r.frame]]
         assert r.c3 == pytest.approx(min(np.median([x.c1 for x in same]), np.median([x.c2 for x in same])))
+
+
+# slow, plain versions of the order-bound kernels
+
+WAVE = st.tuples(st.integers(0, 10_000), st.sampled_from([1, 2, 3, 7, 8, 31, 32, 120, 400])).map(lambda a: _wave(*a))
+
+
+def _wave(seed, n):
+    r = np.random.default_rng(seed)
+    x = 0.5 + 0.5 * np.sin(np.cumsum(r.uniform(0, 0.4, n))) * r.uniform(0.2, 1) + r.normal(0, 0.03, n) * (seed % 3)
+    x[r.random(n) < 0.2] = 0.5
+    return np.clip(np.round(x, 2), 0, 1)
+
+
+@settings(max_examples=50, deadline=None)
+@given(WAVE)
+def test_refine_as_one_frame_at_a_time(x):
+    y = np.round(100 * x)
+    got = k.refine(y, np.array([0]))
+    knots = [0, len(y) - 1] if len(y) > 1 else [0]
+    while len(knots) > 1:
+        at = np.array(knots)
+        error = np.abs(k.pchip(at, y[at], np.arange(len(y))) - y)
+        error[at] = 0
+        if error.max() <= 3:
+            break
+        knots = sorted({*knots, int(error.argmax())})
+    assert got[0] == 0 and got[-1] == len(y) - 1 and sorted(set(got)) == got.tolist()
+    if len(got) > 1:
+        assert np.abs(k.pchip(got, y[got], np.arange(len(y))) - y).max() <= 3 + 1e-9
+    # rounds differ from single steps only where a step makes a stretch further on worse than its neighbours
+    assert len(set(got.tolist()) ^ set(knots)) <= max(2, 0.25 * len(knots))
+
+
+@settings(max_examples=80, deadline=None)
+@given(WAVE, st.integers(1, 6))
+def test_device_points_by_the_rules(x, stride):
+    y, points = np.round(100 * x), list(dict.fromkeys([*range(0, len(x), stride), len(x) - 1]))
+    left = list(points)
+    while True:  # the first inner point that neither neighbour moves by 5 goes, until there is none
+        small = [i for i in range(1, len(left) - 1) if abs(y[left[i]] - y[left[i - 1]]) < 5 and abs(y[left[i]] - y[left[i + 1]]) < 5]
+        if not small:
+            break
+        del left[small[0]]
+    out = []
+    for p in left:
+        if len(out) < 2 or p - out[-1] >= 55 * 60 / 1000:
+            out.append(p)
+        elif abs(y[p] - y[out[-2]]) >= abs(y[out[-1]] - y[out[-2]]):
+            out[-1] = p
+    assert k.device_points(y, np.array(points), 60).tolist() == sorted({*out, points[-1]})
+
+
+@settings(max_examples=80, deadline=None)
+@given(WAVE)
+def test_cycles_left_to_right(x):
+    troughs = k.find_peaks(-x, 2)
+    out, inside, made = k.normalised_cycles(x, x, troughs, 30.0)
+    wanted, mask, count = list(x), set(), 0
+    for s, e in zip(troughs, troughs[1:]):
+        part = wanted[s : e + 1]
+        if 2 <= e - s <= 60 and max(x[s : e + 1]) - min(x[s : e + 1]) >= 0.3 and max(part) - min(part) > 1e-6:
+            wanted[s : e + 1] = [(v - min(part)) / (max(part) - min(part)) for v in part]
+            mask |= set(range(s, e + 1))
+            count += 1
+    assert np.allclose(out, wanted) and set(np.flatnonzero(inside)) == mask and made == count
+
+
+@settings(max_examples=80, deadline=None)
+@given(WAVE, st.integers(0, 5))
+def test_slopes_frame_by_frame(x, seed):
+    exclude = np.random.default_rng(seed).random(len(x)) < 0.1 * seed
+    got = k.gradient_segments(x, 10.0, exclude)
+    n = len(x)
+    g = [0.0] * n if n < 2 else [x[1] - x[0], *((x[i + 1] - x[i - 1]) / 2 for i in range(1, n - 1)), x[-1] - x[-2]]
+    free = [abs(v) for v, out in zip(g, exclude) if not out and v != 0]
+    found = []
+    if n >= 3 and free:
+        low = max(0.00075, np.percentile(free, 25))
+        high = max(np.percentile(free, 90), low)
+        frames = [i for i in range(n) if not exclude[i] and low <= abs(g[i]) <= high]
+        for i in frames:
+            if found and i - found[-1][-1] - 1 <= 2:
+                found[-1].append(i)
+            else:
+                found.append([i])
+        found = [(f[0], f[-1] + 1) for f in found]
+        sums = [[np.sign(v) for v in g[s:e] if abs(v) >= low] for s, e in found]
+        found = [(s, e) for (s, e), z in zip(found, sums) if e - s >= 6 and z and abs(sum(z)) >= 0.65 * len(z) - 1e-9 and max(x[s:e]) - min(x[s:e]) >= 0.08]
+    assert list(zip(got.starts.tolist(), got.ends.tolist())) == found
+
+
+def test_one_pass_counts_and_clips():
+    x = np.concatenate([0.5 + 0.4 * np.sin(np.arange(300) / 6), np.linspace(0.2, 0.6, 120), np.full(60, 0.6)])
+    out, counts = k.postprocessed(x, 30.0)
+    assert counts["samples"] == 480 and counts["cycles"] >= 5 and counts["slopes"] >= 1 and 0 <= out.min() and out.max() <= 1
+    assert out[60:240].min() == 0 and out[60:240].max() == 1 and np.ptp(out[320:400]) > 0.9
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 8, 9, 12])
+def test_moving_average_is_cut_to_the_track(spark, n):
+    from trackloom.operators import sequences
+
+    x = np.arange(n) ** 2 / 7
+    track = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "video_id string, frame long, pos double")
+    got = [r.m for r in sorted(track.withColumn("m", sequences.moving_average(F.col("pos"))).collect(), key=lambda r: r.frame)]
+    w = min(9, n)
+    ones = np.ones(w)
+    assert np.allclose(got, np.convolve(x, ones, "same") / np.convolve(np.ones(n), ones, "same") if w > 1 else x)

@@ -21,9 +21,14 @@ def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def bound(value: Column, make) -> Column:
+    """make(value), with the value computed once: a Column used inside a lambda would be computed again for each element."""
+    return F.transform(F.array(value), make)[0]
+
+
 def softmax(logits: Column) -> Column:
-    e = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(e, lambda x: x / total(e))
+    shifted = bound(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return bound(shifted, lambda e: bound(total(e), lambda sum_: F.transform(e, lambda x: x / sum_)))
 
 
 def expectation(probs: Column, n: int = BINS) -> Column:
@@ -36,22 +41,31 @@ def first_argmax(values: Column) -> Column:
 
 def mode_expectation(probs: Column, n: int = BINS, radius: int = RADIUS) -> Column:
     """The mean of the bins around the first mode."""
-    at = first_argmax(probs)
-    low = F.greatest(at - radius, F.lit(0))
-    size = F.least(at + radius, F.lit(n - 1)) - low + 1
-    near = F.slice(probs, (low + 1).cast("int"), size.cast("int"))
-    centers = F.slice(bin_centers(n), (low + 1).cast("int"), size.cast("int"))
-    return dot(near, centers) / F.greatest(total(near), F.lit(1e-12))
+
+    def near(p: Column, at: Column) -> Column:
+        low = F.greatest(at - radius, F.lit(0))
+        size = F.least(at + radius, F.lit(n - 1)) - low + 1
+        part = F.slice(p, (low + 1).cast("int"), size.cast("int"))
+        moments = F.aggregate(part, F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("s"), low.cast("double").alias("k")), lambda a, x: F.struct((a["w"] + x).alias("w"), (a["s"] + x * (a["k"] + 0.5) / n).alias("s"), (a["k"] + 1.0).alias("k")))
+        return bound(moments, lambda m: m["s"] / F.greatest(m["w"], F.lit(1e-12)))
+
+    return bound(probs, lambda p: bound(first_argmax(p), lambda at: near(p, at)))
 
 
 def spread_std(probs: Column, n: int = BINS) -> Column:
-    mean = expectation(probs, n)
     squares = F.transform(bin_centers(n), lambda c: c * c)
-    return F.sqrt(F.greatest(dot(probs, squares) - mean * mean, F.lit(0.0)))
+    return bound(probs, lambda p: bound(expectation(p, n), lambda mean: F.sqrt(F.greatest(dot(p, squares) - mean * mean, F.lit(0.0)))))
 
 
 def mode_gap(probs: Column, n: int = BINS) -> Column:
-    return F.abs(expectation(probs, n) - mode_expectation(probs, n))
+    return bound(probs, lambda p: F.abs(expectation(p, n) - mode_expectation(p, n)))
+
+
+def decoded(probs: Column, mode: str = "expectation", n: int = BINS, radius: int = RADIUS) -> Column:
+    """A position by the named decoding: the whole mean, or the mean around the first mode (radius 0: the mode itself)."""
+    if mode not in ("expectation", "mode"):
+        raise ValueError(f"unknown decoding: {mode}")
+    return expectation(probs, n) if mode == "expectation" else mode_expectation(probs, n, radius)
 
 
 def sigmoid(x: Column) -> Column:

@@ -40,14 +40,27 @@ def with_times(track: DataFrame, times: DataFrame, fps: float, start: float = 0.
     return met.withColumn("t", F.when(whole, F.col("pts")).otherwise(F.col(FRAME) / fps + start)).drop("pts")
 
 
-def lagged_similarity(vectors: DataFrame, low: int, high: int, slot: str = FRAME, vector: str = "e") -> DataFrame:
-    """(video_id, slot, lag, similarity): cosine of each slot with the one `lag` before it, low <= lag <= high. An equality join on the shifted slot, so each row meets its band alone."""
+def lagged_similarity(vectors: DataFrame, low: int, high: int, slot: str = FRAME, vector: str = "e", temperature: float | None = None, block: int = 64) -> DataFrame:
+    """(video_id, slot, lag, similarity): cosine of each slot with the one `lag` before it, low <= lag <= high.
+
+    Slots are dealt by blocks; a vector moves once as itself and once for each block whose slots may ask for it (three
+    for the usual band), and the pairs arise within a block. With a temperature every slot has all lags: similarity is
+    multiplied by it, and a lag that leaves the track gives 0 and valid = false.
+    """
     length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    unit = vectors.select(KEY, slot, F.transform(vector, lambda x: x / F.greatest(length(F.col(vector)), F.lit(1e-12))).alias("u"))
-    left = unit.withColumn("lag", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("other", F.col(slot) - F.col("lag"))
-    right = unit.select(KEY, F.col(slot).alias("other"), F.col("u").alias("v"))
+    unit = F.transform(F.array(length(F.col(vector))), lambda n: F.transform(vector, lambda x: x / F.greatest(n, F.lit(1e-12))))[0]
+    units = vectors.select(KEY, F.col(slot).alias("s"), unit.alias("u"))
+    of = lambda c: F.floor(c / block)
+    left = units.withColumn("b", of(F.col("s")))
+    right = units.select(KEY, F.col("s").alias("o"), F.col("u").alias("v"), F.explode(F.sequence(of(F.col("s") + low), of(F.col("s") + high))).alias("b"))
+    lag = F.col("s") - F.col("o")
     dot = F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return left.join(right, [KEY, "other"]).select(KEY, slot, "lag", dot.alias("similarity"))
+    met = left.join(right, [KEY, "b"]).where((lag >= low) & (lag <= high)).select(KEY, F.col("s").alias(slot), lag.cast("int").alias("lag"), dot.alias("similarity"))
+    if temperature is None:
+        return met
+    every = vectors.select(KEY, slot, F.explode(F.sequence(F.lit(low), F.lit(high))).alias("lag"))
+    both = every.join(met, [KEY, slot, "lag"], "left")
+    return both.select(KEY, slot, "lag", (F.coalesce("similarity", F.lit(0.0)) * temperature).alias("similarity"), F.col("similarity").isNotNull().alias("valid"))
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -15,8 +15,16 @@ LEAST_FIT, CROP, WEIGHT_FLOOR = 32, 256, 0.01
 
 
 def moving_average(x: Column, window: int = SMOOTH) -> Column:
-    """Centred, divided by the true count."""
-    return F.avg(x).over(rows(-(window // 2), (window - 1) // 2)) if window >= 2 else x
+    """Centred, divided by the true count; the window is no longer than the track, and of an even one the earlier half is the longer."""
+    if window < 2:
+        return x.cast("double")
+    wide = F.avg(x).over(rows(-(window // 2), (window - 1) // 2))
+    # a track shorter than the window stands whole in this bounded frame
+    n, i, near = F.count("*").over(whole()), F.row_number().over(in_order()) - 1, F.collect_list(x).over(rows(1 - window, window - 1))
+    low = F.greatest(i - F.floor(n / 2), F.lit(0))
+    size = F.least(i + F.floor((n - 1) / 2), n - 1) - low + 1
+    part = F.slice(near, (low + 1).cast("int"), size.cast("int"))
+    return F.when(n >= window, wide).otherwise(F.aggregate(part, F.lit(0.0), lambda a, v: a + v) / size)
 
 
 def gradient(x: Column) -> Column:

@@ -343,6 +343,37 @@ def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.keyframes(tracks(spark, sf_dir), FPS)
 
 
+KNOTS = TRACK + """, d AS (SELECT video_id, frame, least(greatest(round_even(pos * 100, 0), 0), 100) AS y, max(frame) OVER (PARTITION BY video_id) AS top FROM track),
+k AS (SELECT video_id, frame AS x, y AS v, lead(frame) OVER w - frame AS h, (lead(y) OVER w - y) / (lead(frame) OVER w - frame) AS d FROM d WHERE frame % 10 = 0 OR frame = top WINDOW w AS (PARTITION BY video_id ORDER BY frame)),
+n AS (SELECT *, lag(h) OVER w AS g, lag(d) OVER w AS c, lag(h, 2) OVER w AS gg, lag(d, 2) OVER w AS cc, lead(h) OVER w AS hh, lead(d) OVER w AS dd, lead(v) OVER w AS v1 FROM k WINDOW w AS (PARTITION BY video_id ORDER BY x)),
+e AS (SELECT *, CASE WHEN c IS NULL THEN ((2 * h + hh) * d - h * dd) / (h + hh) WHEN d IS NULL THEN ((2 * g + gg) * c - g * cc) / (g + gg) END AS r, coalesce(c, d) * 0 + CASE WHEN c IS NULL THEN d ELSE c END AS d0, CASE WHEN c IS NULL THEN dd ELSE cc END AS d1 FROM n),
+m AS (SELECT *, CASE WHEN c IS NOT NULL AND d IS NOT NULL THEN CASE WHEN c * d > 0 THEN 3 * (g + h) / ((2 * h + g) / c + (h + 2 * g) / d) ELSE 0 END WHEN r * d0 <= 0 THEN 0 WHEN d0 * d1 <= 0 AND abs(r) > 3 * abs(d0) THEN 3 * d0 ELSE r END AS m FROM e),
+z AS (SELECT *, lead(m) OVER (PARTITION BY video_id ORDER BY x) AS m1 FROM m),
+f AS (SELECT d.video_id, d.frame, d.y, z.*, (d.frame - x) / h::DOUBLE AS t FROM d ASOF JOIN z ON d.video_id = z.video_id AND d.frame >= z.x),
+q AS (SELECT video_id, frame, abs(y - CASE WHEN frame = x THEN v ELSE v + (v1 - v) * t END) AS li, frame = x AS kept,
+ abs(y - CASE WHEN frame = x THEN v ELSE v * (1 + 2 * t) * (1 - t) * (1 - t) + m * h * t * (1 - t) * (1 - t) + v1 * t * t * (3 - 2 * t) + m1 * h * t * t * (t - 1) END) AS cu FROM f)
+SELECT video_id, count(*) AS raw, count(*) FILTER (kept) AS kept, round_even(count(*) FILTER (kept) / count(*), 5) AS kept_share,
+ round_even(avg(cu), 3) AS cubic_mean, round_even(quantile_cont(cu, 0.95), 3) AS cubic_p95, round_even(max(cu), 3) AS cubic_max, round_even(avg(li), 3) AS linear_mean, round_even(quantile_cont(li, 0.95), 3) AS linear_p95, round_even(max(li), 3) AS linear_max FROM q GROUP BY 1"""
+
+
+@query(KNOTS)
+def reconstruction_of_tenths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors of the curves through every tenth frame and the last."""
+    t = tracks(spark, sf_dir)
+    last = F.max(FRAME).over(Window.partitionBy(KEY))
+    return K.reconstruction(t, t.withColumn("top", last).where((F.col(FRAME) % 10 == 0) | (F.col(FRAME) == F.col("top"))))
+
+
+@query()
+def postprocess_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.postprocessed(tracks(spark, sf_dir), FPS, stats=True)
+
+
+@query()
+def gaussian_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.filtered(tracks(spark, sf_dir), "gaussian", FPS)
+
+
 @query()
 def reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tracks(spark, sf_dir)

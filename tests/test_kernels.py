@@ -83,14 +83,24 @@ def test_bad_samples():
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.tuples(st.floats(0, 1e5, width=32), st.integers(0, 100)), max_size=30))
-def test_action_lists_round_trip(rows):
-    assert scripts.decode_actions(scripts.encode_actions(rows)) == rows
+@given(st.lists(st.tuples(st.floats(0, 1e5, width=32), st.integers(0, 100)), max_size=200), st.text(max_size=200))
+def test_scripts_round_trip(rows, path):
+    one = scripts.encode_script(rows, path, "t")
+    assert scripts.decode_script(one) == (rows, path, "t")
+    assert scripts.decode_project(scripts.encode_project([one, one])) == [one, one]
+
+
+def test_script_bytes_by_hand():
+    action = bytes([12, 0, 0, 0]) + np.float32(1.5).tobytes() + bytes([50, 0, 0, 0])
+    assert scripts.encode_script([(1.5, 50)], "a", "bc") == bytes([4 + 1 + 12 + 2 + 3 + 1, 0, 0, 0, 1]) + action + b"\x01a\x02bc\x01"
+    for n, raw in ((5, [5]), (0x7F, [0x7F]), (0x80, [0x80, 0x80]), (0x1234, [0x92, 0x34]), (0x01234567, [0xC1, 0x23, 0x67, 0x45])):
+        assert scripts.size_bytes(n) == bytes(raw) and scripts.read_size(bytes(raw), 0) == (n, len(raw))
 
 
 def test_overrun_is_an_error():
-    with pytest.raises(ValueError):
-        scripts.decode_actions(scripts.encode_actions([(1.0, 5)])[:-1])
+    for cut in (1, 3, 8):
+        with pytest.raises((ValueError, IndexError)):
+            scripts.decode_script(scripts.encode_script([(1.0, 5)], "abc", "d")[:-cut])
 
 
 def test_spans_end_at_prominent_turns_and_plateaus(spark):

@@ -22,3 +22,42 @@ def test_batches_do_not_matter(spark, tmp_path, make):
         q.awaitTermination(180)
         results.append(sorted(tuple(r)[:3] for r in spark.read.parquet(out).drop("batch").collect()))
     assert results[0] == results[1] and results[0]
+
+
+@pytest.mark.parametrize("kind", ["means", "pairs"])
+def test_a_stream_that_ends_gives_what_the_whole_track_gives(spark, tmp_path, kind):
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    from trackloom.operators import sequences
+
+    t = tracks(spark, "/root/testdata/sf0.001").select("video_id", "frame", "pos")
+    t = t.withColumn("last", F.col("frame") == F.max("frame").over(Window.partitionBy("video_id")))
+    for i, (low, high) in enumerate(((0, 7), (7, 51), (51, 10_000))):
+        t.where(f"frame >= {low} and frame < {high}").repartition(3).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 3).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    made = slots.windowed_means(stream, 16, last="last") if kind == "means" else slots.interleaved(stream, last="last")
+    # files of one batch are three shuffled parts of a range, so frames of a track come in any order
+    q = made.writeStream.foreachBatch(slots.append_once(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = sorted(tuple(r)[:3] for r in spark.read.parquet(f"{tmp_path}/out").drop("batch").collect())
+    if kind == "pairs":
+        assert got == sorted(map(tuple, sequences.interleave(t, "pos").select("video_id", "frame", "pos").collect()))
+    else:
+        padded = (F.sum("pos") + (16 - F.count("*")) * F.max_by("pos", "frame")) / 16
+        wanted = sorted(map(tuple, t.groupBy("video_id", F.floor(F.col("frame") / 16).alias("slot")).agg(padded.alias("value")).collect()))
+        assert [r[:2] for r in got] == [r[:2] for r in wanted] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, wanted))
+
+
+def test_listing_keeps_to_prefixes(spark, tmp_path):
+    import os
+
+    from trackloom.sources import scripts
+
+    for name in ("a/x/b/one.mp4", "x/two.mp4", "x/two.funscript", "y/three.mp4", "y2/four.mp4"):
+        os.makedirs(os.path.dirname(tmp_path / name), exist_ok=True)
+        (tmp_path / name).write_bytes(b"1")
+    names = lambda df: sorted(r.path.rsplit("/", 1)[1] for r in df.collect())
+    assert names(scripts.list_videos(spark, str(tmp_path), [f"{tmp_path}/y"])) == ["four.mp4", "one.mp4"]
+    assert names(scripts.list_videos(spark, str(tmp_path), [f"{tmp_path}/x"], again=True)) == ["four.mp4", "one.mp4", "three.mp4"]
+    assert names(scripts.list_videos(spark, str(tmp_path / "x/two.mp4"), [str(tmp_path)])) == ["two.mp4"]

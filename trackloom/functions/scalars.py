@@ -23,9 +23,16 @@ def crop_box(text: Column) -> Column:
     return F.when(fits, F.struct(*(get(i).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2")))))
 
 
+# The default crop, the centre of the lower part.
+CROP_BOX = (1 / 6, 1 / 3, 5 / 6, 1.0)
+
+
 def crop_tag(box: Column) -> Column:
+    """`crop` for the default crop or without a box, `full` for the whole frame, else the box in ten-thousandths."""
+    names = ("x1", "y1", "x2", "y2")
+    equals = lambda values: F.array(*(box[n] for n in names)) == F.array(*map(F.lit, values))
     part = lambda n: F.lpad(F.rint(box[n] * 10000).cast("long").cast("string"), 5, "0")
-    return F.when(box.isNull(), "full").otherwise(F.concat(F.lit("box"), F.concat_ws("-", *map(part, ("x1", "y1", "x2", "y2")))))
+    return F.when(box.isNull() | equals(CROP_BOX), "crop").when(equals((0.0, 0.0, 1.0, 1.0)), "full").otherwise(F.concat(F.lit("box"), F.concat_ws("-", *map(part, ("x1", "y1", "x2", "y2")))))
 
 
 def crop_pixels(box: Column, width: Column, height: Column) -> Column:
@@ -79,3 +86,52 @@ def frame_rate(text: Column, average: Column) -> Column:
     p = F.split(text, "/")
     num, den = F.get(p, F.lit(0)).try_cast("double"), F.coalesce(F.get(p, F.lit(1)).try_cast("double"), F.lit(1.0))
     return F.coalesce(F.when((den != 0) & (num > 0), num / den), average, F.lit(30.0))
+
+
+# Pooling layouts by their number of tokens.
+LAYOUTS = {5: [1, 2], 14: [1, 2, 3], 54: [1, 2, 7]}
+
+
+def pooling_of(tokens: Column) -> Column:
+    """The pooling levels of a token count, null for a count no layout has."""
+    found = F.lit(None).cast("array<int>")
+    for count, levels in LAYOUTS.items():
+        found = F.when(tokens == count, F.array(*map(F.lit, levels))).otherwise(found)
+    return found
+
+
+def adaptive_bounds(size: Column, parts: int, i: int) -> tuple[Column, Column]:
+    """First row and end of part i of an adaptive pooling: parts overlap where they don't divide the size."""
+    return F.floor(size * i / parts), F.ceil(size * (i + 1) / parts)
+
+
+def backbone_print(name: Column, revision: Column, size: Column, modified: Column, window: Column) -> Column:
+    """A model's identity: its name with its revision, else with its file's size and time, else alone; and the tag of a window that isn't the default."""
+    whole = F.when(revision.isNotNull(), F.concat_ws("|", name, revision)).when(size.isNotNull(), F.concat_ws("|", name, size.cast("string"), modified.cast("long").cast("string"))).otherwise(name)
+    return F.substring(F.sha2(F.concat(whole, F.coalesce(window, F.lit(""))), 256), 1, 12)
+
+
+def model_hash(content: Column, config: Column) -> Column:
+    """SHA-256 of a file's bytes and its configuration's JSON, whose keys stand in order."""
+    return F.sha2(F.concat(content, config.cast("binary")), 256)
+
+
+def cache_key(name: Column, print_: Column, start: Column, end: Column, crop: Column, layout: Column) -> Column:
+    """All that changes a cached result's bytes, as one file name."""
+    return F.concat(safe_name(name), F.format_string("__%s_f%06d-%06d_%s_p%d", print_, start, end, crop, layout))
+
+
+def clip_offset(frame: Column, first: Column) -> Column:
+    """Where a source frame stands in a clip; null before its first."""
+    return F.when(frame >= first, frame - first)
+
+
+def relative_path(path: Column, base: Column) -> Column:
+    """`path` as seen from the folder `base`, both absolute."""
+    a, b = (F.filter(F.split(c, "/"), lambda x: x != "") for c in (path, base))
+    both = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))), lambda n: F.coalesce(F.slice(a, F.lit(1), n) == F.slice(b, F.lit(1), n), F.lit(False)))
+    same = F.size(F.filter(both, lambda x: x))
+    up = F.array_repeat(F.lit(".."), F.size(b) - same)
+    rest = F.slice(a, same + 1, F.greatest(F.size(a) - same, F.lit(0)))
+    found = F.array_join(F.concat(up, rest), "/")
+    return F.when(found == "", ".").otherwise(found)

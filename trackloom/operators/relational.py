@@ -79,9 +79,56 @@ def aligned_axes(main: DataFrame, axis: DataFrame) -> DataFrame:
     return both.groupBy(KEY).agg(F.count("m").alias("main_rows"), F.count("a").alias("axis_rows"), F.bool_and(F.col("m").isNotNull() & F.col("a").isNotNull()).alias("complete"))
 
 
-def first_free(names: DataFrame, taken: DataFrame, stem: str = "stem", number: str = "number") -> DataFrame:
-    """(stem, number): the smallest number from 1 that is not taken."""
+def first_free(names: DataFrame, taken: DataFrame, stem: str = "stem", number: str = "number", companions: list[DataFrame] = (), most: int | None = None) -> DataFrame:
+    """(stem, number): the smallest number from 1 that neither the name nor a companion has taken; null beyond `most`."""
     w = Window.partitionBy(stem).orderBy(number)
-    held = taken.select(stem, number).distinct().where(F.col(number) >= 1).withColumn("k", F.row_number().over(w)).where(F.col("k") == F.col(number))
+    held = taken.select(stem, number)
+    for other in companions:
+        held = held.union(other.select(stem, number))
+    held = held.distinct().where(F.col(number) >= 1).withColumn("k", F.row_number().over(w)).where(F.col("k") == F.col(number))
     run = held.groupBy(stem).agg(F.max("k").alias("run"))
-    return names.select(stem).distinct().join(run, stem, "left").select(stem, (F.coalesce("run", F.lit(0)) + 1).alias(number))
+    free = F.coalesce("run", F.lit(0)) + 1
+    return names.select(stem).distinct().join(run, stem, "left").select(stem, (free if most is None else F.when(free <= most, free)).alias(number))
+
+
+def uncovered(requests: DataFrame, covered: DataFrame) -> DataFrame:
+    """The requests that no clip covers, to be built."""
+    return requests.join(covered.select(*requests.columns), requests.columns, "left_anti")
+
+
+def scripts_added(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(project, index, rel_path, script, active): a new script takes the place of the one with its path, or comes last; it becomes the active one.
+
+    old has (project, index, rel_path, script), new one row (project, rel_path, script) a project.
+    """
+    asked = new.select("project", "rel_path", F.col("script").alias("fresh"))
+    size = old.groupBy("project").agg(F.count("*").alias("n"))
+    met = old.join(asked, ["project", "rel_path"], "left").select("project", "index", "rel_path", F.coalesce("fresh", "script").alias("script"), F.col("fresh").isNotNull().alias("active"))
+    more = asked.join(old, ["project", "rel_path"], "left_anti").join(size, "project", "left").select("project", F.coalesce("n", F.lit(0)).cast("int").alias("index"), "rel_path", F.col("fresh").alias("script"), F.lit(True).alias("active"))
+    return met.unionByName(more)
+
+
+def pooled_grid(cells: DataFrame, levels: list[int], dims: int, halves: bool = False) -> DataFrame:
+    """(video_id, slot, token, e): means over the parts of each level of a slot's grid, level by level and row by row.
+
+    cells has (video_id, slot, y, x, height, width, e). A part's bounds are rounded outwards, so parts may overlap; with
+    `halves` a level of two cuts at the integer half instead. A cell goes to its parts by its own place, without a join.
+    """
+    parts = []
+    first = 0
+    for k in levels:
+        for i in range(k):
+            for j in range(k):
+                inside = F.lit(True)
+                for at, size, n in (("y", "height", i), ("x", "width", j)):
+                    low, high = (F.floor(F.col(size) * n / k), F.floor(F.col(size) * (n + 1) / k) if halves else F.ceil(F.col(size) * (n + 1) / k))
+                    inside = inside & (F.col(at) >= low) & (F.col(at) < high)
+                parts.append(F.when(inside, F.lit(first + i * k + j)))
+        first += k * k
+    dealt = cells.select(KEY, "slot", "e", F.explode(F.array_compact(F.array(*parts))).alias("token"))
+    return dealt.groupBy(KEY, "slot", "token").agg(F.array(*(F.avg(F.get("e", F.lit(d))) for d in range(dims))).alias("e"))
+
+
+def outcomes(rows: DataFrame, failed: Column) -> DataFrame:
+    """(done, failed) of a batch whose rows carry their own status."""
+    return rows.agg(F.count_if(~failed).alias("done"), F.count_if(failed).alias("failed"))

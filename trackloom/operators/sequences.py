@@ -114,6 +114,19 @@ def blended(windows: DataFrame, value: str, crop: int = CROP) -> DataFrame:
     return windows.groupBy(KEY, FRAME).agg((F.sum(w * F.col(value)) / F.greatest(F.sum(w), F.lit(1e-8))).alias(value))
 
 
+def blended_distributions(windows: DataFrame, probs: str = "p", act: str = "act", bins: int = 64, crop: int = CROP) -> DataFrame:
+    """(video_id, frame, p, act): the windows' bin probabilities and activities, blended by weight and renormalised, to be decoded afterwards.
+
+    One sum a bin in one aggregate, so map-side sums move and no row is multiplied by its bins.
+    """
+    w = bartlett((F.col(FRAME) - F.col("start")).cast("double"), max(2, crop))
+    sums = F.array(*(F.sum(w * F.get(probs, F.lit(i))) for i in range(bins)))
+    found = windows.groupBy(KEY, FRAME).agg(sums.alias("p"), F.sum(w * F.col(act)).alias("act"), F.greatest(F.sum(w), F.lit(1e-8)).alias("w"))
+    found = found.select(KEY, FRAME, F.transform("p", lambda x: x / F.col("w")).alias("p"), (F.col("act") / F.col("w")).alias("act"))
+    all_ = F.greatest(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), F.lit(1e-12))
+    return found.withColumn("sum", all_).select(KEY, FRAME, F.transform("p", lambda x: x / F.col("sum")).alias("p"), "act")
+
+
 def stroke_spans(track: DataFrame, pos: str = "pos") -> DataFrame:
     """Adds span: the number of the stretch between successive strict local extrema that a frame lies in."""
     b, a = F.lag(pos).over(in_order()), F.lead(pos).over(in_order())

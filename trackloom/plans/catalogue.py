@@ -305,7 +305,7 @@ def store_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT p_partkey, (p_size % 40) / 100.0::DOUBLE AS x1, 0.1::DOUBLE AS y1, (50 + p_size) / 100.0::DOUBLE AS x2, 1.0::DOUBLE AS y2 FROM part), b AS (SELECT *, x2 <= 1 AS ok FROM v)
-SELECT p_partkey, CASE WHEN ok THEN 'box' || lpad(CAST(CAST(round_even(x1 * 10000, 0) AS BIGINT) AS VARCHAR), 5, '0') || '-01000-' || lpad(CAST(CAST(round_even(x2 * 10000, 0) AS BIGINT) AS VARCHAR), 5, '0') || '-10000' ELSE 'full' END AS tag,
+SELECT p_partkey, CASE WHEN ok THEN 'box' || lpad(CAST(CAST(round_even(x1 * 10000, 0) AS BIGINT) AS VARCHAR), 5, '0') || '-01000-' || lpad(CAST(CAST(round_even(x2 * 10000, 0) AS BIGINT) AS VARCHAR), 5, '0') || '-10000' ELSE 'crop' END AS tag,
 CASE WHEN ok THEN CAST(round_even(x1 * 1921, 0) AS BIGINT) // 2 * 2 END AS "left", CASE WHEN ok THEN least(CAST(round_even(x2 * 1921, 0) AS BIGINT) // 2 * 2, 1921) END AS "right", CASE WHEN ok THEN 1080 END::BIGINT AS bottom FROM b""")
 def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat_ws(",", (F.col("p_size") % 40 / 100.0).cast("string"), F.lit("0.1"), ((F.col("p_size") + 50) / 100.0).cast("string"), F.lit("1"))

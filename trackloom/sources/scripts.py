@@ -1,22 +1,61 @@
-"""Script sinks and sources: nested JSON, and the binary action list."""
+"""Script sinks and sources: nested JSON, and the project file's binary scripts."""
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trackloom.schema import FRAME, KEY
 
 
-def script_json(keyframes: DataFrame, version: str = "1.0") -> DataFrame:
-    """(video_id, json) of rows (video_id, at, pos): one document a track, actions in order of time. A track's actions are its keyframes, so the list is bounded by the track."""
-    actions = F.array_sort(F.collect_list(F.struct("at", "pos"))).alias("actions")
-    body = F.struct(F.lit(version).alias("version"), F.lit(False).alias("inverted"), F.lit(100).alias("range"), "actions")
-    return keyframes.groupBy(KEY).agg(actions).select(KEY, F.to_json(body).alias("json"))
+def _listed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "pos"))).alias("actions"))
+
+
+def script_json(keyframes: DataFrame, axes: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
+    """(video_id, json) of rows (video_id, at, pos): one document a track, actions in order of time. A track's actions are its keyframes, so the list is bounded by the track.
+
+    `axes` has rows (video_id, axis, at, pos) at the main track's times, else the query fails; a document with axes is
+    version 1.1. `metadata` has one row a track: video_id and a struct or map `metadata`.
+    """
+    made = _listed(keyframes, [KEY])
+    version = F.lit("1.0")
+    parts = [F.lit(False).alias("inverted"), F.lit(100).alias("range"), F.col("actions")]
+    if axes is not None:
+        each = _listed(axes, [KEY, "axis"])
+        found = F.array_sort(F.collect_list(F.struct(F.col("axis").alias("id"), "actions")))
+        found = F.transform(found, lambda x: F.struct(x["id"].alias("id"), F.create_map().cast("map<string,string>").alias("metadata"), x["actions"].alias("actions")))
+        made = made.join(each.groupBy(KEY).agg(found.alias("axes")), KEY, "left")
+        times = lambda c: F.transform(c, lambda a: a["at"])
+        same = F.forall(F.col("axes"), lambda x: times(x["actions"]) == times(F.col("actions")))
+        made = made.withColumn("axes", F.when(F.col("axes").isNull() | same, F.col("axes")).otherwise(F.raise_error(F.concat(F.lit("an axis of "), KEY, F.lit(" does not share the track's times")))))
+        version = F.when(F.col("axes").isNotNull(), "1.1").otherwise("1.0")
+        parts.append(F.col("axes"))
+    if metadata is not None:
+        made = made.join(metadata.select(KEY, "metadata"), KEY, "left")
+        parts.append(F.col("metadata"))
+    return made.select(KEY, F.to_json(F.struct(version.alias("version"), *parts)).alias("json"))
+
+
+def script_pair(dense: DataFrame, kept: DataFrame, stats: DataFrame, least: int = 8) -> DataFrame:
+    """(video_id, variant, json): the dense document of every track, and the simplified one of those with `least` frames.
+
+    dense has (video_id, frame, at, pos), kept (video_id, frame), stats one row a track; the metadata of each names
+    the other's role and the simplified one carries the errors.
+    """
+    size = dense.groupBy(KEY).agg(F.count("*").alias("n"))
+    long = size.where(F.col("n") >= least).select(KEY)
+    named = lambda rows, variant, *more: rows.select(KEY, F.struct(F.lit(variant).alias("variant"), *more).alias("metadata"))
+    raw = script_json(dense, metadata=named(size, "dense", (F.col("n") >= least).alias("has_simplified")))
+    errors = [c for c in stats.columns if c != KEY]
+    few = script_json(dense.join(kept.join(long, KEY, "left_semi"), [KEY, FRAME], "left_semi"), metadata=named(stats, "simplified", *errors))
+    return raw.withColumn("variant", F.lit("dense")).unionByName(few.withColumn("variant", F.lit("simplified"))).select(KEY, "variant", "json")
 
 
 def read_script_json(spark: SparkSession, path: str) -> DataFrame:
@@ -26,20 +65,89 @@ def read_script_json(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.inline(F.coalesce(parsed["actions"], F.array().cast("array<struct<at:bigint,pos:int>>"))))
 
 
-def encode_actions(rows: list[tuple[float, int]]) -> bytes:
-    """Count, then for each action its size, time in seconds (float32), position and two flag bytes."""
-    return struct.pack("<I", len(rows)) + b"".join(struct.pack("<IfhBB", 8, t, p, 0, 0) for t, p in rows)
+# The project file's layout. A size takes 1, 2 or 4 bytes by its two top bits; a block starts with its own
+# length (unsigned, its four bytes included); an action is a block of time (float32), position (int16) and two zero bytes.
+ACTION = struct.Struct("<IfhBB")
+SIZES = [(1 << 7, 1, 0x00), (1 << 14, 2, 0x80), (1 << 30, 4, 0xC0)]
 
 
-def decode_actions(data: bytes) -> list[tuple[float, int]]:
-    """The actions; a list that ends early or overruns is an error."""
-    if len(data) < 4 or len(data) < 4 + 12 * struct.unpack_from("<I", data)[0]:
+def size_bytes(n: int) -> bytes:
+    """A size: its high bytes first, but for the last two of four, which stand low byte first."""
+    for limit, width, mark in SIZES:
+        if n < limit:
+            raw = bytearray(n.to_bytes(width, "big"))
+            raw[0] |= mark
+            return bytes(raw[:2] + raw[2:][::-1])
+    raise ValueError(f"size {n} is too large")
+
+
+def read_size(data: bytes, at: int) -> tuple[int, int]:
+    """The size that begins at `at`, and where it ends."""
+    width = {0: 1, 1: 1, 2: 2, 3: 4}[data[at] >> 6]
+    raw = data[at : at + width]
+    if len(raw) < width:
+        raise ValueError("a size overruns its data")
+    value = int.from_bytes(raw[:2] + raw[2:][::-1], "big")
+    return value & ((1 << (8 * width - (0, 1, 2)[width // 2])) - 1), at + width
+
+
+def block(body: bytes) -> bytes:
+    return struct.pack("<I", len(body) + 4) + body
+
+
+def _named(text: str) -> bytes:
+    raw = text.encode()
+    return size_bytes(len(raw)) + raw
+
+
+def encode_script(rows: list[tuple[float, int]], path: str = "", title: str = "") -> bytes:
+    """One script's block: its actions, relative path, title and the enabled flag."""
+    return block(size_bytes(len(rows)) + b"".join(ACTION.pack(ACTION.size, t, p, 0, 0) for t, p in rows) + _named(path) + _named(title) + b"\x01")
+
+
+def decode_script(data: bytes) -> tuple[list[tuple[float, int]], str, str]:
+    """Actions, path and title; a script that ends early or overruns is an error."""
+    if len(data) < 5 or struct.unpack_from("<I", data)[0] > len(data):
+        raise ValueError("script overruns its data")
+    count, at = read_size(data, 4)
+    end = at + count * ACTION.size
+    if end > len(data):
         raise ValueError("action list overruns its data")
-    return [struct.unpack_from("<fh", data, 8 + 12 * i) for i in range(struct.unpack_from("<I", data)[0])]
+    rows = [(t, p) for _, t, p, _, _ in ACTION.iter_unpack(data[at:end])]
+    texts = []
+    for _ in range(2):
+        size, at = read_size(data, end)
+        end = at + size
+        if end > len(data):
+            raise ValueError("text overruns its data")
+        texts.append(data[at:end].decode())
+    return rows, texts[0], texts[1]
+
+
+def encode_project(scripts: list[bytes]) -> bytes:
+    """The scripts' list: each is numbered from 1."""
+    return block(size_bytes(len(scripts)) + b"".join(size_bytes(k) + raw for k, raw in enumerate(scripts, 1))) if scripts else b""
+
+
+def decode_project(data: bytes) -> list[bytes]:
+    if not data:
+        return []
+    count, at = read_size(data, 4)
+    out = []
+    for _ in range(count):
+        number, at = read_size(data, at)
+        if not number:
+            raise ValueError("a script's number is 0")
+        end = at + struct.unpack_from("<I", data, at)[0]
+        out.append(data[at:end])
+        at = end
+    if at > struct.unpack_from("<I", data)[0]:
+        raise ValueError("the list overruns its own length")
+    return out
 
 
 def packed_scripts(keyframes: DataFrame) -> DataFrame:
-    """(video_id, data): binary action lists; per float32 second the last action stays, negative times go."""
+    """(video_id, data): binary scripts; per float32 second the last action stays, negative times go."""
     seconds = (F.col("at") / 1000).cast("float")
     pos = F.least(F.greatest(F.col("pos"), F.lit(0)), F.lit(100))
     last = keyframes.where("at >= 0").withColumn("s", seconds).groupBy(KEY, "s").agg(F.max_by(F.struct("at", pos.alias("pos")), F.col("at")).alias("v"))
@@ -47,30 +155,35 @@ def packed_scripts(keyframes: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield pd.DataFrame({KEY: p[KEY], "data": [encode_actions([(r["s"], r["pos"]) for r in rows]) for rows in p["rows"]]})
+            yield pd.DataFrame({KEY: p[KEY], "data": [encode_script([(r["s"], r["pos"]) for r in rows], f"{k}.funscript", k) for k, rows in zip(p[KEY], p["rows"], strict=True)]})
 
     return listed.mapInPandas(run, f"{KEY} string, data binary")
 
 
 def unpacked_scripts(packed: DataFrame) -> DataFrame:
-    """(video_id, seconds, pos) of binary action lists."""
+    """(video_id, seconds, pos) of binary scripts."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield pd.DataFrame([(k, t, pos) for k, d in zip(p[KEY], p["data"], strict=True) for t, pos in decode_actions(d)], columns=[KEY, "seconds", "pos"])
+            yield pd.DataFrame([(k, t, pos) for k, d in zip(p[KEY], p["data"], strict=True) for t, pos in decode_script(d)[0]], columns=[KEY, "seconds", "pos"])
 
     return packed.mapInPandas(run, f"{KEY} string, seconds float, pos int")
 
 
-def list_videos(spark: SparkSession, folder: str, excluded: list[str] = (), again: bool = False, pattern: str = "*.mp4") -> DataFrame:
-    """(path, modificationTime, length) of the videos below a folder without a script beside them, newest first."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", "modificationTime", "length")
+def list_videos(spark: SparkSession, target: str, excluded: list[str] = (), again: bool = False, pattern: str = "*.mp4") -> DataFrame:
+    """(path, modificationTime, length) of the videos below a folder without a script beside them, newest first; excluded folders are prefixes of the whole path. A file that is named itself is always kept."""
+    named = re.search(r"\.[A-Za-z0-9]+$", target) is not None
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    found = (read if named else read.option("pathGlobFilter", pattern)).load(target).select("path", "modificationTime", "length")
+    if named:
+        return found
     stem = F.regexp_replace("path", r"\.[^./]*$", "").alias("stem")
     if not again:
-        scripts = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.funscript").load(folder).select(stem)
+        scripts = read.option("pathGlobFilter", "*.funscript").load(target).select(stem)
         found = found.withColumn("stem", stem).join(scripts, "stem", "left_anti").drop("stem")
+    plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
     for path in excluded:
-        found = found.where(~F.contains("path", F.lit(path.rstrip("/") + "/")))
+        found = found.where(~F.startswith(plain, F.lit(re.sub("^[a-z]+:/+", "/", path).rstrip("/") + "/")))
     return found.orderBy(F.desc("modificationTime"))
 
 
@@ -80,3 +193,44 @@ def progress(store: DataFrame, expected: DataFrame) -> DataFrame:
     completed = F.when(F.col("n") == F.col("top") + 1, F.col("n")).otherwise(F.lit(0))
     met = expected.join(done, KEY, "left").withColumn("completed", F.coalesce(completed, F.lit(0)))
     return met.select(KEY, "completed", "expected", F.when(F.col("completed") > F.col("expected"), 0).otherwise(F.col("completed")).alias("resume_at"))
+
+
+def resume_points(store: DataFrame, wanted: DataFrame, slots_per_window: int = 1) -> DataFrame:
+    """(video_id, completed, resume_at, restart) of an append-only slot store (video_id, slot, identity).
+
+    A store whose identity isn't the wanted one starts anew, and so does one with a gap or more slots than expected;
+    else it resumes after its last whole window, or is done.
+    """
+    held = store.groupBy(KEY).agg(F.count_distinct("slot").alias("n"), F.max("slot").alias("top"), F.min("identity").alias("low"), F.max("identity").alias("high"))
+    met = wanted.join(held, KEY, "left")
+    fits = (F.col("low") == F.col("identity")) & (F.col("high") == F.col("identity")) & (F.col("n") == F.col("top") + 1) & (F.col("n") <= F.col("expected"))
+    whole = F.floor(F.col("n") / slots_per_window) * slots_per_window
+    completed = F.when(F.coalesce(fits, F.lit(False)), F.when(F.col("n") == F.col("expected"), F.col("n")).otherwise(whole)).otherwise(0)
+    return met.select(KEY, completed.cast("long").alias("completed"), (completed < F.col("expected")).alias("pending"), (F.col("n").isNotNull() & ~F.coalesce(fits, F.lit(False))).alias("restart"))
+
+
+def time_tables(tokens: DataFrame, least: int = 1) -> DataFrame:
+    """(video_id, frame, pts) of probed packet times (video_id, token): in order of time; one token that is no number voids a video's table, and so do too few."""
+    pts = F.col("token").try_cast("double")
+    read = tokens.select(KEY, pts.alias("pts"))
+    good = read.groupBy(KEY).agg(F.bool_and(F.col("pts").isNotNull()).alias("ok"), F.count("*").alias("n")).where(f"ok and n >= {max(1, least)}").select(KEY)
+    order = Window.partitionBy(KEY).orderBy("pts")
+    return read.join(good, KEY, "left_semi").select(KEY, (F.row_number().over(order) - 1).cast("long").alias(FRAME), "pts")
+
+
+def merged_probes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(video_id, fps, total_frames, pts): what is known of each video, new entries over old ones, key by key; a frame count of 0 is no entry."""
+    both = old.withColumn("age", F.lit(1)).unionByName(new.withColumn("age", F.lit(0)))
+    entry = lambda c, ok: F.min_by(c, F.when(ok, F.col("age"))).alias(c)
+    counted = F.col("total_frames") > 0
+    return both.groupBy(KEY).agg(entry("fps", F.col("fps").isNotNull() & counted), entry("total_frames", counted), entry("pts", F.col("pts").isNotNull()))
+
+
+def reads_media(wanted: DataFrame, probes: DataFrame, store: DataFrame, clips: DataFrame) -> DataFrame:
+    """(video_id, reads): whether a run would open the video: unless its rate is known and its slots are all stored or a clip covers it."""
+    known = probes.where("fps is not null and total_frames is not null").select(KEY, F.lit(True).alias("known"))
+    done = store.select(KEY, "completed")
+    covered = clips.select(KEY).distinct().withColumn("clip", F.lit(True))
+    met = wanted.join(known, KEY, "left").join(done, KEY, "left").join(covered, KEY, "left")
+    enough = F.coalesce(F.col("completed") >= F.col("expected"), F.lit(False)) | F.col("clip").isNotNull()
+    return met.select(KEY, (~(F.col("known").isNotNull() & enough)).alias("reads"))

@@ -11,17 +11,32 @@ from pyspark.sql import functions as F
 from trackloom.schema import FRAME, KEY
 
 
-def windowed_means(frames: DataFrame, window: int, value: str = "pos") -> DataFrame:
-    """A stream of frames in order to (video_id, slot, value): the mean of each full window. Frames of an open window are carried as state; a batch may end anywhere."""
+def _gathered(parts: Iterator[pd.DataFrame], value: str, last: str | None) -> tuple[list[tuple[int, float]], bool]:
+    """A batch's frames of one track in order, whatever Arrow chunks they came in, and whether the track ends here."""
+    columns = [FRAME, value, *([last] if last else [])]
+    rows = sorted(r for part in parts for r in part[columns].itertuples(index=False, name=None))
+    return [(int(r[0]), float(r[1])) for r in rows], bool(last) and any(r[2] for r in rows)
+
+
+def windowed_means(frames: DataFrame, window: int, value: str = "pos", last: str | None = None) -> DataFrame:
+    """A stream of frames in order to (video_id, slot, value): the mean of each full window. Frames of an open window are carried as state; a batch may end anywhere.
+
+    A track ends with the frame whose column `last` is true: its open window is then padded with that frame and given.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         slot, carried = state.get if state.exists else (0, [])
-        values = list(carried)
-        for part in parts:
-            values += part.sort_values(FRAME)[value].tolist()
+        rows, ends = _gathered(parts, value, last)
+        values = [*carried, *(v for _, v in rows)]
+        if ends and len(values) % window:
+            values += values[-1:] * (window - len(values) % window)
         full = len(values) // window
         means = [sum(values[k * window : (k + 1) * window]) / window for k in range(full)]
-        state.update((slot + full, values[full * window :]))
+        if ends:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((slot + full, values[full * window :]))
         yield pd.DataFrame({KEY: [key[0]] * full, "slot": range(slot, slot + full), "value": means})
 
     from pyspark.sql.streaming.state import GroupStateTimeout
@@ -29,15 +44,19 @@ def windowed_means(frames: DataFrame, window: int, value: str = "pos") -> DataFr
     return frames.groupBy(KEY).applyInPandasWithState(step, f"{KEY} string, slot long, value double", "slot long, carried array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def interleaved(frames: DataFrame, value: str = "pos") -> DataFrame:
-    """A stream of frames in order to (video_id, frame, value) with each frame followed by its successor's value; the last one waits for it."""
+def interleaved(frames: DataFrame, value: str = "pos", last: str | None = None) -> DataFrame:
+    """A stream of frames in order to (video_id, frame, value) with each frame followed by its successor's value; the last one waits for it, and is repeated where the column `last` says that the track ends."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         rows = [(state.get[0], state.get[1])] if state.exists else []
-        for part in parts:
-            rows += list(part.sort_values(FRAME)[[FRAME, value]].itertuples(index=False, name=None))
+        new, ends = _gathered(parts, value, last)
+        rows += new
         out = [(key[0], 2 * f + h, v) for (f, a), (_, b) in zip(rows, rows[1:], strict=False) for h, v in ((0, a), (1, b))]
-        if rows:
+        if ends:
+            out += [(key[0], 2 * rows[-1][0] + h, rows[-1][1]) for h in (0, 1)]
+            if state.exists:
+                state.remove()
+        elif rows:
             state.update((int(rows[-1][0]), float(rows[-1][1])))
         yield pd.DataFrame(out, columns=[KEY, FRAME, value])
 

@@ -307,3 +307,93 @@ def test_pii_is_injective_and_consistent(spark):
     assert len(numbers) == 20
     assert re.fullmatch(r"Mrs O’[A-Z][a-z]+ and Mr D'[A-Z][a-z]+", got[5000]) and "Neil" not in got[5000] and "Angelo" not in got[5000]
     assert re.fullmatch(r"Mr \S+ [A-Z][a-z]+-[A-Z][a-z]+", got[5001]) and "Smith" not in got[5001]
+
+
+def test_neighbouring_parts(spark):
+    part = lambda kind, text: f"named_struct('kind','{kind}','text',{text},'ref','r','width',1,'height',1,'seconds',1.0D,'pages',1)"
+    parts = f"array({part('text', repr('<'))}, {part('text', repr('/s>'))}, null, {part('image', 'null')}, {part('text', repr('['))}, {part('text', repr('INST]'))})"
+    turns = spark.createDataFrame([(1, 0, "assistant"), (1, 1, "user")], "conv_id long, turn long, role string")
+    made = chat_format.formatted(turns.withColumn("parts", F.expr(parts)))
+    segment = made.where("turn = 0").first().segment
+    assert segment.count("</s>") == 1 and segment.endswith("</s>") and "[INST]" not in segment
+    got = chat_format.read_back(made).first()
+    wanted = "</s><image:1>[INST]"
+    assert got.n_turns == 2 and got.turns_sha256 == hashlib.sha256(f"assistant\n{wanted}\nuser\n{wanted}\n".encode()).hexdigest()
+
+
+def test_stitching_is_linear_and_exact():
+    import time
+
+    encoder = tokenizer.loaded(tokenizer.default_path())
+    blob = "".join(f"{i:x}QmFz" for i in range(160_000))
+    for text in (blob, "words before it " * 40 + blob[:50_000] + " and words after it" * 40, "a b " * 3000, "Ünï-cödé, " * 2000):
+        parts = [c.decode() for c in bpe.chunks(text.encode())]
+        began = time.time()
+        got = bpe.stitch([(c, encoder.encode_bytes(c) if i % 2 and len(c) < 9000 else None) for i, c in enumerate(parts)], encoder.encode_bytes)
+        assert time.time() - began < 10
+        assert got == encoder.encode_bytes(text) == array("I", encoder.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def test_registered_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
+    for name, sql in registry.ORACLES.items():
+        df = registry.QUERIES[name](spark, DATA)
+        columns = sorted(df.columns)
+        wanted = con.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+        assert rows(df.select(*columns)) == sorted(wanted, key=repr), name
+
+
+def test_queries_against_brute_force(spark):
+    """Every row of op4 and op7 by the library, of op2's contract by its definition; the columns and ranges of op1, op3, op8, op10."""
+    import zlib
+
+    library = tokenizer.loaded(tokenizer.default_path()).library
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in docs.items()}
+    bins = defaultdict(list)
+    pieces = set()
+    for r in registry.QUERIES["op4_best_fit_packing"](spark, DATA).collect():
+        part = (ids[r.doc_id] + [0])[r.start : r.start + r.length]
+        assert r.start == 2048 * r.piece and len(part) == r.length and zlib.crc32(array("I", part).tobytes()) == r.ids_crc32
+        bins[r.sequence_id].append((r.offset, r.length))
+        pieces.add((r.doc_id, r.piece))
+    assert pieces == {(i, k) for i, x in ids.items() for k in range(len(x) // 2048 + 1)}
+    assert all(sum(n for _, n in b) <= 2048 and sorted(o for o, _ in b) == [sum(n for p, n in b if p < o) for o, _ in sorted(b)] for b in bins.values())
+    for r in registry.QUERIES["op7_bpe_chunk_reuse"](spark, DATA).collect():
+        assert r.n_tokens == len(ids[r.doc_id]) and r.ids_sha256 == hashlib.sha256(array("I", ids[r.doc_id]).tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids[r.doc_id], skip_special_tokens=False).encode()).hexdigest()
+    order, print_of = sorted(docs, reverse=True), simhash.Fingerprinter()
+    known = {i: print_of.fingerprint(print_of.words(t)) for i, t in docs.items()}
+    likeness = lambda a, b: 1 - (a ^ b).bit_count() / 64
+    for r in registry.QUERIES["op2_simhash"](spark, DATA).collect():
+        nxt = order[(order.index(r.doc_id) + 1) % len(order)]
+        text = docs[r.doc_id]
+        edited = text[: len(text) - len(text) // 2] + docs[nxt][: len(text) // 2]
+        changed = print_of.fingerprint(print_of.words(edited))
+        assert (r.near_edited, r.near_next) == (likeness(known[r.doc_id], changed), likeness(known[r.doc_id], known[nxt]))
+        assert r.n_within_3 == (sum((known[r.doc_id] ^ p).bit_count() <= 3 for p in known.values()) if r.doc_id % 100 == 0 else None)
+    for name, n, columns in (("op1_pii_surrogates", len(docs), {"doc_id", "text"}), ("op3_language_gru", len(docs), {"doc_id", "held_out", "lang_pred", "score"}), ("op8_quality_conv", len(docs), {"doc_id", "held_out", "score", "predicted"}), ("op10_html_consensus", 50, {"page_id", "url", "text", "n_chars"})):
+        got = registry.QUERIES[name](spark, DATA).collect()
+        assert len(got) == n and columns <= set(got[0].asDict())
+        assert all(0 <= r.score <= 1 for r in got if "score" in columns) and all(r.n_chars == len(r.text) for r in got if "n_chars" in columns)
+        for r in got if "held_out" in columns else ():
+            mod, rest = (3, 1) if "lang_pred" in columns else (4, 2)
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % mod == rest)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, empty):
+    """Nulls, repeats, long texts, an empty table and columns of clashing names pass every stage in sequence."""
+    import corpus_pipeline
+
+    for start in (odd.withColumn("score", F.lit(1)).withColumn("row", F.lit("r")).withColumn("c0", F.lit(2)), empty):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, DATA)
+            assert out.columns == start.columns, name
+            docs = spark.createDataFrame(out.collect(), start.schema)
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+        assert {r.doc_id for r in last.collect()} == {r.doc_id for r in docs.collect()}

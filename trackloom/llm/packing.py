@@ -30,7 +30,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_
 
     @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer.loaded(tokenizer_path).encode_bytes
+        # ids that stay with the pieces take memory of their own, so there the word cache is smaller
+        encode = tokenizer.loaded(tokenizer_path, tokenizer.CACHE_WORDS // 3 if keep_ids else tokenizer.CACHE_WORDS).encode_bytes
 
         def pieces(batch: pa.RecordBatch):
             for part in byte_models.slices(batch, SLICE_BYTES):

@@ -1,6 +1,7 @@
 """The training-data operators on small tables: brute force, round trips, and odd rows (nulls, ties, empty tables, other columns)."""
 
 import hashlib
+import random
 import re
 from array import array
 from collections import defaultdict
@@ -66,6 +67,26 @@ def test_jaccard_join(spark, odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 3, 4, 5, 7, 8, 9, 10]
 
 
+def test_jaccard_join_of_common_passages(spark):
+    """Texts of nothing but passages that many others have too, and prefixes of one text whose sizes stand 3 to 4 or just beyond."""
+    draw = random.Random(5)
+    passages = [" ".join(f"p{k}_{i}" for i in range(12)) for k in range(9)]
+    texts = [" ".join(draw.sample(passages, draw.randint(1, 7)) + [f"own{i % 11}"] * (i % 3)) for i in range(120)]
+    for top in (4, 8, 20, 44, 100):
+        texts += [" ".join(f"q{top}_{i}" for i in range(n + 4)) for n in (top, top * 3 // 4, top * 3 // 4 - 1)]
+    docs = list(enumerate(texts))
+    assert rows(jaccard_join.classes(spark.createDataFrame(docs, "doc_id long, text string"))) == sorted(linked(docs), key=repr)
+
+
+def test_size_classes(spark):
+    sizes = [*range(1, 400), 3**9, 4**9, 3 * 10**6, 4 * 10**6]  # in order
+    for percent in (50, 75, 90, 100):
+        found = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", *(jaccard_join.size_class(F.col("n"), percent, k) for k in (0, -1, 1))).collect()
+        own, least, largest = ([r[k] for r in sorted(found)] for k in (1, 2, 3))
+        for i, n in enumerate(sizes):
+            assert all(least[i] <= own[j] <= largest[i] for j, m in enumerate(sizes) if 100 * min(n, m) >= percent * max(n, m))
+
+
 def test_exact_dedup(spark, odd, empty):
     got = {r.doc_id: r for r in exact_dedup.groups(odd).collect()}
     assert got[2].keep_id == 1 and not got[2].kept and got[1].group_size == 2 and got[4].keep_id == 3 and got[8].keep_id == 8

@@ -1,7 +1,7 @@
 """Grouped prefix join: all pairs of documents whose 5-word shingle sets reach a Jaccard similarity.
 
 The shingles of a set stand in one global order: those that a corpus-wide count sketch calls frequent come last, the
-others by hash. Two sets that reach the threshold then share a shingle of their prefixes. Documents with the same
+rarer first, the others by hash. Two sets that reach the threshold then share a shingle of their prefixes. Documents with the same
 prefix and size are one group; groups that share a prefix shingle are candidates. Groups are first compared with a
 pivot each, so that a large family of near copies becomes one component in a linear number of checks; then every pair
 of groups whose components differ is expanded to its members and verified. The sketch only sets the order, so its
@@ -16,6 +16,7 @@ no rows; other columns may have any names but `_jj_id` and `_jj_hash`, and `dedu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,19 +162,19 @@ def sketch(texts: DataFrame, width: int = WIDTH, bits: int = SKETCH_BITS) -> np.
     return _counted(texts.select("text").mapInArrow(run, "block int, counts binary"), bits)
 
 
-def frequent(levels: np.ndarray, light: int = LIGHT) -> np.ndarray:
-    """Buckets well above the mean load: those hold shingles of more than about `light` texts."""
+def ranked(levels: np.ndarray, light: int = LIGHT) -> np.ndarray:
+    """The levels of buckets well above the mean load, which hold shingles of more than about `light` texts; 0 for all others."""
     mean = float((2.0 ** (levels.astype(np.float32) / 4) - 1).mean())
-    return levels >= 4 * np.log2(mean + 3 * mean**0.5 + light + 1)
+    return np.where(levels >= 4 * np.log2(mean + 3 * mean**0.5 + light + 1), levels, 0).astype(np.uint8)
 
 
-def prefix(tokens: np.ndarray, heavy: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first n - ceil(n * percent / 100) + 1 of the sorted tokens in the global order, frequent ones last."""
+def prefix(tokens: np.ndarray, ranks: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The first n - ceil(n * percent / 100) + 1 of the sorted tokens in the global order: by rank, within a rank by hash."""
     n = len(tokens)
     size = n - -(-n * percent // 100) + 1
-    last = heavy[(tokens >> np.uint64(64 - (len(heavy).bit_length() - 1))).astype(np.int64)]
-    light = tokens[~last]
-    return light[:size] if len(light) >= size else np.concatenate([light, tokens[last][: size - len(light)]])
+    rank = ranks[(tokens >> np.uint64(64 - (len(ranks).bit_length() - 1))).astype(np.int64)]
+    light = tokens[rank == 0]
+    return light[:size] if len(light) >= size else tokens[np.argsort(rank, kind="stable")[:size]]
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -205,15 +206,17 @@ def shapes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
 
     text_hash tells rows of one doc_id apart, gid stands for the group of texts with that prefix and size, set_key for the whole set.
     """
+    import zstandard
+
     spark = docs.sparkSession
-    heavy = spark.sparkContext.broadcast(np.packbits(frequent(sketch(docs, width))))
+    packed = spark.sparkContext.broadcast(zstandard.ZstdCompressor().compress(ranked(sketch(docs, width)).tobytes()))
     field = docs.schema["doc_id"]
 
     @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        last = np.unpackbits(heavy.value).view(bool)
+        ranks = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed.value), np.uint8)
         seen: set[bytes] = set()
 
         def rows(batch: pa.RecordBatch):
@@ -223,7 +226,7 @@ def shapes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
                     yield doc_id, text_hash, 0, None, None, None, None
                     continue
                 key = _set_key(tokens)
-                first = prefix(tokens, last, percent)
+                first = prefix(tokens, ranks, percent)
                 gid = xxhash.xxh3_64_intdigest(first, seed=len(tokens)) - (1 << 63)
                 if len(seen) > 100_000:
                     seen.clear()
@@ -359,6 +362,13 @@ def _sizes_fit(n: str, m: str, percent: int) -> Column:
     return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
 
 
+def size_class(n: Column, percent: int, shift: int = 0) -> Column:
+    """Sizes in steps of 100 / percent: two sets that link differ by at most one step. With `shift`, the class of the least (-1) or largest (1) size that a set of n can link with."""
+    if percent >= 100:
+        return n.cast("long")
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent) + shift * (1 + 1e-9))
+
+
 def _open(sets: DataFrame, met: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sets with their labels, and the rows of tokens whose groups have more than one, with the count of such rows; a group of several labels has a null one."""
     named = sets.select("gid", "set_key", F.col("n_shingles").alias("n")).join(labels.withColumnRenamed("node", "set_key").hint("merge"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
@@ -431,7 +441,10 @@ def set_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     differ = F.col("label_x").isNull() | F.col("label_y").isNull() | (F.col("label_x") != F.col("label_y"))
     # at their first common token two sets that link have enough of both left
     left = (100 + percent) * F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= percent * (F.col("n_x") + F.col("n_y"))
-    met_pairs = x.hint("merge").join(y, (x.token == y.token) & (F.col("gid_x") < F.col("gid_y")) & _sizes_fit("n_x", "n_y", percent) & left & differ)
+    # the join's key has the size too, so what many groups hold is compared within sizes that fit
+    x = x.withColumn("class", size_class(F.col("n_x"), percent))
+    y = y.withColumn("class", F.explode(F.sequence(size_class(F.col("n_y"), percent, -1), size_class(F.col("n_y"), percent, 1))))
+    met_pairs = x.hint("merge").join(y, (x.token == y.token) & (x["class"] == y["class"]) & (F.col("gid_x") < F.col("gid_y")) & _sizes_fit("n_x", "n_y", percent) & left & differ)
     met_pairs = met_pairs.select("gid_x", "gid_y").distinct()
     group_pairs = met_pairs.union(several.select("gid", F.col("gid")))
     p, q = (named.select(*(F.col(c).alias(f"{c}_{s}") for c in ("gid", "set_key", "label"))) for s in "xy")

@@ -429,6 +429,9 @@ def set_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         if asked.isEmpty():
             break
         more = verify(asked, sets, tokens, percent)
+        if more.isEmpty():  # the labels stay, and so does what is open
+            shared.released(asked, more)
+            break
         old, labels = labels, shared.staged(shared.components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "labels")
         shared.released(asked, more, old, named)
         named, met = None, open_tokens
@@ -437,13 +440,15 @@ def set_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     if named is None:
         named, open_tokens = _open(sets, met, labels)
         shared.released(met)
-    x, y = (open_tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("pos", "gid", "n", "label"))) for s in "xy")
+    x, y = (open_tokens.select("token", "c", *(F.col(c).alias(f"{c}_{s}") for c in ("pos", "gid", "n", "label"))) for s in "xy")
     differ = F.col("label_x").isNull() | F.col("label_y").isNull() | (F.col("label_x") != F.col("label_y"))
     # at their first common token two sets that link have enough of both left
     left = (100 + percent) * F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= percent * (F.col("n_x") + F.col("n_y"))
-    # the join's key has the size too, so what many groups hold is compared within sizes that fit
-    x = x.withColumn("class", size_class(F.col("n_x"), percent))
-    y = y.withColumn("class", F.explode(F.sequence(size_class(F.col("n_y"), percent, -1), size_class(F.col("n_y"), percent, 1))))
+    # for tokens of many groups the join's key has the size too, so those are compared within sizes that fit
+    many, none = F.col("c") >= LARGE, F.lit(-1).cast("long")
+    x = x.withColumn("class", F.when(many, size_class(F.col("n_x"), percent)).otherwise(none)).drop("c")
+    fits = F.sequence(size_class(F.col("n_y"), percent, -1), size_class(F.col("n_y"), percent, 1))
+    y = y.withColumn("class", F.explode(F.when(many, fits).otherwise(F.array(none)))).drop("c")
     met_pairs = x.hint("merge").join(y, (x.token == y.token) & (x["class"] == y["class"]) & (F.col("gid_x") < F.col("gid_y")) & _sizes_fit("n_x", "n_y", percent) & left & differ)
     met_pairs = met_pairs.select("gid_x", "gid_y").distinct()
     group_pairs = met_pairs.union(several.select("gid", F.col("gid")))

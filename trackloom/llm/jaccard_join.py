@@ -28,7 +28,7 @@ from trackloom.llm import byte_models, shared
 
 WIDTH, PERCENT = 5, 75
 SKETCH_BITS, BLOCK_BITS, LIGHT = 24, 16, 4
-LARGE, ROUNDS, TABLE_BITS = 32, 2, 22
+LARGE, ROUNDS, TABLE_BITS, TOKEN_BITS = 32, 2, 22, 26
 _BLOCK_BYTES = 1 << 20
 _RNG = np.random.default_rng(51_966)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -248,17 +248,36 @@ def _places(column: pa.Array, bits: int) -> np.ndarray:
     return (values >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _hit(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which places of a packed bit table are set."""
+    return (table[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1).view(bool)
+
+
 def bit_table(hashes: DataFrame, bits: int):
     """A broadcast table of fixed size, packed: which buckets the hashes of a one-column table fall into. It only thins what an exact join follows."""
+    size = 1 << min(bits - 3, BLOCK_BITS - 3)
 
     @shared.trimming
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
+        there = np.zeros(1 << bits, bool)
         for batch in batches:
-            counts[_places(batch.column(0), bits)] = 1
-        yield from shared.arrow_rows(_blocks(counts), _BLOCK_KINDS)
+            there[_places(batch.column(0), bits)] = True
+        table = np.packbits(there).reshape(-1, size)
+        yield from shared.arrow_rows(((int(k), table[k].tobytes()) for k in np.flatnonzero(table.any(axis=1))), _BLOCK_KINDS)
+
+    @shared.trimming
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, part in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                found[block] = found.get(block, 0) | np.frombuffer(part, np.uint8)
+        yield from shared.arrow_rows(((k, v.tobytes()) for k, v in found.items()), _BLOCK_KINDS)
 
-    return hashes.sparkSession.sparkContext.broadcast(np.packbits(_counted(hashes.mapInArrow(mark, "block int, counts binary"), bits) > 0))
+    kind = "block int, counts binary"
+    out = np.zeros((1 << bits - 3) // size * size, np.uint8)
+    for row in hashes.mapInArrow(mark, kind).repartition(F.col("block")).mapInArrow(merge, kind).collect():
+        out[row.block * size : (row.block + 1) * size] = np.frombuffer(bytes(row.counts), np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(out)
 
 
 def live_tokens(texts: DataFrame, live: DataFrame, width: int, bits: int = TABLE_BITS) -> DataFrame:
@@ -267,7 +286,7 @@ def live_tokens(texts: DataFrame, live: DataFrame, width: int, bits: int = TABLE
 
     @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.unpackbits(some.value).view(bool)
+        there = some.value
         seen: set[bytes] = set()
 
         def rows(piece: pa.RecordBatch):
@@ -275,7 +294,7 @@ def live_tokens(texts: DataFrame, live: DataFrame, width: int, bits: int = TABLE
                 if len(found):
                     tokens = np.unique(found)
                     key = _set_key(tokens)
-                    if key not in seen and there[int.from_bytes(key[:8], "little") >> (64 - bits)]:
+                    if key not in seen and _hit(there, np.array([int.from_bytes(key[:8], "little") >> (64 - bits)]))[0]:
                         if len(seen) > 100_000:
                             seen.clear()
                         seen.add(key)
@@ -294,31 +313,28 @@ def _tokens_of(tokens: DataFrame, wanted: DataFrame, bits: int = TABLE_BITS) ->
 
     @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.unpackbits(some.value).view(bool)
         for batch in batches:
-            yield batch.filter(pa.array(there[_places(batch.column(0), bits)]))
+            yield batch.filter(pa.array(_hit(some.value, _places(batch.column(0), bits))))
 
     return tokens.mapInArrow(run, "set_key binary, tokens binary").join(wanted.hint("merge"), "set_key", "left_semi").dropDuplicates(["set_key"])
 
 
-def _prefix_rows(rows: DataFrame, met: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
-    """(token, pos, gid, n) of the prefix tokens that may be in `met`, each once."""
+def _prefix_rows(rows: DataFrame, met: DataFrame, bits: int = TOKEN_BITS) -> DataFrame:
+    """(token, pos, gid, n) of the prefix tokens that may be in `met`, each at most once a task."""
     some = bit_table(met, bits)
 
     @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.unpackbits(some.value).view(bool)
         for batch in batches:
             for piece in byte_models.slices(batch):
                 lists = piece.column(2)
                 tokens, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
-                keep = there[_places(tokens, bits)]
+                keep = _hit(some.value, _places(tokens, bits))
                 at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 gid, n = (np.repeat(piece.column(i).to_numpy(), sizes)[keep] for i in range(2))
                 yield pa.RecordBatch.from_arrays([tokens.filter(pa.array(keep)), pa.array(at[keep].astype(np.int32)), pa.array(gid), pa.array(n.astype(np.int32))], ["token", "pos", "gid", "n"])
 
-    spread = rows.where("prefix is not null").select("gid", "n_shingles", "prefix").mapInArrow(run, "token long, pos int, gid long, n int")
-    return spread.dropDuplicates(["token", "gid"])
+    return rows.where("prefix is not null").select("gid", "n_shingles", "prefix").mapInArrow(run, "token long, pos int, gid long, n int")
 
 
 def _with_both(pairs: DataFrame, facts: DataFrame, columns: list[str]) -> DataFrame:
@@ -375,7 +391,9 @@ def _open(sets: DataFrame, met: DataFrame, labels: DataFrame) -> tuple[DataFrame
     named = shared.staged(named, "named")
     group_label = named.groupBy("gid").agg(F.min("label").alias("one"), F.max("label").alias("two"))
     group_label = group_label.select("gid", F.when(F.col("one") == F.col("two"), F.col("one")).alias("label"))
-    rows = shared.staged(met.select("token", "pos", "gid", "n").join(group_label.hint("merge"), "gid").select("token", "pos", "gid", "n", "label"), "labelled")
+    # tasks that met the same group gave its tokens each: they stand together once dealt by group
+    rows = met.select("token", "pos", "gid", "n").join(group_label.hint("merge"), "gid").dropDuplicates(["gid", "token"])
+    rows = shared.staged(rows.select("token", "pos", "gid", "n", "label"), "labelled")
     several = F.max(F.col("label").isNull()) | (F.min("label") != F.max("label"))
     tokens = shared.staged(rows.groupBy("token").agg(several.alias("open"), F.count("*").alias("c")).where("open").select("token", "c"), "open_tokens")
     found = shared.staged(rows.join(tokens.hint("merge"), "token"), "open")

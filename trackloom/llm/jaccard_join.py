@@ -386,8 +386,8 @@ def size_class(n: Column, percent: int, shift: int = 0) -> Column:
 
 
 def _open(sets: DataFrame, met: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sets with their labels, and the rows of tokens whose groups have more than one, with the count of such rows; a group of several labels has a null one."""
-    named = sets.select("gid", "set_key", F.col("n_shingles").alias("n")).join(labels.withColumnRenamed("node", "set_key").hint("merge"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    """The sets with their labels, and the rows of tokens whose groups have more than one, with the count of such rows; a group of several labels has a null one. Labels stand there as 64-bit hashes, as groups do."""
+    named = sets.select("gid", "set_key", F.col("n_shingles").alias("n")).join(labels.withColumnRenamed("node", "set_key").hint("merge"), "set_key", "left").withColumn("label", F.xxhash64(F.coalesce("label", "set_key")))
     named = shared.staged(named, "named")
     group_label = named.groupBy("gid").agg(F.min("label").alias("one"), F.max("label").alias("two"))
     group_label = group_label.select("gid", F.when(F.col("one") == F.col("two"), F.col("one")).alias("label"))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from trackloom.functions import kernels
 from trackloom.functions.scalars import quantised
+from trackloom.operators import filters, turns
 from trackloom.schema import FRAME, KEY, rows, whole
 
 CHUNK_SECONDS, OVERLAP_SECONDS = 300.0, 2.0
@@ -28,29 +29,27 @@ def _per_track(track: DataFrame, column: str, schema: str, make) -> DataFrame:
 
 
 def filtered(track: DataFrame, kind: str, fps: float, pos: str = "pos") -> DataFrame:
-    """(video_id, frame, value): lowpass, gaussian or savgol."""
-    kernel = {"lowpass": lambda x: kernels.lowpass(kernels.fill_bad(x), fps), "gaussian": lambda x: kernels.gaussian(x, max(0.5, 0.12 * fps)), "savgol": lambda x: kernels.smooth(x, fps, 0.45)}[kind]
-    return _per_track(track, pos, f"{FRAME} long, value double", lambda f, x: {FRAME: f, "value": kernel(x)})
+    """(video_id, frame, value): lowpass, gaussian, or savgol with its window shrunk to the track."""
+    if kind == "lowpass":
+        return filters.lowpass(track, fps, pos)
+    if kind == "gaussian":
+        return filters.gaussian(track, max(0.5, 0.12 * fps), pos)
+    return filters.polynomial(track, filters.polynomial_window(0.45, fps), pos)
 
 
 def turning_points(track: DataFrame, fps: float, prominence: float = 0.035, seconds: float = 0.15, pos: str = "pos") -> DataFrame:
-    return _per_track(track, pos, f"{FRAME} long", lambda f, x: {FRAME: f[kernels.turning_points(x, fps, prominence, seconds)]})
+    """Peaks, troughs and both ends."""
+    ends = track.groupBy(KEY).agg(F.array(F.min(FRAME), F.max(FRAME)).alias("e")).select(KEY, F.explode("e").alias(FRAME))
+    return turns.turns(track, fps, prominence, seconds, pos, single=False).union(ends).distinct()
 
 
 def turning_spans(track: DataFrame, fps: float, prominence: float = 0.035, seconds: float = 0.15, pos: str = "pos") -> DataFrame:
     """Adds span: the number of the stretch between successive peaks and troughs, prominent and far enough apart, that a frame lies in."""
+    return turns.numbered(track, turns.turns(track, fps, prominence, seconds, pos))
 
-    def starts(f, x):
-        gap, x = max(1, round(seconds * fps)), x.astype(np.float32)
-        return {FRAME: f[np.union1d(kernels.find_peaks(x, gap, prominence), kernels.find_peaks(-x, gap, prominence)).astype(np.int64)]}
 
-    turns = _per_track(track, pos, f"{FRAME} long", starts)
-    marked = track.join(turns.withColumn("_t", F.lit(1)), [KEY, FRAME], "left")
-    return marked.withColumn("span", F.sum(F.coalesce("_t", F.lit(0))).over(rows(None, 0))).drop("_t")
-
-
-def troughs(track: DataFrame, fps: float, seconds: float = 0.15, pos: str = "pos") -> DataFrame:
-    return _per_track(track, pos, f"{FRAME} long", lambda f, x: {FRAME: f[kernels.find_peaks(-x.astype(np.float32), max(1, round(seconds * fps)))]})
+def troughs(track: DataFrame, fps: float, seconds: float = 0.15, pos: str = "pos", prominence: float | None = None) -> DataFrame:
+    return turns.turns(track, fps, prominence, seconds, pos, signs=(-1,))
 
 
 def keyframes(track: DataFrame, fps: float, pos: str = "pos") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,17 +16,24 @@ RESIDUAL_HALF_RANGE, GAP_CEILING, SMOOTH = 0.085, 0.25, 9
 LEAST_FIT, CROP, WEIGHT_FLOOR = 32, 256, 0.01
 
 
-def moving_average(x: Column, window: int = SMOOTH) -> Column:
-    """Centred, divided by the true count; the window is no longer than the track, and of an even one the earlier half is the longer."""
+def moving_average(x: Column, window: int = SMOOTH, short: bool = False) -> Column:
+    """Centred, divided by the true count, of an even window the earlier half is the longer. The window is no longer than the track: `short` is for tracks of fewer frames than it, see `by_length`."""
     if window < 2:
         return x.cast("double")
-    wide = F.avg(x).over(rows(-(window // 2), (window - 1) // 2))
+    if not short:
+        return F.avg(x).over(rows(-(window // 2), (window - 1) // 2))
     # a track shorter than the window stands whole in this bounded frame
     n, i, near = F.count("*").over(whole()), F.row_number().over(in_order()) - 1, F.collect_list(x).over(rows(1 - window, window - 1))
     low = F.greatest(i - F.floor(n / 2), F.lit(0))
     size = F.least(i + F.floor((n - 1) / 2), n - 1) - low + 1
-    part = F.slice(near, (low + 1).cast("int"), size.cast("int"))
-    return F.when(n >= window, wide).otherwise(F.aggregate(part, F.lit(0.0), lambda a, v: a + v) / size)
+    return F.aggregate(F.slice(near, (low + 1).cast("int"), size.cast("int")), F.lit(0.0), lambda a, v: a + v) / size
+
+
+def by_length(track: DataFrame, window: int, make: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """make(rows, short) for the tracks that are shorter than the window and for the others."""
+    sized = track.withColumn("_n", F.count("*").over(whole()))
+    long, short = (make(sized.where(c).drop("_n"), s) for c, s in ((F.col("_n") >= window, False), (F.col("_n") < window, True)))
+    return long.unionByName(short)
 
 
 def gradient(x: Column) -> Column:
@@ -127,29 +136,25 @@ def blended_distributions(windows: DataFrame, probs: str = "p", act: str = "act"
     return found.withColumn("sum", all_).select(KEY, FRAME, F.transform("p", lambda x: x / F.col("sum")).alias("p"), "act")
 
 
-def stroke_spans(track: DataFrame, pos: str = "pos") -> DataFrame:
-    """Adds span: the number of the stretch between successive strict local extrema that a frame lies in."""
-    b, a = F.lag(pos).over(in_order()), F.lead(pos).over(in_order())
-    turn = ((F.col(pos) > b) & (F.col(pos) > a)) | ((F.col(pos) < b) & (F.col(pos) < a))
-    return track.withColumn("_t", F.coalesce(turn, F.lit(False)).cast("long")).withColumn("span", F.sum("_t").over(rows(None, 0))).drop("_t")
-
-
-def speed_residual(track: DataFrame, pos: str = "pos", spread: str = "spread") -> DataFrame:
+def speed_residual(track: DataFrame, pos: str = "pos", spread: str = "spread", short: bool = False) -> DataFrame:
     """Spread minus its fit on speed; the mean where there are too few samples or no spread of speed."""
-    moved = track.withColumn("speed", F.abs(gradient(F.col(pos)))).withColumn("speed", moving_average(F.col("speed")))
+    moved = track.withColumn("speed", F.abs(gradient(F.col(pos)))).withColumn("speed", moving_average(F.col("speed"), short=short))
     fits = (F.count("*").over(whole()) >= LEAST_FIT) & (F.stddev_pop("speed").over(whole()) > 1e-9)
     line = F.regr_slope(F.col(spread), F.col("speed")).over(whole()) * F.col("speed") + F.regr_intercept(F.col(spread), F.col("speed")).over(whole())
     return moved.withColumn("residual", F.col(spread) - F.when(fits, line).otherwise(F.avg(spread).over(whole())))
 
 
-def confidence(track: DataFrame, pos: str = "pos", spread: str = "spread", gap: str = "gap", spans=stroke_spans) -> DataFrame:
-    """c1 from the spread's residual, c2 from the mode gap, c3 the lower of their medians in each stroke; spans(track, pos) numbers the strokes."""
+def confidence(track: DataFrame, spans: Callable[[DataFrame], DataFrame], pos: str = "pos", spread: str = "spread", gap: str = "gap") -> DataFrame:
+    """c1 from the spread's residual, c2 from the mode gap, c3 the lower of their medians in each stroke; spans(track) adds the strokes' numbers as span."""
     clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    both = speed_residual(track, pos, spread)
-    both = both.withColumn("c1", clip(0.5 - moving_average(F.col("residual")) / (2 * RESIDUAL_HALF_RANGE))).withColumn("c2", clip(1 - moving_average(F.col(gap)) / GAP_CEILING))
+
+    def signals(part: DataFrame, short: bool) -> DataFrame:
+        both = speed_residual(part, pos, spread, short)
+        return both.withColumn("c1", clip(0.5 - moving_average(F.col("residual"), short=short) / (2 * RESIDUAL_HALF_RANGE))).withColumn("c2", clip(1 - moving_average(F.col(gap), short=short) / GAP_CEILING))
+
     stroke = Window.partitionBy(KEY, "span")
     c3 = F.least(F.percentile("c1", F.lit(0.5)).over(stroke), F.percentile("c2", F.lit(0.5)).over(stroke))
-    return spans(both, pos).withColumn("c3", c3)
+    return by_length(spans(track), SMOOTH, signals).withColumn("c3", c3)
 
 
 def stretched(track: DataFrame, segment: str, pos: str = "pos", gain: float = 4.0, linear: bool = False) -> Column:

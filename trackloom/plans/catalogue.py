@@ -8,10 +8,11 @@ from pyspark.sql.window import Window
 
 from trackloom.functions import distribution as D
 from trackloom.functions import scalars as X
+from trackloom.operators import cycles as Y
 from trackloom.operators import per_track as K
 from trackloom.operators import relational as R
 from trackloom.operators import sequences as S
-from trackloom.schema import FRAME, KEY, frame_scores, table, tracks
+from trackloom.schema import FRAME, KEY, frame_scores, in_order, table, tracks
 from trackloom.sources import scripts
 
 FPS = 30.0
@@ -83,7 +84,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TRACK + f"SELECT video_id, frame, round(avg(pos) OVER (PARTITION BY video_id ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 5) AS value FROM track")
 def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks(spark, sf_dir).select(KEY, FRAME, _r(S.moving_average(F.col("pos"))).alias("value"))
+    return S.by_length(tracks(spark, sf_dir), S.SMOOTH, lambda t, short: t.select(KEY, FRAME, _r(S.moving_average(F.col("pos"), short=short)).alias("value")))
 
 
 GRAD = f"CASE WHEN lag(pos) OVER {W} IS NULL THEN lead(pos) OVER {W} - pos WHEN lead(pos) OVER {W} IS NULL THEN pos - lag(pos) OVER {W} ELSE (lead(pos) OVER {W} - lag(pos) OVER {W}) / 2 END"
@@ -147,13 +148,34 @@ def blend_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.blended(windows, "v").select(KEY, FRAME, _r(F.col("v")).alias("v"))
 
 
-SPANS = f", b AS (SELECT *, lag(pos) OVER {W} AS b, lead(pos) OVER {W} AS a FROM track), sp AS (SELECT *, sum(CASE WHEN (pos > b AND pos > a) OR (pos < b AND pos < a) THEN 1 ELSE 0 END) OVER {W} AS span FROM b) "
-
-
-@query(TRACK + SPANS + "SELECT video_id, CAST(span AS BIGINT) AS span, min(frame) AS start, max(frame) + 1 AS stop, round(median(pos), 5) AS mid FROM sp GROUP BY 1, 2")
+# turning points: maxima of both signs with plateaus, thinned by height in a recursion over their order, then by prominence
+TURNS = """, sd AS (SELECT video_id, 1 AS sign, frame, pos::FLOAT::DOUBLE AS x FROM track UNION ALL SELECT video_id, -1, frame, -(pos::FLOAT::DOUBLE) FROM track),
+ne AS (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY video_id, sign ORDER BY frame) THEN 0 ELSE 1 END AS new FROM sd),
+pl AS (SELECT *, sum(new) OVER (PARTITION BY video_id, sign ORDER BY frame) AS run FROM ne),
+ru AS (SELECT video_id, sign, run, min(frame) AS lo, max(frame) AS hi, any_value(x) AS x FROM pl GROUP BY 1, 2, 3),
+nb AS (SELECT *, lag(x) OVER (PARTITION BY video_id, sign ORDER BY run) AS b, lead(x) OVER (PARTITION BY video_id, sign ORDER BY run) AS a FROM ru),
+mx AS (SELECT video_id, sign, (lo + hi) // 2 AS frame, x, row_number() OVER (PARTITION BY video_id, sign ORDER BY x DESC, lo DESC) AS k FROM nb WHERE x > b AND x > a),
+th AS (SELECT video_id, sign, 0::BIGINT AS k, []::BIGINT[] AS kept FROM mx GROUP BY 1, 2 UNION ALL
+  SELECT th.video_id, th.sign, mx.k, CASE WHEN len(list_filter(th.kept, lambda f: abs(f - mx.frame) < {distance})) = 0 THEN list_append(th.kept, mx.frame) ELSE th.kept END
+  FROM th JOIN mx ON th.video_id = mx.video_id AND th.sign = mx.sign AND mx.k = th.k + 1),
+ke AS (SELECT video_id, sign, unnest(kept) AS frame FROM (SELECT *, max(k) OVER (PARTITION BY video_id, sign) AS top FROM th) WHERE k = top),
+kx AS (SELECT ke.*, mx.x FROM ke JOIN mx USING (video_id, sign, frame)),
+hi AS (SELECT k.video_id, k.sign, k.frame, k.x, coalesce(max(b.frame) FILTER (b.frame < k.frame AND b.x > k.x), -1) AS l, coalesce(min(b.frame) FILTER (b.frame > k.frame AND b.x > k.x), 1000000000) AS r
+  FROM kx k JOIN sd b USING (video_id, sign) GROUP BY ALL),
+ba AS (SELECT h.video_id, h.sign, h.frame, h.x, min(b.x) FILTER (b.frame > h.l AND b.frame <= h.frame) AS ml, min(b.x) FILTER (b.frame >= h.frame AND b.frame < h.r) AS mr FROM hi h JOIN sd b USING (video_id, sign) GROUP BY ALL),
+turn AS (SELECT DISTINCT video_id, frame FROM ba WHERE {where}) """
+RECURSIVE = TRACK.replace("WITH ev", "WITH RECURSIVE ev")
+PROMINENT = TURNS.format(distance=4, where="x - greatest(ml, mr) >= 0.035::DOUBLE")
+SPANS = PROMINENT + ", sp AS (SELECT c.*, count(t.frame) OVER (PARTITION BY c.video_id ORDER BY c.frame) AS span FROM {source} c LEFT JOIN turn t ON t.video_id = c.video_id AND t.frame = c.frame) "
+
+
+def _spans(track: DataFrame) -> DataFrame:
+    return K.turning_spans(track, FPS)
+
+
+@query(RECURSIVE + SPANS.format(source="track") + "SELECT video_id, CAST(span AS BIGINT) AS span, min(frame) AS start, max(frame) + 1 AS stop, round(median(pos), 5) AS mid FROM sp GROUP BY 1, 2")
 def stroke_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.stroke_spans(tracks(spark, sf_dir))
-    return found.groupBy(KEY, "span").agg(F.min(FRAME).alias("start"), (F.max(FRAME) + 1).alias("stop"), _r(F.percentile("pos", F.lit(0.5))).alias("mid"))
+    return _spans(tracks(spark, sf_dir)).groupBy(KEY, "span").agg(F.min(FRAME).alias("start"), (F.max(FRAME) + 1).alias("stop"), _r(F.percentile("pos", F.lit(0.5))).alias("mid"))
 
 
 CONF = TRACK + f""", g AS (SELECT *, pos * pos AS spread, abs(pos - 0.5) / 4 AS gap, abs({GRAD}) AS raw FROM track),
@@ -164,16 +186,14 @@ r AS (SELECT *, spread - (regr_slope(spread, speed) OVER v * speed + regr_interc
 @query(CONF + "SELECT video_id, frame, round(residual, 5) AS residual FROM r")
 def speed_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tracks(spark, sf_dir).withColumn("spread", F.col("pos") * F.col("pos"))
-    return S.speed_residual(t).select(KEY, FRAME, _r(F.col("residual")).alias("residual"))
+    return S.by_length(t, S.SMOOTH, lambda rows, short: S.speed_residual(rows, short=short).select(KEY, FRAME, _r(F.col("residual")).alias("residual")))
 
 
-@query(CONF + """, c AS (SELECT *, least(greatest(0.5 - avg(residual) OVER m / 0.17, 0), 1) AS c1, least(greatest(1 - avg(gap) OVER m / 0.25, 0), 1) AS c2 FROM r WINDOW m AS (PARTITION BY video_id ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
-b AS (SELECT *, lag(pos) OVER (PARTITION BY video_id ORDER BY frame) AS b, lead(pos) OVER (PARTITION BY video_id ORDER BY frame) AS a FROM c),
-sp AS (SELECT *, sum(CASE WHEN (pos > b AND pos > a) OR (pos < b AND pos < a) THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY frame) AS span FROM b)
-SELECT video_id, frame, round(c1, 6) AS c1, round(c2, 6) AS c2, round(least(median(c1) OVER (PARTITION BY video_id, span), median(c2) OVER (PARTITION BY video_id, span)), 6) AS c3 FROM sp""")
+@query(CONF.replace("WITH ev", "WITH RECURSIVE ev") + """, c AS (SELECT *, least(greatest(0.5 - avg(residual) OVER m / 0.17, 0), 1) AS c1, least(greatest(1 - avg(gap) OVER m / 0.25, 0), 1) AS c2 FROM r WINDOW m AS (PARTITION BY video_id ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)) """
+ + SPANS.format(source="c") + """SELECT video_id, frame, round(c1, 6) AS c1, round(c2, 6) AS c2, round(least(median(c1) OVER (PARTITION BY video_id, span), median(c2) OVER (PARTITION BY video_id, span)), 6) AS c3 FROM sp""")
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tracks(spark, sf_dir).withColumns({"spread": F.col("pos") * F.col("pos"), "gap": F.abs(F.col("pos") - 0.5) / 4})
-    return S.confidence(t).select(KEY, FRAME, *(_r(F.col(c), 6).alias(c) for c in ("c1", "c2", "c3")))
+    return S.confidence(t, _spans).select(KEY, FRAME, *(_r(F.col(c), 6).alias(c) for c in ("c1", "c2", "c3")))
 
 
 @query(TRACK + "SELECT video_id, frame, round(0.5 * (tanh(4 * (pos - avg(pos) OVER v) / CASE WHEN stddev_pop(pos) OVER v > 1e-6 THEN stddev_pop(pos) OVER v ELSE greatest((max(pos) OVER v - min(pos) OVER v) / 6, 1e-6) END) + 1), 5) AS value FROM track WINDOW v AS (PARTITION BY video_id, frame // 50)")
@@ -268,9 +288,10 @@ def aligned_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.aligned_axes(t, t.where((F.col(KEY) != "click") | (F.col(FRAME) != 5)))
 
 
-@query(TRACK + SPANS + "SELECT video_id, frame, pos FROM sp WHERE (pos > b AND pos > a) OR (pos < b AND pos < a) OR b IS NULL OR a IS NULL")
+@query(RECURSIVE + PROMINENT + "SELECT video_id, frame, pos FROM track k WHERE frame = 0 OR frame = (SELECT max(frame) FROM track t WHERE t.video_id = k.video_id) OR EXISTS (FROM turn t WHERE t.video_id = k.video_id AND t.frame = k.frame)")
 def kept_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = S.stroke_spans(tracks(spark, sf_dir))
+    """The frames at which strokes turn, and both ends."""
+    t = _spans(tracks(spark, sf_dir))
     ends = t.groupBy(KEY).agg(F.max(FRAME).alias(FRAME))
     return t.join(t.groupBy(KEY, "span").agg(F.min(FRAME).alias(FRAME)).select(KEY, FRAME).union(ends).distinct(), [KEY, FRAME], "left_semi").select(KEY, FRAME, "pos")
 
@@ -338,6 +359,28 @@ def batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # order-bound kernels: checked in tests against plain versions
 
 
+# cycles between the strict minima under 0.2, their carried value in a recursion over the cycles
+CYCLES = RECURSIVE + """, nb AS (SELECT *, lag(pos) OVER w AS b, lead(pos) OVER w AS a FROM track WINDOW w AS (PARTITION BY video_id ORDER BY frame)),
+tr AS (SELECT video_id, frame AS s, lead(frame) OVER (PARTITION BY video_id ORDER BY frame) AS e FROM nb WHERE pos < b AND pos < a AND pos < 0.2),
+ow AS (SELECT tr.video_id, s, e, any_value(x.pos) FILTER (frame = s) AS xs, any_value(x.pos) FILTER (frame = e) AS xe, min(x.pos) FILTER (frame > s) AS lo, max(x.pos) FILTER (frame > s) AS hi, max(x.pos) - min(x.pos) AS reach
+  FROM tr JOIN track x ON x.video_id = tr.video_id AND x.frame BETWEEN s AND e WHERE e - s BETWEEN 2 AND 60 GROUP BY 1, 2, 3),
+cy AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY s) AS k FROM ow WHERE reach >= 0.3),
+st AS (SELECT video_id, 0::BIGINT AS k, -1::BIGINT AS s, -1::BIGINT AS e, 0::DOUBLE AS first, 0::DOUBLE AS low, 1::DOUBLE AS high, false AS made, 0::DOUBLE AS carried FROM cy GROUP BY 1 UNION ALL
+  SELECT video_id, k, s, e, first, low, high, high - low > 1e-6, CASE WHEN high - low > 1e-6 THEN (xe - low) / (high - low) ELSE xe END FROM (
+    SELECT cy.video_id, cy.k, cy.s, cy.e, cy.xe, CASE WHEN st.e = cy.s THEN st.carried ELSE cy.xs END AS first, least(lo, CASE WHEN st.e = cy.s THEN st.carried ELSE cy.xs END) AS low, greatest(hi, CASE WHEN st.e = cy.s THEN st.carried ELSE cy.xs END) AS high
+    FROM st JOIN cy ON cy.video_id = st.video_id AND cy.k = st.k + 1))
+SELECT t.video_id, t.frame, round(CASE WHEN n.made THEN (n.first - n.low) / (n.high - n.low) WHEN o.made THEN (t.pos - o.low) / (o.high - o.low) ELSE t.pos END, 6) AS value, coalesce(n.made, false) OR coalesce(o.made, false) AS inside
+FROM track t LEFT JOIN st o ON o.video_id = t.video_id AND o.k > 0 AND t.frame > o.s AND t.frame <= o.e LEFT JOIN st n ON n.video_id = t.video_id AND n.k > 0 AND n.s = t.frame"""
+
+
+@query(CYCLES)
+def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles between the strict minima under 0.2."""
+    t = tracks(spark, sf_dir).select(KEY, FRAME, "pos")
+    near = t.withColumns({"b": F.lag("pos").over(in_order()), "a": F.lead("pos").over(in_order())})
+    return Y.normalised(t, near.where("pos < b and pos < a and pos < 0.2"), FPS).withColumn("value", _r(F.col("value"), 6))
+
+
 @query()
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.keyframes(tracks(spark, sf_dir), FPS)
@@ -369,9 +412,11 @@ def postprocess_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.postprocessed(tracks(spark, sf_dir), FPS, stats=True)
 
 
-@query()
+@query(TRACK + """, w AS (SELECT unnest(range(-14, 15)) AS k), g AS (SELECT k, exp(-0.5::DOUBLE * (k / 3.6::DOUBLE) * (k / 3.6::DOUBLE)) AS w FROM w), n AS (SELECT video_id, max(frame) AS top FROM track GROUP BY 1),
+s AS (SELECT t.video_id, t.frame, greatest(0, least(n.top, t.frame + g.k)) AS at, g.w / (SELECT sum(w) FROM g) AS w FROM track t JOIN n USING (video_id), g)
+SELECT s.video_id, s.frame, round(sum(s.w * t.pos), 6) AS value FROM s JOIN track t ON t.video_id = s.video_id AND t.frame = s.at GROUP BY 1, 2""")
 def gaussian_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.filtered(tracks(spark, sf_dir), "gaussian", FPS)
+    return K.filtered(tracks(spark, sf_dir), "gaussian", FPS).withColumn("value", _r(F.col("value"), 6))
 
 
 @query()
@@ -385,45 +430,48 @@ def postprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.postprocessed(tracks(spark, sf_dir), FPS)
 
 
-@query()
+# the filter sample by sample, forwards and backwards over the extended track
+LOWPASS = RECURSIVE + """, co AS (SELECT tan(pi() * 8 / 30) AS k), c2 AS (SELECT k * k / (1 + sqrt(2) * k + k * k) AS b0, 2 * (k * k - 1) / (1 + sqrt(2) * k + k * k) AS a1, (1 - sqrt(2) * k + k * k) / (1 + sqrt(2) * k + k * k) AS a2 FROM co),
+c AS (SELECT *, 2 * b0 AS b1, b0 AS b2, b0 - a2 AS z2, 2 * b0 - a1 + b0 - a2 AS z1 FROM c2),
+e AS (SELECT video_id, count(*) AS n, max_by(pos, frame) AS x1, min_by(pos, frame) AS x0 FROM track GROUP BY 1),
+wi AS (SELECT video_id, frame + 9 AS i, pos AS u FROM track UNION ALL SELECT video_id, 9 - frame, 2 * x0 - pos FROM track JOIN e USING (video_id) WHERE frame BETWEEN 1 AND 9
+  UNION ALL SELECT video_id, 2 * n - 2 - frame + 9, 2 * x1 - pos FROM track JOIN e USING (video_id) WHERE frame BETWEEN n - 10 AND n - 2),
+fw AS (SELECT wi.video_id, 0::BIGINT AS i, b0 * u + z1 * u AS y, b1 * u - a1 * (b0 * u + z1 * u) + z2 * u AS s1, b2 * u - a2 * (b0 * u + z1 * u) AS s2 FROM wi, c WHERE i = 0
+  UNION ALL SELECT fw.video_id, wi.i, b0 * u + s1, b1 * u - a1 * (b0 * u + s1) + s2, b2 * u - a2 * (b0 * u + s1) FROM fw JOIN wi ON wi.video_id = fw.video_id AND wi.i = fw.i + 1, c),
+rv AS (SELECT fw.video_id, n + 17 - i AS i, y AS u FROM fw JOIN e USING (video_id)),
+bw AS (SELECT rv.video_id, 0::BIGINT AS i, b0 * u + z1 * u AS y, b1 * u - a1 * (b0 * u + z1 * u) + z2 * u AS s1, b2 * u - a2 * (b0 * u + z1 * u) AS s2 FROM rv, c WHERE i = 0
+  UNION ALL SELECT bw.video_id, rv.i, b0 * u + s1, b1 * u - a1 * (b0 * u + s1) + s2, b2 * u - a2 * (b0 * u + s1) FROM bw JOIN rv ON rv.video_id = bw.video_id AND rv.i = bw.i + 1, c)
+SELECT bw.video_id, n + 8 - i AS frame, round(y, 6) AS value FROM bw JOIN e USING (video_id) WHERE n + 8 - i BETWEEN 0 AND n - 1"""
+
+
+@query(LOWPASS)
 def lowpass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.filtered(tracks(spark, sf_dir), "lowpass", FPS)
+    return K.filtered(tracks(spark, sf_dir), "lowpass", FPS).withColumn("value", _r(F.col("value"), 6))
 
 
-@query()
+@query(TRACK + """, n AS (SELECT video_id, count(*) AS n, max(frame) - 14 AS last FROM track GROUP BY 1),
+s AS (SELECT t.video_id, t.frame, greatest(0, least(n.last, t.frame - 7)) AS start FROM track t JOIN n USING (video_id)),
+p AS (SELECT s.video_id, s.frame, s.frame - s.start - 7 AS o, t.frame - s.start - 7 AS k, t.pos AS x FROM s JOIN track t ON t.video_id = s.video_id AND t.frame BETWEEN s.start AND s.start + 14)
+SELECT video_id, frame, round(avg(x) + o * sum(k * x) / sum(k * k) + (o * o - 56.0::DOUBLE / 3) * sum((k * k - 56.0::DOUBLE / 3) * x) / sum((k * k - 56.0::DOUBLE / 3) * (k * k - 56.0::DOUBLE / 3)), 6) AS value FROM p GROUP BY video_id, frame, o""")
 def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.filtered(tracks(spark, sf_dir), "savgol", FPS)
+    """The quadratic of the 15 frames around each, as sums of orthogonal polynomials in the SQL."""
+    return K.filtered(tracks(spark, sf_dir), "savgol", FPS).withColumn("value", _r(F.col("value"), 6))
 
 
-@query()
+@query(RECURSIVE + PROMINENT.replace("::FLOAT", "") + "SELECT video_id, frame FROM turn UNION SELECT video_id, min(frame) FROM track GROUP BY 1 UNION SELECT video_id, max(frame) FROM track GROUP BY 1")
 def turning_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.turning_points(tracks(spark, sf_dir), FPS)
 
 
-@query()
-def turning_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = K.turning_spans(tracks(spark, sf_dir), FPS)
-    return found.groupBy(KEY, "span").agg(F.min(FRAME).alias("start"), (F.max(FRAME) + 1).alias("stop"), _r(F.percentile("pos", F.lit(0.5))).alias("mid"))
-
-
-@query()
-def turning_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tracks(spark, sf_dir).withColumns({"spread": F.col("pos") * F.col("pos"), "gap": F.abs(F.col("pos") - 0.5) / 4})
-    return S.confidence(t, spans=lambda track, pos: K.turning_spans(track, FPS, pos=pos)).select(KEY, FRAME, *(_r(F.col(c), 6).alias(c) for c in ("c1", "c2", "c3")))
-
-
-@query()
-def turning_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = K.turning_spans(tracks(spark, sf_dir), FPS)
-    ends = t.groupBy(KEY).agg(F.max(FRAME).alias(FRAME))
-    return t.join(t.groupBy(KEY, "span").agg(F.min(FRAME).alias(FRAME)).select(KEY, FRAME).union(ends).distinct(), [KEY, FRAME], "left_semi").select(KEY, FRAME, "pos")
-
-
-@query()
+@query(RECURSIVE + TURNS.format(distance=4, where="sign = -1") + "FROM turn")
 def troughs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.troughs(tracks(spark, sf_dir), FPS)
 
 
+for _new, _old in (("turning_spans", stroke_spans), ("turning_confidence", confidence), ("turning_frames", kept_frames)):
+    QUERIES[_new], ORACLES[_new] = _old, ORACLES[_old.__name__]
+
+
 @query()
 def script_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = K.keyframes(tracks(spark, sf_dir), FPS)

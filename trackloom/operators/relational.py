@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from trackloom.schema import FRAME, KEY
@@ -21,14 +25,21 @@ def not_under(paths: DataFrame, excluded: list[str], path: str = "path") -> Data
     return paths.where(keep)
 
 
-def smallest_cover(requests: DataFrame, clips: DataFrame, identity: str, bucket: int) -> DataFrame:
+def smallest_cover(requests: DataFrame, clips: DataFrame, identity: str) -> DataFrame:
     """For each request [lo, hi) the shortest clip that covers it, of equals the first by path; none, no row.
 
-    Clips are keyed by the buckets they span, so the range condition is met after an equality join.
+    A clip stands in the cells of the first level whose cells (powers of two) are no shorter than it, so in two at
+    most, however long it is. A request looks up the cell of its start on each level that its identity has; the range
+    condition is met after that equality join.
     """
-    spread = clips.withColumn("b", F.explode(F.sequence(F.floor(F.col("clip_lo") / bucket), F.floor((F.col("clip_hi") - 1) / bucket))))
-    asked = requests.withColumn("b", F.floor(F.col("lo") / bucket))
-    met = asked.join(spread, [identity, "b"]).where("clip_lo <= lo and clip_hi >= hi")
+    size = F.col("clip_hi") - F.col("clip_lo")
+    level = F.when(size <= 1, 0).otherwise(F.length(F.bin(size - 1)))
+    levelled = clips.where(size > 0).withColumn("level", level.cast("int"))
+    cells = F.array_distinct(F.array(F.expr("shiftright(clip_lo, level)"), F.expr("shiftright(clip_hi - 1, level)")))
+    held = levelled.withColumn("cell", F.explode(cells))
+    levels = levelled.groupBy(identity).agg(F.collect_set("level").alias("levels"))
+    asked = requests.join(levels, identity).withColumn("level", F.explode("levels")).withColumn("cell", F.expr("shiftright(lo, level)")).drop("levels")
+    met = asked.join(held, [identity, "level", "cell"]).where("clip_lo <= lo and clip_hi >= hi")
     best = F.min(F.struct((F.col("clip_hi") - F.col("clip_lo")).alias("span"), F.col("path"))).alias("best")
     return met.groupBy(*requests.columns).agg(best).select(*requests.columns, F.col("best.path").alias("path"), F.col("best.span").alias("span"))
 
@@ -132,3 +143,31 @@ def pooled_grid(cells: DataFrame, levels: list[int], dims: int, halves: bool = F
 def outcomes(rows: DataFrame, failed: Column) -> DataFrame:
     """(done, failed) of a batch whose rows carry their own status."""
     return rows.agg(F.count_if(~failed).alias("done"), F.count_if(failed).alias("failed"))
+
+
+#: characters of a failure's message that are kept
+MESSAGE = 500
+
+
+def isolated(rows: DataFrame, keys: list[str], make: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """make on each group of rows, as a row (keys, status, error, rows) a group: a group that fails gives its error, not the job's end.
+
+    status is done or failed, error the exception's type and message, rows an array of `schema` (empty where failed), all of
+    it or nothing. Failures of Spark itself (a lost executor, no memory) are no group's and still retry.
+    """
+    names = [f.name for f in StructType.fromDDL(schema)]
+    own = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        try:
+            made, status, error = make(part)[names].to_dict("records"), "done", None
+        except Exception as e:  # whatever a group's own data bring about
+            made, status, error = [], "failed", f"{type(e).__name__}: {e}"[:MESSAGE]
+        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "status": [status], "error": [error], "rows": [made]})
+
+    return rows.groupBy(*keys).applyInPandas(run, f"{own}, status string, error string, rows array<struct<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in StructType.fromDDL(schema))}>>")
+
+
+def parted(groups: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of `isolated`: the rows of the groups that are done, and a dead letter (keys, error) for each other. Stage the groups first, or they run twice."""
+    return groups.where("status = 'done'").select(*keys, F.inline("rows")), groups.where("status = 'failed'").select(*keys, "error")

@@ -272,7 +272,7 @@ SELECT l_orderkey, l_linenumber, id, lo, hi, path, span FROM j WHERE k = 1""")
 def covering_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("id"), F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderkey").alias("clip_lo"), (F.col("o_orderkey") + 1 + F.floor(F.col("o_totalprice") / 2000)).alias("clip_hi"))
     asked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 10).alias("id"), F.col("l_orderkey").alias("lo"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("hi")).distinct()
-    return R.smallest_cover(asked, clips, "id", 128)
+    return R.smallest_cover(asked, clips, "id")
 
 
 @query(TRACK + ", t AS (SELECT a.video_id, a.frame, b.pts, count(b.pts) OVER (PARTITION BY a.video_id) AS got, count(*) OVER (PARTITION BY a.video_id) AS n FROM track a LEFT JOIN (FROM track WHERE video_id <> 'click' OR frame <> 5) b USING (video_id, frame)) SELECT video_id, frame, round(CASE WHEN got = n THEN pts ELSE frame / 30.0::DOUBLE END, 3) AS t FROM t")

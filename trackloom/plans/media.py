@@ -152,7 +152,7 @@ SELECT DISTINCT id, lo, hi FROM r WHERE NOT EXISTS (FROM c WHERE c.id = r.id AND
 def uncovered_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("id"), F.col("l_orderkey").alias("lo"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("hi")).distinct()
     clips = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("id"), F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderkey").alias("clip_lo"), (F.col("o_orderkey") + 3).alias("clip_hi"))
-    return R.uncovered(asked, R.smallest_cover(asked, clips, "id", 128))
+    return R.uncovered(asked, R.smallest_cover(asked, clips, "id"))
 
 
 @query("""WITH o AS (SELECT c_nationkey AS project, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, c_name FROM customer), n AS (SELECT DISTINCT project, CASE WHEN project % 2 = 0 THEN 's1' ELSE 'new' END AS rel_path FROM o)

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trackloom.functions import kernels as k
-from trackloom.sources import scripts
+from trackloom.sources import layout as scripts
 
 TRACK = st.lists(st.integers(0, 20).map(lambda v: v / 20), min_size=1, max_size=60).map(np.array)
 

@@ -57,7 +57,11 @@ def test_listing_keeps_to_prefixes(spark, tmp_path):
     for name in ("a/x/b/one.mp4", "x/two.mp4", "x/two.funscript", "y/three.mp4", "y2/four.mp4"):
         os.makedirs(os.path.dirname(tmp_path / name), exist_ok=True)
         (tmp_path / name).write_bytes(b"1")
+    os.makedirs(tmp_path / "dotted.x1/deep")
+    for name in ("deep/five.mp4", "six.mp4", "six.funscript"):
+        (tmp_path / "dotted.x1" / name).write_bytes(b"1")
     names = lambda df: sorted(r.path.rsplit("/", 1)[1] for r in df.collect())
-    assert names(scripts.list_videos(spark, str(tmp_path), [f"{tmp_path}/y"])) == ["four.mp4", "one.mp4"]
-    assert names(scripts.list_videos(spark, str(tmp_path), [f"{tmp_path}/x"], again=True)) == ["four.mp4", "one.mp4", "three.mp4"]
+    assert names(scripts.list_videos(spark, str(tmp_path / "dotted.x1"))) == ["five.mp4"]
+    assert names(scripts.list_videos(spark, str(tmp_path), [f"{tmp_path}/y", f"{tmp_path}/dotted.x1"])) == ["four.mp4", "one.mp4"]
+    assert names(scripts.list_videos(spark, str(tmp_path), [f"{tmp_path}/x", f"{tmp_path}/dotted.x1/"], again=True)) == ["four.mp4", "one.mp4", "three.mp4"]
     assert names(scripts.list_videos(spark, str(tmp_path / "x/two.mp4"), [str(tmp_path)])) == ["two.mp4"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.schema import FRAME, KEY
+from trackloom.sources.layout import decode_script, encode_script
 
 
 def _listed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,87 +65,6 @@ def read_script_json(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.inline(F.coalesce(parsed["actions"], F.array().cast("array<struct<at:bigint,pos:int>>"))))
 
 
-# The project file's layout. A size takes 1, 2 or 4 bytes by its two top bits; a block starts with its own
-# length (unsigned, its four bytes included); an action is a block of time (float32), position (int16) and two zero bytes.
-ACTION = struct.Struct("<IfhBB")
-SIZES = [(1 << 7, 1, 0x00), (1 << 14, 2, 0x80), (1 << 30, 4, 0xC0)]
-
-
-def size_bytes(n: int) -> bytes:
-    """A size: its high bytes first, but for the last two of four, which stand low byte first."""
-    for limit, width, mark in SIZES:
-        if n < limit:
-            raw = bytearray(n.to_bytes(width, "big"))
-            raw[0] |= mark
-            return bytes(raw[:2] + raw[2:][::-1])
-    raise ValueError(f"size {n} is too large")
-
-
-def read_size(data: bytes, at: int) -> tuple[int, int]:
-    """The size that begins at `at`, and where it ends."""
-    width = {0: 1, 1: 1, 2: 2, 3: 4}[data[at] >> 6]
-    raw = data[at : at + width]
-    if len(raw) < width:
-        raise ValueError("a size overruns its data")
-    value = int.from_bytes(raw[:2] + raw[2:][::-1], "big")
-    return value & ((1 << (8 * width - (0, 1, 2)[width // 2])) - 1), at + width
-
-
-def block(body: bytes) -> bytes:
-    return struct.pack("<I", len(body) + 4) + body
-
-
-def _named(text: str) -> bytes:
-    raw = text.encode()
-    return size_bytes(len(raw)) + raw
-
-
-def encode_script(rows: list[tuple[float, int]], path: str = "", title: str = "") -> bytes:
-    """One script's block: its actions, relative path, title and the enabled flag."""
-    return block(size_bytes(len(rows)) + b"".join(ACTION.pack(ACTION.size, t, p, 0, 0) for t, p in rows) + _named(path) + _named(title) + b"\x01")
-
-
-def decode_script(data: bytes) -> tuple[list[tuple[float, int]], str, str]:
-    """Actions, path and title; a script that ends early or overruns is an error."""
-    if len(data) < 5 or struct.unpack_from("<I", data)[0] > len(data):
-        raise ValueError("script overruns its data")
-    count, at = read_size(data, 4)
-    end = at + count * ACTION.size
-    if end > len(data):
-        raise ValueError("action list overruns its data")
-    rows = [(t, p) for _, t, p, _, _ in ACTION.iter_unpack(data[at:end])]
-    texts = []
-    for _ in range(2):
-        size, at = read_size(data, end)
-        end = at + size
-        if end > len(data):
-            raise ValueError("text overruns its data")
-        texts.append(data[at:end].decode())
-    return rows, texts[0], texts[1]
-
-
-def encode_project(scripts: list[bytes]) -> bytes:
-    """The scripts' list: each is numbered from 1."""
-    return block(size_bytes(len(scripts)) + b"".join(size_bytes(k) + raw for k, raw in enumerate(scripts, 1))) if scripts else b""
-
-
-def decode_project(data: bytes) -> list[bytes]:
-    if not data:
-        return []
-    count, at = read_size(data, 4)
-    out = []
-    for _ in range(count):
-        number, at = read_size(data, at)
-        if not number:
-            raise ValueError("a script's number is 0")
-        end = at + struct.unpack_from("<I", data, at)[0]
-        out.append(data[at:end])
-        at = end
-    if at > struct.unpack_from("<I", data)[0]:
-        raise ValueError("the list overruns its own length")
-    return out
-
-
 def packed_scripts(keyframes: DataFrame) -> DataFrame:
     """(video_id, data): binary scripts; per float32 second the last action stays, negative times go."""
     seconds = (F.col("at") / 1000).cast("float")
@@ -172,7 +91,8 @@ def unpacked_scripts(packed: DataFrame) -> DataFrame:
 
 def list_videos(spark: SparkSession, target: str, excluded: list[str] = (), again: bool = False, pattern: str = "*.mp4") -> DataFrame:
     """(path, modificationTime, length) of the videos below a folder without a script beside them, newest first; excluded folders are prefixes of the whole path. A file that is named itself is always kept."""
-    named = re.search(r"\.[A-Za-z0-9]+$", target) is not None
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    named = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     found = (read if named else read.option("pathGlobFilter", pattern)).load(target).select("path", "modificationTime", "length")
     if named:

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from trackloom.plans import catalogue, media  # noqa: F401
+from trackloom.plans import catalogue, media, stores  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 

@@ -135,3 +135,19 @@ def relative_path(path: Column, base: Column) -> Column:
     rest = F.slice(a, same + 1, F.greatest(F.size(a) - same, F.lit(0)))
     found = F.array_join(F.concat(up, rest), "/")
     return F.when(found == "", ".").otherwise(found)
+
+
+# The families that take interleaved frames, and the token counts of the pooling layouts.
+INTERLEAVING, POOLED = ["vjepa21"], [5, 14, 54]
+
+
+def head_status(frames_per_slot: Column, declared: Column, family: Column, tokens: Column) -> Column:
+    """The first thing that head, data and backbone do not agree on, or ok: a head of one frame a slot takes interleaved frames, as its data must say (null: says nothing) and its family allow; its token count names a pooling layout."""
+    interleaves = frames_per_slot == 1
+    return (
+        F.when(~frames_per_slot.isin(1, 2), "frames_per_slot")
+        .when(F.coalesce(declared != interleaves, F.lit(False)), "interleave_input")
+        .when(interleaves & ~family.isin(*INTERLEAVING), "family")
+        .when(~tokens.isin(*POOLED), "pooling")
+        .otherwise("ok")
+    )

@@ -43,18 +43,20 @@ def script_json(keyframes: DataFrame, axes: DataFrame | None = None, metadata: D
     return made.select(KEY, F.to_json(F.struct(version.alias("version"), *parts)).alias("json"))
 
 
-def script_pair(dense: DataFrame, kept: DataFrame, stats: DataFrame, least: int = 8) -> DataFrame:
+def script_pair(dense: DataFrame, kept: DataFrame, stats: DataFrame, least: int = 8, axes: DataFrame | None = None) -> DataFrame:
     """(video_id, variant, json): the dense document of every track, and the simplified one of those with `least` frames.
 
-    dense has (video_id, frame, at, pos), kept (video_id, frame), stats one row a track; the metadata of each names
-    the other's role and the simplified one carries the errors.
+    dense has (video_id, frame, at, pos), kept (video_id, frame), stats one row a track, axes (video_id, axis, frame, at,
+    pos); the simplified document has the kept frames of the track and of its axes, and the errors in its metadata.
     """
     size = dense.groupBy(KEY).agg(F.count("*").alias("n"))
     long = size.where(F.col("n") >= least).select(KEY)
+    few_frames = kept.join(long, KEY, "left_semi")
+    cut = lambda rows: rows.join(few_frames, [KEY, FRAME], "left_semi")
     named = lambda rows, variant, *more: rows.select(KEY, F.struct(F.lit(variant).alias("variant"), *more).alias("metadata"))
-    raw = script_json(dense, metadata=named(size, "dense", (F.col("n") >= least).alias("has_simplified")))
+    raw = script_json(dense, axes, metadata=named(size, "dense", (F.col("n") >= least).alias("has_simplified")))
     errors = [c for c in stats.columns if c != KEY]
-    few = script_json(dense.join(kept.join(long, KEY, "left_semi"), [KEY, FRAME], "left_semi"), metadata=named(stats, "simplified", *errors))
+    few = script_json(cut(dense), cut(axes) if axes is not None else None, metadata=named(stats, "simplified", *errors))
     return raw.withColumn("variant", F.lit("dense")).unionByName(few.withColumn("variant", F.lit("simplified"))).select(KEY, "variant", "json")
 
 
@@ -129,6 +131,12 @@ def resume_points(store: DataFrame, wanted: DataFrame, slots_per_window: int = 1
     return met.select(KEY, completed.cast("long").alias("completed"), (completed < F.col("expected")).alias("pending"), (F.col("n").isNotNull() & ~F.coalesce(fits, F.lit(False))).alias("restart"))
 
 
+def packet_spans(tokens: DataFrame) -> DataFrame:
+    """(video_id, first_pts, packets) of probed packet times (video_id, token): the earliest, and how many are numbers."""
+    pts = F.col("token").try_cast("double")
+    return tokens.groupBy(KEY).agg(F.min(pts).alias("first_pts"), F.count(pts).alias("packets"))
+
+
 def time_tables(tokens: DataFrame, least: int = 1) -> DataFrame:
     """(video_id, frame, pts) of probed packet times (video_id, token): in order of time; one token that is no number voids a video's table, and so do too few."""
     pts = F.col("token").try_cast("double")

@@ -418,3 +418,36 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty):
             docs = spark.createDataFrame(out.collect(), start.schema)
         last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
         assert {r.doc_id for r in last.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_html_takes_linear_time():
+    import time
+
+    for page in ("<div class=sidebar>" * 2000 + "<h1>Title</h1><p>Some text that is long enough.</p>", "<div class=sidebar><h1>T</h1></div>" * 2000, "<div>" * 5000 + "<p>Some text that is long enough.", "<header>" * 3000 + "<p>x", "<span class=ad>" * 5000 + "<p>Some text that is long enough."):
+        began = time.process_time()
+        main_text(page)
+        html_consensus.text_at(*html_consensus.scan(page), "div>" * 50 + "div")
+        assert time.process_time() - began < 1.0, page[:30]
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ('<div class=wrap><p>Short intro</p><div class=body><p>{0}</p></div></div>', "Short intro\n{0}"),
+        ("<article><h1>T</h1><p>{0} <span class=\"advert\">Buy <span>now</span>!</span>On it goes.</p></article>", "T\n{0} On it goes."),
+        ("<article><p>{0}</p><ins class=\"adsbygoogle\">Cheap things here for you.</ins><p>More of it.</p></article>", "{0}\nMore of it."),
+        ("<article><p>{0}</p><p hidden>Nobody sees this text here.</p><div style='color:red; display: none'><p>Nor that.</p></div></article>", "{0}"),
+        ("<article><p>{0}</p><p data-hidden=\"x\" title=\"hidden\">This is seen by all.</p><p style=\"color: red\">And this.</p></article>", "{0}\nThis is seen by all.\nAnd this."),
+        ("<article><p>{0}</p><p>An <span class=ad>unclosed thing stays.</p></article>", "{0}\nAn unclosed thing stays."),
+        ("<article><p>{0}</p><p>A <span class=\"add-on lead\">word</span> of it.</p></article>", "{0}\nA word of it."),
+    ],
+)
+def test_html_keeps_and_drops(page, wanted):
+    assert main_text(f"<body>{page.format(LONG)}</body>") == wanted.format(LONG.strip())
+
+
+def test_html_leaves_a_path_that_has_but_a_teaser():
+    pages = "<body><div class=a><p>Just a teaser here.</p></div><div class=b><h1>Title</h1><p>" + LONG + "</p></div></body>"
+    root, blocks = html_consensus.scan(pages)
+    assert html_consensus.text_at(root, blocks, "body>div.a") == f"Title\n{LONG.strip()}" or html_consensus.text_at(root, blocks, "body>div.a").endswith(LONG.strip())
+    assert html_consensus.text_at(root, blocks, "body>div.b") == f"Title\n{LONG.strip()}"

@@ -26,7 +26,7 @@ RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "
 DROPPED = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset", "option", "datalist"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr",
+    "ad", "ads", "advert", "adverts", "advertisement", "adbox", "adsbygoogle", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr",
     "notice", "notices", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "paywall", "sidebar", "sidenav", "rail", "menu", "nav", "navbar", "navigation",
     "breadcrumb", "breadcrumbs", "footer", "masthead", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "share", "sharing", "social", "related",
     "recommended", "recommendations", "widget", "toolbar", "pagination", "pager", "login", "signup", "signin", "search", "skip", "topbar", "alert", "disclaimer",
@@ -36,6 +36,7 @@ CONTAINERS = {"body", "div", "section", "article", "main", "td", "html"}
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "head", "option"}
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 VOID = {"hr", "br", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
+ADVERTS = {"ad", "ads", "advert", "adverts", "advertisement", "adbox", "adsbygoogle", "sponsor", "sponsored"}
 COMMENTS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}
 CONTENT = {"content", "post", "entry", "article", "story", "main"}
 NEARLY_ALL, LEAST_WORDS = 0.9, 4
@@ -44,15 +45,20 @@ HOSTS_BROADCAST = 50_000
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>""")
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HEADING = re.compile("h[1-6]$")
+_QUOTED = re.compile(r"""([\w:-]+)\s*=\s*(?:"[^"]*"|'[^']*')""")
+_HIDDEN = re.compile(r"""(?<![\w:-])hidden(?![\w:=-])|style\s*=.*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I | re.S)
 _MODIFIER = re.compile(r"^(?:no|not|has|is|with|without|hide|show)[-_]|[-_](?:enabled|disabled|active|inactive)$|^elementor-widget(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "dropped", "doubt", "chars", "linked", "real", "kids")
+    __slots__ = ("tag", "name", "parent", "dropped", "doubt", "chars", "linked", "real", "kids", "in_content", "first", "last")
 
     def __init__(self, tag: str, name: str, parent: Node | None, dropped: bool, doubt: set[str] | None = None):
         self.tag, self.name, self.parent, self.dropped, self.doubt = tag, name, parent, dropped, doubt
         self.chars, self.linked, self.real, self.kids = 0, 0, 0, []
+        #: whether it is, or lies in, an element that announces content; where its elements begin and end in page order
+        self.in_content = parent is not None and parent.in_content or tag in ("article", "main") or bool(CONTENT & set(re.split(r"[^a-z]+", name)))
+        self.first = self.last = 0
 
 
 def _attributes(text: str) -> tuple[list[str], str, str]:
@@ -74,15 +80,25 @@ def _boiler(tag: str, attributes: str, parent: Node | None) -> tuple[str, bool,
         return name, False, set()
     words = {w for c in [*classes, ident] for w in _words(c)}
     dropped, doubt = tag in DROPPED or role in ROLES, words & WORDS
-    if (tag == "header" or "header" in words) and not dropped and not _HEADING.match(tag):
-        at = parent
-        while at is not None and at.tag not in ("article", "main") and not CONTENT & set(re.split(r"[^a-z]+", at.name)):
-            at = at.parent
-        if at is None and tag == "header":
+    if (tag == "header" or "header" in words) and not dropped and not _HEADING.match(tag) and not (parent is not None and parent.in_content):
+        if tag == "header":
             dropped = True
-        elif at is None:
+        else:
             doubt = doubt | {"header"}
-    return name, dropped, doubt
+    return name, dropped or _hidden(attributes), doubt
+
+
+def _hidden(attributes: str) -> bool:
+    """Whether a browser would not show the element."""
+    return bool(attributes) and _HIDDEN.search(_QUOTED.sub(lambda m: m[0] if m[1].lower() == "style" else m[1], attributes)) is not None
+
+
+def _aside(attributes: str) -> bool:
+    """Whether an element within a line is an advert or not shown."""
+    if not attributes:
+        return False
+    classes, ident, _ = _attributes(attributes)
+    return _hidden(attributes) or any(_words(c) & ADVERTS for c in [*classes, ident])
 
 
 def _settle(root: Node) -> None:
@@ -91,28 +107,27 @@ def _settle(root: Node) -> None:
     Such an element stays if it holds a main, the only h1 or all articles, or at least half of the unlinked text while
     no main or article is elsewhere alone; comments only with the main or the only h1, or where nothing else is marked.
     """
-    order, todo, doubted = [], [root], False
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        doubted = doubted or bool(node.doubt)
-        todo += reversed(node.kids)
-    if not doubted:
+    order = _in_order(root)
+    if not any(n.doubt for n in order):
         return
-    sums = _totals(root, _unlinked)
-    marks = [n for n in order if n.tag in ("main", "article", "h1") and not n.dropped and sums[id(n)]]
-    titles = [n for n in marks if n.tag == "h1"]
+    sums = _totals(order, _unlinked)
+    # marks by kind that begin before each place in page order: what a node holds is a difference of two
+    held = {kind: [0] for kind in ("main", "article", "h1")}
+    for n in order:
+        marked = n.tag in held and not n.dropped and sums[n.first] > 0
+        for kind, counts in held.items():
+            counts.append(counts[-1] + (marked and n.tag == kind))
+    mains, articles, titles = (counts[-1] for counts in held.values())
 
     def stays(node: Node) -> bool:
-        held = [n for n in marks if _below(n, node)]
-        if any(n.tag == "main" for n in held) or len(titles) == 1 and titles[0] in held:
+        main, article, title = (counts[node.last] - counts[node.first] for counts in held.values())
+        if main or titles == 1 and title:
             return True
-        if node.doubt & COMMENTS and len(held) < len(marks):
+        if node.doubt & COMMENTS and main + article + title < mains + articles + titles:
             return False
-        texts = [n for n in held if n.tag != "h1"]
-        if texts and len(texts) == len(marks) - len(titles):
+        if article and article == mains + articles:
             return True
-        return 2 * sums[id(node)] >= sums[id(root)] > 0 and (bool(texts) or len(marks) == len(titles))
+        return 2 * sums[node.first] >= sums[0] > 0 and (article > 0 or not mains + articles)
 
     for node in order:
         if node.parent is not None and node.parent.dropped or node.doubt and not node.dropped and not stays(node):
@@ -122,13 +137,23 @@ def _settle(root: Node) -> None:
             node.chars = node.linked = node.real = 0
 
 
+def _closing(page: str, tag: str, at: int) -> int | None:
+    """Where an element within a line ends whose content begins at `at`; nothing if it never does."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.end()
+    return None
+
+
 def scan(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The root and the text blocks (block's node, text) in page order; boilerplate's text is left out."""
     root = Node("html", "html", None, False)
     stack, blocks, held = [root], [], []
     open_tags: dict[str, int] = {}
     links, linked, at, size = 0, 0, 0, len(page)
-    lower, quotes = None, True
+    lower, quotes, open_ended = None, True, set()
 
     def flush() -> None:
         nonlocal linked
@@ -140,7 +165,7 @@ def scan(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 blocks.append((node, text))
                 node.chars += len(text)
                 node.linked += min(linked, len(text))
-                node.real += 2 * linked < len(text) and (node.tag == "h1" or not _HEADING.match(node.tag) and (text[-1] in ".!?…:" or text.count(" ") >= LEAST_WORDS - 1))
+                node.real += 2 * linked < len(text) and (node.tag in ("h1", "p") or not _HEADING.match(node.tag) and (text[-1] in ".!?…:" or text.count(" ") >= LEAST_WORDS - 1))
             linked = 0
 
     def pop() -> None:
@@ -210,7 +235,15 @@ def scan(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         if tag == "a":
             links += 1
             continue
-        if tag in VOID and tag != "hr" or tag not in BLOCKS:
+        if tag in VOID and tag != "hr":
+            continue
+        if tag not in BLOCKS:
+            if tag not in open_ended and not m[3].endswith("/") and _aside(m[3]):
+                end = _closing(page, tag, at)
+                if end is None:
+                    open_ended.add(tag)
+                else:
+                    at = end
             continue
         flush()
         if tag == "html" or tag == "body" and open_tags.get("body", 0) > 0:
@@ -244,16 +277,25 @@ def path_of(node: Node) -> str:
     return ">".join(reversed(names))
 
 
-def _totals(root: Node, own) -> dict[int, int]:
-    """The sum of own(node) under each node."""
+def _in_order(root: Node) -> list[Node]:
+    """All nodes in page order; each learns its place, and where the nodes under it end."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
+        node.first = len(order)
         order.append(node)
-        todo += node.kids
-    sums: dict[int, int] = {}
+        todo += reversed(node.kids)
     for node in reversed(order):
-        sums[id(node)] = own(node) + sum(sums[id(k)] for k in node.kids)
+        node.last = node.kids[-1].last if node.kids else node.first + 1
+    return order
+
+
+def _totals(order: list[Node], own) -> list[int]:
+    """The sum of own(node) under each node, by its place in page order."""
+    sums = [own(n) for n in order]
+    for node in reversed(order):
+        if node.parent is not None:
+            sums[node.parent.first] += sums[node.first]
     return sums
 
 
@@ -261,10 +303,8 @@ def _unlinked(node: Node) -> int:
     return node.chars - node.linked
 
 
-def _below(node: Node | None, top: Node) -> bool:
-    while node is not None and node is not top:
-        node = node.parent
-    return node is top
+def _below(node: Node, top: Node) -> bool:
+    return top.first <= node.first < top.last
 
 
 def best_container(root: Node) -> Node | None:
@@ -275,64 +315,69 @@ def best_container(root: Node) -> Node | None:
     walk goes down from the scope as long as what it leaves behind has no text block: no h1, and nothing that ends
     like a sentence or has four words or more (headings and links aside).
     """
-    sums = _totals(root, _unlinked)
-    if not sums[id(root)]:
+    order = _in_order(root)
+    sums = _totals(order, _unlinked)
+    if not sums[0]:
         return None
-    articles, mains, titles, todo = [], [], [], [root]
-    while todo:
-        node = todo.pop()
-        if not node.dropped and sums[id(node)]:
+    articles, mains, titles = [], [], []
+    for node in order:
+        if not node.dropped and sums[node.first]:
             kind = {"article": articles, "main": mains, "h1": titles}.get(node.tag)
-            if kind is not None and not (node.tag == "article" and any(_below(node, a) for a in articles[-1:])):
+            if kind is not None and not (node.tag == "article" and articles and _below(node, articles[-1])):
                 kind.append(node)
-        todo += reversed(node.kids)
     scope = mains[0] if len(mains) == 1 else root
-    if 2 * sums[id(scope)] <= sums[id(root)] or any(not _below(t, scope) for t in titles):
+    if 2 * sums[scope.first] <= sums[0] or any(not _below(t, scope) for t in titles):
         scope = root
     inside = [a for a in articles if _below(a, scope)]
     if inside:
-        top = max(inside, key=lambda n: sums[id(n)])
-        titled = len(articles) == 1 and len(titles) == 1 and _below(titles[0], top) and 2 * sums[id(top)] > sums[id(scope)]
-        if titled or sums[id(top)] >= NEARLY_ALL * sums[id(scope)] and not any(t for t in titles if _below(t, scope) and not _below(t, top)):
+        top = max(inside, key=lambda n: sums[n.first])
+        titled = len(articles) == 1 and len(titles) == 1 and _below(titles[0], top) and 2 * sums[top.first] > sums[scope.first]
+        if titled or sums[top.first] >= NEARLY_ALL * sums[scope.first] and not any(t for t in titles if _below(t, scope) and not _below(t, top)):
             return top
     if scope is not root:
         return scope
-    real = _totals(root, lambda n: n.real)
-    weight = real if real[id(root)] else sums
+    real = _totals(order, lambda n: n.real)
+    weight = real if real[0] else sums
     node = root
     while True:
         inner = [k for k in node.kids if k.tag in CONTAINERS and not k.dropped]
-        top = max(inner, key=lambda k: weight[id(k)], default=None)
-        if top is None or weight[id(top)] < weight[id(node)]:
+        top = max(inner, key=lambda k: weight[k.first], default=None)
+        if top is None or weight[top.first] < weight[node.first]:
             return node
         node = top
 
 
+def _at_path(order: list[Node], path: str) -> list[bool]:
+    """For each node whether it lies at or under a node of that path: names are compared along the tree, once a node."""
+    names = path.split(">")
+    met, inside = [0] * len(order), [False] * len(order)  # how many names a node's own path agrees with; -1 once it does not
+    for i, node in enumerate(order):
+        if node.parent is None:
+            continue
+        above = node.parent.first
+        so_far = met[above]
+        met[i] = so_far + 1 if 0 <= so_far < len(names) and node.name == names[so_far] else -1
+        inside[i] = inside[above] or met[i] == len(names)
+    return inside
+
+
 def text_at(root: Node, blocks: list[tuple[Node, str]], path: str | None) -> str:
-    """The blocks under the nodes of that path, or under the page's own best container."""
-    inside: dict[int, bool] = {}
-
-    def within(node: Node, match) -> bool:
-        trail = []
-        while node is not None and id(node) not in inside:
-            if match(node):
-                inside[id(node)] = True
-                break
-            trail.append(node)
-            node = node.parent
-        found = node is not None and inside[id(node)]
-        for n in trail:
-            inside[id(n)] = found
-        return found
+    """The blocks under the nodes of that path, or under the page's own best container.
 
-    if path is not None:
-        last = path.rpartition(">")[2]
-        kept = [t for n, t in blocks if within(n, lambda x: x.name == last and path_of(x) == path)]
-        if kept:
-            return "\n".join(kept)
-    inside.clear()
+    The path is left where it has but a part of the page's text (no h1, and less than half of what the page's own
+    container has), as with a teaser in the place that other pages of the host have their article in.
+    """
     own = best_container(root)
-    return "\n".join(t for n, t in blocks if own is not None and within(n, lambda x: x is own))
+    if own is None:
+        return ""
+    mine = [(n, t) for n, t in blocks if _below(n, own)]
+    if path is not None:
+        inside = _at_path(_in_order(root), path)
+        kept = [(n, t) for n, t in blocks if inside[n.first]]
+        size = lambda found: sum(len(t) for _, t in found)
+        if kept and (any(n.tag == "h1" for n, _ in kept) or 2 * size(kept) >= size(mine)):
+            mine = kept
+    return "\n".join(t for _, t in mine)
 
 
 def _pages(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

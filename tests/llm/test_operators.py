@@ -157,11 +157,39 @@ def test_simhash_gives_the_near_rows(spark, monkeypatch):
     made = [b ^ sum(1 << i for i in r.sample(range(64), k)) for b in base for k in (0, 1, 3, 4, 8, 10, 11, 11, 11, 12, 13) for _ in range(4)] + base
     made += [base[0] ^ sum(1 << i for i in bits) for bits in ([0, 1, 2, 16, 17, 18, 32, 33, 34, 48, 49], range(11), range(53, 64), range(0, 64, 6))]
     df = spark.createDataFrame([(i, f"{m:016x}") for i, m in enumerate(made)], "doc_id long, fingerprint string")
-    got = {x.fingerprint: [tuple(n) for n in x.near] for x in simhash.near_rows(df, F.col("doc_id") % 2 == 0).collect()}
-    wanted = {f"{a:016x}": sorted(((a ^ b).bit_count(), j) for j, b in enumerate(made) if (a ^ b).bit_count() <= 11) for a in made[::2]}
+    got = {x.fingerprint: [tuple(n) for n in x.near] for x in simhash.near_prints(df, F.col("doc_id") % 2 == 0).collect()}
+    entries = {b: (made.index(b), made.count(b), f"{b:016x}") for b in made}
+    wanted = {f"{a:016x}": sorted(((a ^ b).bit_count(), *entries[b]) for b in entries if (a ^ b).bit_count() <= 11) for a in made[::2]}
     assert got == wanted
 
 
+def test_simhash_of_copies_grows_with_the_rows(spark, tmp_path):
+    docs = spark.range(64_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = simhash.op2_simhash(spark, str(tmp_path))
+    assert got.count() == 64_000
+    asked = got.where("near is not null").select("doc_id", F.size("near").alias("n"), F.col("near")[0].alias("e"), "n_within_3").collect()
+    assert len(asked) == 640 and all(r.doc_id % 100 == 0 and r.n == 1 and tuple(r.e) == (0, 0, 64_000, "0" * 16) and r.n_within_3 == 64_000 for r in asked)
+
+
+@pytest.mark.parametrize("text", ["", "one", "one two", "a b a b a b c", "Ünï ✓ x x x", " ".join(f"w{i % 37}" for i in range(500)), "ab " * 3000])
+def test_simhash_by_a_slow_vote(text):
+    import math
+    from collections import Counter
+
+    import xxhash
+
+    ones, words = (1 << 64) - 1, [xxhash.xxh3_64_intdigest(w) for w in text.split()]
+    terms = Counter(words)
+    for a, b in zip(words, words[1:]):
+        mixed = (a * 0x9E3779B97F4A7C15 + (b ^ b >> 32) * 0xC2B2AE3D27D4EB4F) & ones
+        terms[(mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 & ones] += 1
+    votes = [sum((1 + math.log(n)) * (1 if t >> bit & 1 else -1) for t, n in terms.items()) for bit in range(64)]
+    print_of = simhash.Fingerprinter()
+    got = print_of.fingerprint(print_of.words(text))
+    assert all(got >> bit & 1 == (v > 0) for bit, v in enumerate(votes) if abs(v) > 1e-3)
+
+
 def test_language(spark, odd, empty):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     net = language_gru.fit(language_gru.training_sample(docs, 100), steps=120)

@@ -3,10 +3,11 @@
 A text's terms are its words and pairs of neighbouring words, weighted by 1 + log(count); each term's hash votes on
 64 signed bits. The 64 bits are cut into b blocks, each the key of a table: two fingerprints within radius r differ by
 at most r / b bits in one of them, so a query that looks up every key within r / b bits of its own finds every pair. A
-pair that several tables would give is given by the first alone. Each query gets the doc_ids found and their distances.
+pair that several tables would give is given by the first alone. Each query gets the distinct fingerprints found, each with its distance, its smallest doc_id and how many rows have it.
 
 Edge cases: null or empty text has no terms and the fingerprint of zeros; equal texts share a fingerprint and are
-searched once; equal doc_ids are ordered by text; a null doc_id comes last; an empty table gives no rows.
+searched once, and any number of copies is one entry of a list; texts of any length are fingerprinted whole; equal doc_ids
+are ordered by text; a null doc_id comes last; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -181,20 +182,25 @@ def within(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks:
     return met.select("q", "p", F.bit_count(apart).alias("distance"))
 
 
-def near_rows(rows: DataFrame, queries: Column, radius: int = SEARCH_RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(fingerprint, near): for the fingerprints of the rows that are queries, (distance, doc_id) of all rows within the radius, the nearest first."""
+def near_prints(rows: DataFrame, queries: Column, radius: int = SEARCH_RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(fingerprint, near): for the fingerprints of the rows that are queries, those of all rows within the radius, the nearest first.
+
+    An entry stands for all rows that share a fingerprint: its distance, their smallest doc_id, their number and the
+    fingerprint, by which the rows themselves tell who belongs to it. So copies add to a number, not to a list.
+    """
     as_long = F.conv(F.col("fingerprint"), 16, -10).cast("long").alias("p")
-    listed = rows.groupBy("fingerprint").agg(F.collect_list(F.struct("doc_id")).alias("ids"), F.max(queries).alias("asked"))
-    prints = shared.staged(listed.select(as_long, "ids", "asked"), "distinct_prints")
+    counted = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_rows"), F.max(queries).alias("asked"))
+    prints = shared.staged(counted.select(as_long, "doc_id", "n_rows", "asked", "fingerprint"), "distinct_prints")
     found = within(prints.select("p"), prints.where("asked").select(F.col("p").alias("q")), radius, blocks)
-    near = F.transform("ids", lambda i: F.struct(F.col("distance"), i["doc_id"].alias("doc_id")))
-    lists = found.join(prints.select("p", "ids"), "p").groupBy("q").agg(F.sort_array(F.flatten(F.collect_list(near))).alias("near"))
+    entry = F.struct("distance", "doc_id", "n_rows", "fingerprint")
+    lists = found.join(prints.drop("asked"), "p").groupBy("q").agg(F.sort_array(F.collect_list(entry)).alias("near"))
     return lists.select(F.lower(F.lpad(F.hex("q"), 16, "0")).alias("fingerprint"), "near")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shared.staged(fingerprints(shared.table(spark, sf_dir, "documents").select("doc_id", "text")), "fingerprints")
     asked = F.coalesce(F.col("doc_id") % QUERY_MODULUS == 0, F.lit(False))
-    answers = rows.where(asked).select("doc_id", "fingerprint").distinct().join(near_rows(rows, asked), "fingerprint")
-    close = F.when(F.col("near").isNotNull(), F.size(F.filter("near", lambda x: x["distance"] <= RADIUS)).cast("long"))
-    return rows.join(answers, ["doc_id", "fingerprint"], "left").select(*rows.columns, close.alias("n_within_3"), "near")
+    close = F.aggregate(F.filter("near", lambda x: x["distance"] <= RADIUS), F.lit(0).cast("long"), lambda n, x: n + x["n_rows"])
+    met = rows.where(asked).join(near_prints(rows, asked), "fingerprint").select(*rows.columns, close.alias("n_within_3"), "near")
+    nothing = [F.lit(None).cast(met.schema[c].dataType).alias(c) for c in ("n_within_3", "near")]
+    return met.unionByName(rows.where(~asked).select(*rows.columns, *nothing))

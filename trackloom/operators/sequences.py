@@ -145,7 +145,7 @@ def speed_residual(track: DataFrame, pos: str = "pos", spread: str = "spread", s
 
 
 def confidence(track: DataFrame, spans: Callable[[DataFrame], DataFrame], pos: str = "pos", spread: str = "spread", gap: str = "gap") -> DataFrame:
-    """c1 from the spread's residual, c2 from the mode gap, c3 the lower of their medians in each stroke; spans(track) adds the strokes' numbers as span."""
+    """c1 from the spread's residual, c2 from the mode gap, c3 the lower of their medians in each stroke; spans(positions) adds the strokes' numbers as span."""
     clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
 
     def signals(part: DataFrame, short: bool) -> DataFrame:
@@ -154,7 +154,8 @@ def confidence(track: DataFrame, spans: Callable[[DataFrame], DataFrame], pos: s
 
     stroke = Window.partitionBy(KEY, "span")
     c3 = F.least(F.percentile("c1", F.lit(0.5)).over(stroke), F.percentile("c2", F.lit(0.5)).over(stroke))
-    return by_length(spans(track), SMOOTH, signals).withColumn("c3", c3)
+    strokes = spans(track.select(KEY, FRAME, pos)).select(KEY, FRAME, "span")
+    return by_length(track, SMOOTH, signals).join(strokes, [KEY, FRAME]).withColumn("c3", c3)
 
 
 def stretched(track: DataFrame, segment: str, pos: str = "pos", gain: float = 4.0, linear: bool = False) -> Column:

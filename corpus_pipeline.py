@@ -2,6 +2,13 @@
 
 Each stage works on all rows its predecessor kept, is written as Parquet into the shared folder and read again. All
 but the last return the columns of `documents`; the last returns the packed pieces with their ids.
+
+Edge cases, stage by stage: a null text counts as empty everywhere. quality scores an empty text like any other; exact
+dedup keeps the smallest doc_id of equal texts (a null one only if there is no other, one of rows that tie on it); near
+dedup keeps the first of each group by doc_id, then text, and every text without words; pii leaves null texts null; packing gives an
+empty text its one closing id. Repeated rows are equal texts, so one stays. Texts of any length go whole through every
+stage. An empty table gives empty stages. Further columns pass through all stages but the last, which returns its own;
+names that begin with `_` are reserved.
 """
 
 from __future__ import annotations

@@ -154,3 +154,21 @@ def test_chunked_postprocessing_blends_its_chunks(spark):
         start += chunk - overlap
     assert np.allclose(got["a"], np.clip(total / weight, 0, 1))
     assert np.allclose(got["b"], k.postprocessed(x[:100], fps)[0])
+
+
+def test_projected_slots_number_by_number(spark):
+    from trackloom.operators.projection import Projector, projected
+
+    p = Projector(R.normal(size=(3, 10)), R.normal(size=3), R.normal(size=3), R.normal(size=3), R.normal(size=(5, 2)))
+    x = R.normal(size=(4, 5, 2))
+    rows = [("a", s, t, [float(v) for v in x[s, t]]) for s in range(4) for t in (3, 0, 4, 1, 2)]
+    frame = spark.createDataFrame(rows, "video_id string, frame long, token int, e array<double>")
+    got = by_track(projected(frame, p), "e")["a"]
+    for s in range(4):
+        z = [sum(p.weight[m, 2 * t + d] * (x[s, t, d] - p.constant[t, d]) for t in range(5) for d in range(2)) + p.bias[m] for m in range(3)]
+        mean = sum(z) / 3
+        dev = math.sqrt(sum((v - mean) ** 2 for v in z) / 3 + 1e-5)
+        z = [(v - mean) / dev * p.scale[m] + p.shift[m] for m, v in enumerate(z)]
+        assert np.allclose(got[s], [v * (1 + math.erf(v / math.sqrt(2))) / 2 for v in z])
+    with pytest.raises(Exception, match="has not 5 tokens"):
+        projected(frame.where("token < 4 or frame < 3"), p).collect()

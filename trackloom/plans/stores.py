@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from pyspark.sql.window import Window
 from trackloom import staging
 from trackloom.functions import scalars as X
 from trackloom.operators import relational as R
+from trackloom.operators.projection import Projector, projected
 from trackloom.plans.catalogue import FPS, TRACK, query
-from trackloom.schema import FRAME, KEY, table, tracks
+from trackloom.schema import FRAME, KEY, frame_scores, table, tracks
 from trackloom.sources import projects, scripts
 from trackloom.sources.store import SlotStore
 
@@ -106,3 +108,13 @@ def script_pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = pair.select(KEY, "variant", F.from_json("json", f"actions {action}, axes array<struct<id:string,actions:{action}>>").alias("d"))
     lists = F.array_append(F.col("d.axes"), F.struct(F.lit("main").alias("id"), F.col("d.actions").alias("actions")))
     return read.select(KEY, "variant", F.explode(lists).alias("l")).select(KEY, "variant", F.col("l.id").alias("axis"), F.inline("l.actions"))
+
+
+@query()
+def projected_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector's four quarters as a slot's tokens, projected to eight numbers by weights that follow a rule."""
+    scores = frame_scores(spark, sf_dir)
+    tokens = scores.select(KEY, FRAME, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("logits", i * 16 + 1, 16))).alias("token", "e"))
+    at = np.arange(64)
+    rule = Projector(np.cos(np.outer(np.arange(1, 9), at) / 10) / 8, np.arange(8) / 100, 1 + np.arange(8) / 50, np.full(8, 0.01), np.sin(at).reshape(4, 16) / 10)
+    return projected(tokens, rule).select(KEY, FRAME, F.transform("e", lambda x: F.round(x, 5)).alias("e"))

@@ -172,3 +172,31 @@ def test_projected_slots_number_by_number(spark):
         assert np.allclose(got[s], [v * (1 + math.erf(v / math.sqrt(2))) / 2 for v in z])
     with pytest.raises(Exception, match="has not 5 tokens"):
         projected(frame.where("token < 4 or frame < 3"), p).collect()
+
+
+@pytest.mark.parametrize("size", [8, 32, 1000])
+def test_keyframes_in_pieces(spark, size):
+    from trackloom.operators import simplify
+
+    r = np.random.default_rng(size)
+    hold = np.r_[np.linspace(0, 1, 30), np.full(40, 1.0), np.linspace(1, 0.2, 25), np.full(3, 0.2), r.random(40)]
+    x = {"hold": hold, "flat": np.full(60, 0.5), "wave": 0.5 + 0.45 * np.sin(np.arange(150) / 5) + 0.02 * r.random(150), "steps": np.repeat(r.random(20), 5)} | {str(n): np.round(r.random(n), 2) for n in (1, 2, 3, 7, 8, 9, 40, 120)}
+    x["calm"] = np.repeat([0.1, 0.9], 30)
+    got = by_track(simplify.keyframes(tracks_of(spark, x), 30.0, size=size), "frame", "dense")
+    for key, v in x.items():
+        y = np.clip(np.rint(100 * v), 0, 100)
+        kept = k.simplified(y, 30.0)
+        assert got[key] == [(int(f), float(y[f])) for f in kept], key
+
+
+def test_knots_of_pieces_are_those_of_the_whole(spark):
+    from trackloom.operators import simplify
+
+    r = np.random.default_rng(9)
+    x = {str(i): np.repeat(r.integers(0, 101, 60), r.integers(1, 6, 60))[:150].astype(float) for i in range(8)}
+    starts = {key: np.unique(np.r_[0, len(v) - 1, r.integers(0, len(v), 40)]) for key, v in x.items()}
+    dense = tracks_of(spark, x).withColumnRenamed("pos", "y")
+    first = spark.createDataFrame([(key, int(f)) for key, fs in starts.items() for f in fs], "video_id string, frame long")
+    for size in (1, 4, 25):
+        got = by_track(simplify.refined(dense, first, size=size), "frame")
+        assert all(got[key] == k.refine(v, starts[key]).tolist() for key, v in x.items())

@@ -11,23 +11,12 @@ from pyspark.sql.window import Window
 from trackloom.functions import kernels
 from trackloom.functions.scalars import quantised
 from trackloom.operators import filters, turns
+from trackloom.operators.simplify import keyframes as keyframes  # noqa: PLC0414
 from trackloom.schema import FRAME, KEY, rows, whole
 
 CHUNK_SECONDS, OVERLAP_SECONDS = 300.0, 2.0
 
 
-def _per_track(track: DataFrame, column: str, schema: str, make) -> DataFrame:
-    """make(frames, values) -> columns, for each track in order of frame."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(FRAME)
-        out = pd.DataFrame(make(part[FRAME].to_numpy(), part[column].to_numpy(np.float64)))
-        out.insert(0, KEY, part[KEY].iloc[0])
-        return out
-
-    return track.select(KEY, FRAME, column).groupBy(KEY).applyInPandas(run, f"{KEY} string, {schema}")
-
-
 def filtered(track: DataFrame, kind: str, fps: float, pos: str = "pos") -> DataFrame:
     """(video_id, frame, value): lowpass, gaussian, or savgol with its window shrunk to the track."""
     if kind == "lowpass":
@@ -52,17 +41,6 @@ def troughs(track: DataFrame, fps: float, seconds: float = 0.15, pos: str = "pos
     return turns.turns(track, fps, prominence, seconds, pos, signs=(-1,))
 
 
-def keyframes(track: DataFrame, fps: float, pos: str = "pos") -> DataFrame:
-    """(video_id, frame, dense) of the frames that the simplification keeps."""
-    dense = track.withColumn("dense", quantised(F.col(pos)).cast("double"))
-
-    def keep(f: np.ndarray, y: np.ndarray) -> dict:
-        k = kernels.simplified(y, fps)
-        return {FRAME: f[k], "dense": y[k]}
-
-    return _per_track(dense, "dense", f"{FRAME} long, dense double", keep)
-
-
 def reconstruction(track: DataFrame, kept: DataFrame, pos: str = "pos") -> DataFrame:
     """A row a track: raw and kept counts, kept share, and mean, 95th percentile and maximum of the error of the monotone cubic and of straight lines through the kept frames, rounded half to even.
 

@@ -92,13 +92,15 @@ def _maxima(frames: np.ndarray, x: np.ndarray, carry: np.ndarray, prominence: fl
     return where, level[at], enough
 
 
-def maxima(track: DataFrame, column: str, prominence: float | None, signs: tuple[int, ...] = (1, -1), single: bool = False, size: int = C.CHUNK_FRAMES) -> DataFrame:
-    """(video_id, sign, frame, height, enough): the maxima of sign * column; `single` looks at it in single precision. Values are numbers, frames consecutive."""
-    least = prominence or 0.0
+def maxima(track: DataFrame, column: str, prominence: float | str | None, signs: tuple[int, ...] = (1, -1), single: bool = False, size: int = C.CHUNK_FRAMES) -> DataFrame:
+    """(video_id, sign, frame, height, enough): the maxima of sign * column; `single` looks at it in single precision. Values are numbers, frames consecutive. The prominence is a number, or a column that has each track's own."""
+    own = [prominence] if isinstance(prominence, str) else []
+    fixed = 0.0 if own else prominence or 0.0
     of = (lambda v: v.astype(np.float32).astype(np.float64)) if single else (lambda v: v)
 
-    def finish(frames: np.ndarray, values: np.ndarray, carry: np.ndarray) -> dict:
-        x, found = of(values), []
+    def finish(frames: np.ndarray, values: np.ndarray, *rest: np.ndarray) -> dict:
+        x, found, carry = of(values), [], rest[-1]
+        least = float(rest[0][0]) if own else fixed
         for sign in signs:
             turned = carry * [sign, 1, 1, sign, 1, 1, 1, 1]
             sides = carry[[4, 5]] if sign > 0 else carry[[6, 7]]
@@ -106,7 +108,7 @@ def maxima(track: DataFrame, column: str, prominence: float | None, signs: tuple
             found.append((np.full(len(where), sign), where, height, enough))
         return dict(zip(("sign", FRAME, "height", "enough"), map(np.concatenate, zip(*found, strict=True)), strict=True))
 
-    return C.scan(C.packed(track, [column], size), [FRAME, column], lambda f, v: _summary(of(v), least), _carries, finish, {"sign": "int", FRAME: "long", "height": "double", "enough": "boolean"})
+    return C.scan(C.packed(track, [column, *own], size), [FRAME, column, *own], lambda f, v, *p: _summary(of(v), float(p[0][0]) if own else fixed), _carries, finish, {"sign": "int", FRAME: "long", "height": "double", "enough": "boolean"})
 
 
 def decided(frames: np.ndarray, heights: np.ndarray, known: np.ndarray, distance: int, low: float, high: float) -> np.ndarray:
@@ -152,7 +154,7 @@ def thinned(found: DataFrame, distance: int, size: int = C.CHUNK_FRAMES) -> Data
             return state.where(F.col("state") == _KEPT).drop("state")
 
 
-def turns(track: DataFrame, fps: float, prominence: float | None, seconds: float, column: str = "pos", signs: tuple[int, ...] = (1, -1), single: bool = True, size: int = C.CHUNK_FRAMES) -> DataFrame:
+def turns(track: DataFrame, fps: float, prominence: float | str | None, seconds: float, column: str = "pos", signs: tuple[int, ...] = (1, -1), single: bool = True, size: int = C.CHUNK_FRAMES) -> DataFrame:
     """(video_id, frame) of the peaks (sign 1) and troughs (-1), prominent and far enough apart."""
     return thinned(maxima(track, column, prominence, signs, single, size), max(1, round(max(0.0, seconds) * fps)), size).where("enough").select(KEY, FRAME).distinct()
 

@@ -381,7 +381,40 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.normalised(t, near.where("pos < b and pos < a and pos < 0.2"), FPS).withColumn("value", _r(F.col("value"), 6))
 
 
-@query()
+# keyframes: turning points of the smoothed track, then rounds in which every part between stretches without inner frames gets the knot it would get next, then the device's rules
+KEYED = RECURSIVE + """, d AS (SELECT video_id, frame, least(greatest(round_even(pos * 100, 0), 0), 100) AS y FROM track),
+nn AS (SELECT video_id, count(*) AS n, max(frame) - 4 AS last, 0.1::DOUBLE * greatest(quantile_cont(y, 0.95) - quantile_cont(y, 0.05), 1e-6) AS least FROM d GROUP BY 1),
+ss AS (SELECT d.video_id, d.frame, greatest(0, least(nn.last, d.frame - 2)) AS start FROM d JOIN nn USING (video_id)),
+sp AS (SELECT ss.video_id, ss.frame, ss.frame - ss.start - 2 AS o, d.frame - ss.start - 2 AS k, d.y FROM ss JOIN d ON d.video_id = ss.video_id AND d.frame BETWEEN ss.start AND ss.start + 4),
+sm AS (SELECT video_id, frame, round(avg(y) + o * sum(k * y) / sum(k * k) + (o * o - 2) * sum((k * k - 2) * y) / sum((k * k - 2) * (k * k - 2)), 9) AS x FROM sp GROUP BY video_id, frame, o)""" + TURNS.format(distance=6, where="x - greatest(ml, mr) >= (SELECT least FROM nn WHERE nn.video_id = ba.video_id)").replace("pos::FLOAT::DOUBLE AS x FROM track", "x FROM sm").replace("-(pos::FLOAT::DOUBLE) FROM track", "-x FROM sm") + """, g AS (SELECT d.video_id, 0 AS step, list_sort(list_distinct(list(t.frame) FILTER (t.frame IS NOT NULL) || [0::BIGINT, max(d.frame)])) AS knots, false AS done FROM d LEFT JOIN turn t ON t.video_id = d.video_id AND t.frame = d.frame GROUP BY 1
+UNION ALL
+SELECT video_id, step, CASE WHEN frames IS NULL THEN knots ELSE list_sort(knots || frames) END, frames IS NULL FROM (
+ WITH kn AS (SELECT video_id, unnest(knots) AS x FROM g WHERE NOT done),
+ k AS (SELECT kn.video_id, x, y AS v, lead(x) OVER w - x AS h, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS d FROM kn JOIN d ON d.video_id = kn.video_id AND d.frame = kn.x WINDOW w AS (PARTITION BY kn.video_id ORDER BY x)),
+ n AS (SELECT *, lag(h) OVER w AS g0, lag(d) OVER w AS c, lag(h, 2) OVER w AS gg, lag(d, 2) OVER w AS cc, lead(h) OVER w AS hh, lead(d) OVER w AS dd, lead(v) OVER w AS v1, sum((h = 1)::INT) OVER w AS part FROM k WINDOW w AS (PARTITION BY video_id ORDER BY x)),
+ r AS (SELECT *, CASE WHEN c IS NULL THEN ((2 * h + hh) * d - h * dd) / (h + hh) ELSE ((2 * g0 + gg) * c - g0 * cc) / (g0 + gg) END AS s, CASE WHEN c IS NULL THEN d ELSE c END AS d0, CASE WHEN c IS NULL THEN dd ELSE cc END AS d1 FROM n),
+ m AS (SELECT *, CASE WHEN c IS NOT NULL AND d IS NOT NULL THEN CASE WHEN c * d > 0 THEN (g0 + 2 * h + (2 * g0 + h)) / ((2 * g0 + h) / d + (g0 + 2 * h) / c) ELSE 0 END WHEN d1 IS NULL THEN d0 WHEN s * d0 <= 0 THEN 0 WHEN d0 * d1 <= 0 AND abs(s) > 3 * abs(d0) THEN 3 * d0 ELSE s END AS m FROM r),
+ z AS (SELECT *, lead(m) OVER (PARTITION BY video_id ORDER BY x) AS m1 FROM m),
+ f AS (SELECT z.video_id, z.part, d.frame, d.y, z.v, z.v1, z.m, z.m1, z.h, (d.frame - x) / h::DOUBLE AS t, 1 - (d.frame - x) / h::DOUBLE AS r FROM z JOIN d ON d.video_id = z.video_id AND d.frame > z.x AND d.frame < z.x + z.h),
+ w AS (SELECT video_id, part, frame, abs(v * (1 + 2 * t) * r * r + m * h * t * r * r + v1 * t * t * (3 - 2 * t) - m1 * h * t * t * r - y) AS e FROM f),
+ b AS (SELECT video_id, part, max(e) AS e FROM w GROUP BY 1, 2 HAVING max(e) > 3),
+ o AS (SELECT w.video_id, w.part, min(frame) AS frame FROM w JOIN b ON b.video_id = w.video_id AND b.part = w.part AND b.e = w.e GROUP BY 1, 2),
+ p AS (SELECT video_id, list(frame) AS frames FROM o GROUP BY 1)
+ SELECT g.video_id, g.step + 1 AS step, g.knots, p.frames FROM g LEFT JOIN p USING (video_id) WHERE NOT g.done) q),
+a0 AS (SELECT video_id, 0 AS step, knots AS pts, false AS still FROM g WHERE done UNION ALL
+  SELECT video_id, step + 1, CASE WHEN gone IS NULL THEN pts ELSE list_filter(pts, lambda p: p <> gone) END, gone IS NULL FROM (
+    WITH u AS (SELECT a0.video_id, unnest(pts) AS p FROM a0 WHERE NOT still),
+    v AS (SELECT u.video_id, p, y, lag(y) OVER w AS b, lead(y) OVER w AS a FROM u JOIN d ON d.video_id = u.video_id AND d.frame = u.p WINDOW w AS (PARTITION BY u.video_id ORDER BY p)),
+    f AS (SELECT video_id, min(p) AS gone FROM v WHERE abs(y - b) < 5 AND abs(y - a) < 5 GROUP BY 1)
+    SELECT a0.video_id, a0.step, a0.pts, f.gone FROM a0 LEFT JOIN f USING (video_id) WHERE NOT a0.still) q),
+pt AS (SELECT a.video_id, a.p, d.y, row_number() OVER (PARTITION BY a.video_id ORDER BY p) AS k, count(*) OVER (PARTITION BY a.video_id) AS n FROM (SELECT video_id, unnest(pts) AS p FROM a0 WHERE still) a JOIN d ON d.video_id = a.video_id AND d.frame = a.p),
+sg AS (SELECT x.video_id, 2::BIGINT AS k, x.p AS p0, x.y AS y0, z.p AS p1, z.y AS y1, [x.p] AS kept, x.n FROM pt x JOIN pt z ON z.video_id = x.video_id AND x.k = 1 AND z.k = 2 UNION ALL
+  SELECT sg.video_id, pt.k, CASE WHEN pt.p - p1 >= 1.65 THEN p1 ELSE p0 END, CASE WHEN pt.p - p1 >= 1.65 THEN y1 ELSE y0 END, CASE WHEN pt.p - p1 >= 1.65 OR abs(pt.y - y0) >= abs(y1 - y0) THEN pt.p ELSE p1 END,
+    CASE WHEN pt.p - p1 >= 1.65 OR abs(pt.y - y0) >= abs(y1 - y0) THEN pt.y ELSE y1 END, CASE WHEN pt.p - p1 >= 1.65 THEN list_append(kept, p1) ELSE kept END, sg.n FROM sg JOIN pt ON pt.video_id = sg.video_id AND pt.k = sg.k + 1)
+SELECT e.video_id, e.frame, d.y AS dense FROM (SELECT DISTINCT sg.video_id, unnest(kept || [p1, (SELECT max(frame) FROM d WHERE d.video_id = sg.video_id)]) AS frame FROM sg WHERE k = n) e JOIN d ON d.video_id = e.video_id AND d.frame = e.frame"""
+
+
+@query(KEYED)
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.keyframes(tracks(spark, sf_dir), FPS)
 
@@ -419,7 +452,7 @@ def gaussian_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.filtered(tracks(spark, sf_dir), "gaussian", FPS).withColumn("value", _r(F.col("value"), 6))
 
 
-@query()
+@query(KNOTS.replace(", d AS (", ", kf AS (" + KEYED + "), d AS (", 1).replace("WHERE frame % 10 = 0 OR frame = top", "WHERE EXISTS (FROM kf WHERE kf.video_id = d.video_id AND kf.frame = d.frame)"))
 def reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tracks(spark, sf_dir)
     return K.reconstruction(t, K.keyframes(t, FPS))
@@ -472,13 +505,13 @@ for _new, _old in (("turning_spans", stroke_spans), ("turning_confidence", confi
     QUERIES[_new], ORACLES[_new] = _old, ORACLES[_old.__name__]
 
 
-@query()
+@query("SELECT video_id, '{\"version\":\"1.0\",\"inverted\":false,\"range\":100,\"actions\":[' || string_agg('{\"at\":' || CAST(round_even(frame / 30.0::DOUBLE * 1000, 0) AS BIGINT) || ',\"pos\":' || dense::INT || '}', ',' ORDER BY frame) || ']}' AS json FROM (" + KEYED + ") GROUP BY 1")
 def script_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = K.keyframes(tracks(spark, sf_dir), FPS)
     return scripts.script_json(kept.select(KEY, X.at_ms(F.col(FRAME) / FPS).alias("at"), F.col("dense").cast("int").alias("pos")))
 
 
-@query()
+@query("SELECT video_id, (CAST(round_even(frame / 30.0::DOUBLE * 1000, 0) AS BIGINT) / 1000.0::DOUBLE)::FLOAT AS seconds, dense::INT AS pos FROM (" + KEYED + ")")
 def packed_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = K.keyframes(tracks(spark, sf_dir), FPS)
     return scripts.unpacked_scripts(scripts.packed_scripts(kept.select(KEY, X.at_ms(F.col(FRAME) / FPS).alias("at"), F.col("dense").cast("int").alias("pos"))))

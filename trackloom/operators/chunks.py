@@ -80,3 +80,23 @@ def scan(chunks: DataFrame, columns: list[str], summarise: Callable, fold: Calla
     summaries = each(chunks, columns, lambda *a: {"summary": summarise(*a)}, {"summary": "array<double>"}, rows=False)
     met = chunks.join(folded(summaries, fold), [KEY, "chunk"])
     return each(met, [*columns, "carry"], finish, kinds, rows)
+
+
+def by_size(track: DataFrame, size: int, short: Callable[[DataFrame], DataFrame], long: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """short(rows) for the tracks that one chunk holds, which one call a track does, and long(rows), a scan, for the others. Both give the same."""
+    keys = track.groupBy(KEY).agg(F.count("*").alias("n")).where(F.col("n") > size).select(KEY)
+    if keys.isEmpty():
+        return short(track)
+    return short(track.join(keys, KEY, "left_anti")).unionByName(long(track.join(keys, KEY, "left_semi")))
+
+
+def each_track(track: DataFrame, columns: list[str], schema: str, make: Callable[..., dict]) -> DataFrame:
+    """make(frames, *arrays) -> columns, for each whole track in order of frame: for tracks of at most a chunk."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(FRAME)
+        out = pd.DataFrame(make(part[FRAME].to_numpy(), *(part[c].to_numpy(np.float64) for c in columns)))
+        out.insert(0, KEY, part[KEY].iloc[0])
+        return out
+
+    return track.select(KEY, FRAME, *columns).groupBy(KEY).applyInPandas(run, f"{KEY} string, {schema}")

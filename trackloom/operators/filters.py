@@ -50,6 +50,14 @@ def lowpass(track: DataFrame, fps: float, column: str = "pos", cutoff: float = 8
     The filter is linear, so a chunk's end state is a matrix power of its entry state plus what it adds from rest. Two
     scans over chunks, one a direction, give every chunk its entry states.
     """
+
+    def short(rows: DataFrame) -> DataFrame:
+        return C.each_track(rows, [column], f"{FRAME} long, value double", lambda f, x: {FRAME: f, "value": kernels.lowpass(kernels.fill_bad(x), fps, cutoff)})
+
+    return C.by_size(track, size, short, lambda rows: _lowpass_scan(rows, fps, column, cutoff, size))
+
+
+def _lowpass_scan(track: DataFrame, fps: float, column: str, cutoff: float, size: int) -> DataFrame:
     filter_ = kernels.Biquad(fps, cutoff)
     whole = filled(C.packed(track, [column], size), column)
 

@@ -66,14 +66,19 @@ def keyframes(track: DataFrame, fps: float, pos: str = "pos", size: int = C.CHUN
     What is left to one task a track is the device's pass over the knots.
     """
     dense = track.select(KEY, FRAME, quantised(F.col(pos)).cast("double").alias("y"))
-    lengths = dense.groupBy(KEY).agg(F.count("*").alias("n"))
-    long, short = (dense.join(lengths.where(c), KEY, "left_semi") for c in (F.col("n") >= LEAST_FRAMES, F.col("n") < LEAST_FRAMES))
+
+    def whole(frames: np.ndarray, y: np.ndarray) -> dict:
+        k = kernels.simplified(y, fps, LEAST_FRAMES)
+        return {FRAME: frames[k], "y": y[k]}
 
     def device(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(FRAME, ignore_index=True)
         values = dict(zip(part[FRAME].tolist(), part["y"].tolist(), strict=True))
         return part[part[FRAME].isin(kernels.device_points(values, part[FRAME].to_numpy(), fps))]
 
-    knots = refined(long, seeds(long, fps, size), size=size)
-    kept = knots.groupBy(KEY).applyInPandas(device, f"{KEY} string, {FRAME} long, y double")
-    return kept.unionByName(short).withColumnRenamed("y", "dense")
+    def long(rows: DataFrame) -> DataFrame:
+        knots = refined(rows, seeds(rows, fps, size), size=size)
+        return knots.groupBy(KEY).applyInPandas(device, f"{KEY} string, {FRAME} long, y double")
+
+    kept = C.by_size(dense, max(size, LEAST_FRAMES), lambda rows: C.each_track(rows, ["y"], f"{FRAME} long, y double", whole), long)
+    return kept.withColumnRenamed("y", "dense")

@@ -156,7 +156,20 @@ def thinned(found: DataFrame, distance: int, size: int = C.CHUNK_FRAMES) -> Data
 
 def turns(track: DataFrame, fps: float, prominence: float | str | None, seconds: float, column: str = "pos", signs: tuple[int, ...] = (1, -1), single: bool = True, size: int = C.CHUNK_FRAMES) -> DataFrame:
     """(video_id, frame) of the peaks (sign 1) and troughs (-1), prominent and far enough apart."""
-    return thinned(maxima(track, column, prominence, signs, single, size), max(1, round(max(0.0, seconds) * fps)), size).where("enough").select(KEY, FRAME).distinct()
+    distance = max(1, round(max(0.0, seconds) * fps))
+    own = [prominence] if isinstance(prominence, str) else []
+
+    def whole(frames: np.ndarray, x: np.ndarray, *least: np.ndarray) -> dict:
+        x, bound = x.astype(np.float32 if single else np.float64), float(least[0][0]) if own else prominence
+        return {FRAME: np.unique(np.concatenate([frames[kernels.find_peaks(sign * x.astype(np.float64), distance, bound)] for sign in signs]))}
+
+    def short(rows: DataFrame) -> DataFrame:
+        return C.each_track(rows, [column, *own], f"{FRAME} long", whole)
+
+    def long(rows: DataFrame) -> DataFrame:
+        return thinned(maxima(rows, column, prominence, signs, single, size), distance, size).where("enough").select(KEY, FRAME).distinct()
+
+    return C.by_size(track, size, short, long)
 
 
 def numbered(track: DataFrame, starts: DataFrame, name: str = "span", size: int = C.CHUNK_FRAMES) -> DataFrame:

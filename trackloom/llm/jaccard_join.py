@@ -37,6 +37,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: bytes of texts or tokens that are worked on at a time; their hashes take some twenty times as much
+SLICE_BYTES = 1_000_000
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -154,7 +156,7 @@ def sketch(texts: DataFrame, width: int = WIDTH, bits: int = SKETCH_BITS) -> np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            for piece in byte_models.slices(batch):
+            for piece in byte_models.slices(batch, SLICE_BYTES):
                 for found in shingle_hashes(piece.column(0), width):
                     np.add.at(counts, (found >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         yield from shared.arrow_rows(_blocks(counts), _BLOCK_KINDS)
@@ -236,7 +238,7 @@ def shapes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
 
         for batch in batches:
             kinds = {"doc_id": batch.schema.field(0).type, "text_hash": pa.int64(), "n_shingles": pa.int64(), "set_key": pa.binary(), "gid": pa.int64(), "prefix": pa.list_(pa.int64()), "bits": pa.binary()}
-            for piece in byte_models.slices(batch):
+            for piece in byte_models.slices(batch, SLICE_BYTES):
                 yield from shared.arrow_rows(rows(piece), kinds)
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {field.dataType.simpleString()}, text_hash long, n_shingles long, set_key binary, gid long, prefix array<long>, bits binary")
@@ -301,7 +303,7 @@ def live_tokens(texts: DataFrame, live: DataFrame, width: int, bits: int = TABLE
                         yield key, tokens.tobytes()
 
         for batch in batches:
-            for piece in byte_models.slices(batch):
+            for piece in byte_models.slices(batch, SLICE_BYTES):
                 yield from shared.arrow_rows(rows(piece), {"set_key": pa.binary(), "tokens": pa.binary()})
 
     return texts.select("text").mapInArrow(run, "set_key binary, tokens binary")
@@ -326,7 +328,7 @@ def _prefix_rows(rows: DataFrame, met: DataFrame, bits: int = TOKEN_BITS) -> Dat
     @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in byte_models.slices(batch):
+            for piece in byte_models.slices(batch, SLICE_BYTES):
                 lists = piece.column(2)
                 tokens, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
                 keep = _hit(some.value, _places(tokens, bits))

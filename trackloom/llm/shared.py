@@ -105,7 +105,7 @@ def arrow_rows(rows: Iterator[tuple], kinds: dict[str, pa.DataType], most: int =
 
     for row in rows:
         held.append(row)
-        size += 24 + sum(len(x) for x in row if isinstance(x, (bytes, str)))
+        size += 24 + sum(len(x) if isinstance(x, (bytes, str)) else getattr(x, "nbytes", 0) for x in row)
         if size >= most:
             yield batch()
             held, size = [], 0

@@ -5,7 +5,9 @@ rarer first, the others by hash. Two sets that reach the threshold then share a
 prefix and size are one group; groups that share a prefix shingle are candidates. Groups are first compared with a
 pivot each, so that a large family of near copies becomes one component in a linear number of checks; then every pair
 of groups whose components differ is expanded to its members and verified. The sketch only sets the order, so its
-fixed size bounds the broadcast and never changes a result. Verification is exact: a parity bitmap's bound first,
+fixed size bounds the broadcast and never changes a result. Components of open shingles are told apart by 64-bit hashes of
+their labels, so that two that still have to link would be taken for one with a chance of 2^-64; texts likewise are told
+apart by a 64-bit hash where they share a doc_id. Verification is exact: a parity bitmap's bound first,
 then the sets themselves.
 
 Edge cases: null or empty text has no shingles and links with nothing; under `width` words the whole sequence is one

@@ -5,7 +5,7 @@ first, rows whose (length, prefix hash) is unique next; only the surviving group
 
 Edge cases: null counts as empty; of equal texts the smallest doc_id stays, a null doc_id only if there is no other;
 rows that tie on it all stand as kept in `groups` (they cannot be told apart), while `deduplicate` leaves one;
-an empty table gives no rows; columns of the input may have any names but those beginning with `_xd_`.
+a text of any length is hashed whole; an empty table gives no rows; columns of the input may have any names but those beginning with `_xd_`.
 """
 
 from __future__ import annotations

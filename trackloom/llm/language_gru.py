@@ -5,7 +5,9 @@ by a warm-up margin on both sides; every byte position gets label probabilities
 state, and a document's are the mean over its positions.
 
 Edge cases: null text, or text without a letter, is `und` with score 0; without any learned label all are `und`;
-rows of null lang are never learned from; ties go to the label that sorts first; an empty table gives no rows.
+rows of null lang are never learned from; of more than 256 label values the most frequent are learned, so rarer ones are
+never predicted; repeated rows are predicted alike; a text of any length is read whole, chunk by chunk; ties go to the
+label that sorts first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Bounded-space online best-fit: each lane keeps a fixed number of open bins in a
 piece into the tightest bin that holds it and, when one bin too many is open, closes the fullest.
 
 Edge cases: null or empty text gives the end id alone; repeated rows are packed once each; a null doc_id is kept;
-an empty table gives no rows; further input columns are ignored.
+a text of any length is encoded whole and cut only into pieces of full length; an empty table gives no rows; further
+input columns are ignored.
 """
 
 from __future__ import annotations

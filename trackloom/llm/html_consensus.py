@@ -6,7 +6,8 @@ is read again at its host's winning path, or at its own best container where tha
 
 Edge cases: null or empty html gives an empty text; a page whose url has no host votes with the others of that kind;
 ties between paths go to the one that sorts first; repeated pages vote once each; broken markup is closed where a
-browser would close it; an empty table gives no rows; other columns are ignored.
+browser would close it; a page of any length or depth takes linear time; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -30,10 +30,11 @@ def moving_average(x: Column, window: int = SMOOTH, short: bool = False) -> Colu
 
 
 def by_length(track: DataFrame, window: int, make: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
-    """make(rows, short) for the tracks that are shorter than the window and for the others."""
-    sized = track.withColumn("_n", F.count("*").over(whole()))
-    long, short = (make(sized.where(c).drop("_n"), s) for c, s in ((F.col("_n") >= window, False), (F.col("_n") < window, True)))
-    return long.unionByName(short)
+    """make(rows, short) for the tracks that are shorter than the window, if there are any, and for the others."""
+    short = track.groupBy(KEY).agg(F.count("*").alias("n")).where(F.col("n") < window).select(KEY)
+    if short.isEmpty():
+        return make(track, False)
+    return make(track.join(short, KEY, "left_anti"), False).unionByName(make(track.join(short, KEY, "left_semi"), True))
 
 
 def gradient(x: Column) -> Column:

@@ -387,7 +387,7 @@ def test_registered_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "conversations"):
+    for name in ("documents", "conversations", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     for name, sql in registry.ORACLES.items():
         df = registry.QUERIES[name](spark, DATA)

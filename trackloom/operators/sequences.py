@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trackloom.operators.chunks import CHUNK_FRAMES, chunk_of
 from trackloom.schema import FRAME, KEY, in_order, rows, whole
 
 # Hold gate, confidence and window constants.
@@ -78,15 +79,27 @@ def hold_gate(track: DataFrame, fps: float, threshold: float = HOLD_THRESHOLD, s
     return found.withColumn("gated", F.when(held, F.first("_median").over(island)).otherwise(F.col(pos))).drop("_median", "run")
 
 
-def linear_fill(x: Column) -> Column:
-    """Non-finite samples by linear interpolation, constant at the ends, zero if there is none."""
+def linear_fill(track: DataFrame, column: str, size: int = CHUNK_FRAMES) -> DataFrame:
+    """The track with the column's non-finite samples on the line between their finite neighbours, constant at the ends, zero if there is none.
+
+    The nearest finite samples are looked for within chunks, forwards and, in falling order, backwards; chunks have
+    the last one before them and the first one after them from a row a chunk.
+    """
+    x = F.col(column)
     ok = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
-    at = F.when(ok.isNotNull(), F.col(FRAME))
-    back, ahead = rows(None, 0), rows(0, None)
-    x0, x1 = F.last(ok, True).over(back), F.first(ok, True).over(ahead)
-    f0, f1 = F.last(at, True).over(back), F.first(at, True).over(ahead)
-    between = x0 + (x1 - x0) * (F.col(FRAME) - f0) / F.nullif(f1 - f0, F.lit(0))
-    return F.coalesce(ok, between, x0, x1, F.lit(0.0))
+    marked = track.withColumn("_c", chunk_of(FRAME, size)).withColumn("_ok", F.when(ok.isNotNull(), F.struct(F.col(FRAME).alias("f"), ok.alias("x"))))
+    chunk = Window.partitionBy(KEY).orderBy("_c")
+    later = Window.partitionBy(KEY).orderBy(F.desc("_c"))
+    ends = marked.groupBy(KEY, "_c").agg(F.min("_ok").alias("first"), F.max("_ok").alias("last"))
+    up_to = lambda c, w: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    outside = ends.select(F.col(KEY).alias("_k"), F.col("_c").alias("_d"), up_to("last", chunk).alias("_before"), up_to("first", later).alias("_after"))
+    met = marked.join(outside, F.col(KEY).eqNullSafe(F.col("_k")) & (F.col("_c") == F.col("_d")))
+    here = Window.partitionBy(KEY, "_c")
+    near = lambda order: F.last("_ok", True).over(here.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    a, b = F.coalesce(near(F.asc(FRAME)), F.col("_before")), F.coalesce(near(F.desc(FRAME)), F.col("_after"))
+    met = met.withColumn("_a", a).withColumn("_b", b)
+    between = F.col("_a.x") + (F.col("_b.x") - F.col("_a.x")) * (F.col(FRAME) - F.col("_a.f")) / F.nullif(F.col("_b.f") - F.col("_a.f"), F.lit(0))
+    return met.withColumn(column, F.coalesce("_ok.x", between, "_a.x", "_b.x", F.lit(0.0))).select(*track.columns)
 
 
 def interleave(track: DataFrame, column: str) -> DataFrame:

@@ -126,7 +126,7 @@ y AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY
 SELECT video_id, frame, round(coalesce(v, v0 + (v1 - v0) * (frame - f0) / nullif(f1 - f0, 0)::DOUBLE, v0, v1, 0), 5) AS value FROM y""")
 def linear_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = F.when(F.col(FRAME) % 7 == 0, F.lit(float("nan"))).when(F.col(FRAME) % 7 == 3, F.lit(float("inf"))).when(F.col(FRAME) % 7 == 4, F.lit(None)).otherwise(F.col("pos"))
-    return tracks(spark, sf_dir).withColumn("pos", gone).select(KEY, FRAME, _r(S.linear_fill(F.col("pos"))).alias("value"))
+    return S.linear_fill(tracks(spark, sf_dir).select(KEY, FRAME, gone.alias("pos")), "pos").select(KEY, FRAME, _r(F.col("pos")).alias("value"))
 
 
 @query(TRACK + f", n AS (SELECT *, coalesce(lead(pos) OVER {W}, pos) AS nxt FROM track) SELECT video_id, 2 * frame AS frame, pos FROM n UNION ALL SELECT video_id, 2 * frame + 1, nxt FROM n")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from trackloom.functions import kernels as k
-from trackloom.operators import sequences
+from trackloom.operators import relational, sequences
 
 R = np.random.default_rng(11)
 
@@ -17,3 +17,26 @@ def test_gaps_across_chunks(spark, size):
     got = sequences.linear_fill(spark.createDataFrame(rows, "video_id string, frame long, pos double"), "pos", size=size).orderBy("frame").collect()
     for key, x in tracks.items():
         assert np.allclose([r.pos for r in got if r.video_id == key], k.fill_bad(x), atol=1e-12)
+
+
+def test_first_cover_by_trying_all():
+    for n, m in ((0, 5), (1, 40), (7, 60), (33, 200)):
+        a, lo = R.integers(0, 50, n), R.integers(0, 60, m)
+        b, hi = a + R.integers(1, 30, n), lo + R.integers(1, 12, m)
+        wanted = [next((i for i in range(n) if a[i] <= p and b[i] >= q), -1) for p, q in zip(lo, hi, strict=True)]
+        assert relational.first_cover(lo, hi, a, b).tolist() == wanted
+
+
+def test_covers_of_all_lengths(spark):
+    """Clips from one frame to a million, starts below 0, equal spans, requests given twice."""
+    lo = R.integers(-40_000, 1_500_000, 300)
+    clips = [("x" if i % 3 else "y", f"p{R.integers(0, 90)}", int(a), int(a + 2 ** R.integers(0, 21))) for i, a in enumerate(lo - R.integers(0, 3000, 300))]
+    clips += [("x", "zero", 5, 5), (None, "none", 0, 1 << 40)]
+    asked = [("x" if i % 2 else "y", int(a), int(a + R.integers(1, 400))) for i, a in enumerate(lo)] * 2 + [(None, 1, 2), ("x", None, 3)]
+    got = relational.smallest_cover(spark.createDataFrame(asked, "id string, lo long, hi long"), spark.createDataFrame(clips, "id string, path string, clip_lo long, clip_hi long"), "id")
+    wanted = set()
+    for key, p, q in asked:
+        fits = [(d - c, path) for k_, path, c, d in clips if key is not None and p is not None and k_ == key and c <= p and d >= q]
+        wanted |= {(key, p, q, min(fits)[1], min(fits)[0])} if fits else set()
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(wanted) and set(rows) == wanted

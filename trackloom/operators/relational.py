@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -25,23 +28,67 @@ def not_under(paths: DataFrame, excluded: list[str], path: str = "path") -> Data
     return paths.where(keep)
 
 
+#: a cell has 2**CELL frames at least, and a clip stands in 2**SPREAD + 1 cells at most
+CELL, SPREAD = 13, 3
+
+
+def first_cover(lo: np.ndarray, hi: np.ndarray, clip_lo: np.ndarray, clip_hi: np.ndarray) -> np.ndarray:
+    """For each request [lo, hi) the place of the first clip that covers it, -1 where none does.
+
+    A request goes down a binary tree over the clips' places, to the first half where that holds a cover, else to the
+    second. A half holds one if, of its clips that start early enough, the latest end is late enough: a search in its
+    starts and a running maximum. So the work is near the number of requests and clips, without their pairs.
+    """
+    found = np.zeros(len(lo), np.int64)
+    if not len(clip_lo) or not len(lo):
+        return found - 1
+    starts, start = np.unique(clip_lo, return_inverse=True)
+    ends, end = np.unique(clip_hi, return_inverse=True)
+    early, late = np.searchsorted(starts, lo, "right"), np.searchsorted(ends, hi)
+    place = np.arange(len(clip_lo))
+
+    def covered(node: np.ndarray, width: int) -> np.ndarray:
+        own = place // width
+        key = own * (len(starts) + 1) + start
+        order = np.argsort(key, kind="stable")
+        latest = np.append(-1, np.maximum.accumulate((own * (len(ends) + 1) + end)[order]))
+        return latest[np.searchsorted(key[order], node * (len(starts) + 1) + early)] >= node * (len(ends) + 1) + late
+
+    width = 1 << (len(place) - 1).bit_length()
+    some = covered(found, width)
+    while width > 1:
+        width //= 2
+        found = 2 * found + ~covered(2 * found, width)
+    return np.where(some, found, -1)
+
+
 def smallest_cover(requests: DataFrame, clips: DataFrame, identity: str) -> DataFrame:
-    """For each request [lo, hi) the shortest clip that covers it, of equals the first by path; none, no row.
+    """For each distinct request [lo, hi) the shortest clip that covers it, of equals the first by path; none, no row.
 
-    A clip stands in the cells of the first level whose cells (powers of two) are no shorter than it, so in two at
-    most, however long it is. A request looks up the cell of its start on each level that its identity has; the range
-    condition is met after that equality join.
+    Requests and clips meet once, in cells of an identity's frames: a request lies in the cell of its start, a clip in
+    all that it touches. Cells of 8,192 frames serve clips of up to 65,536; longer clips stand in larger cells, by
+    powers of two, which requests look up as well only where there are such clips.
     """
     size = F.col("clip_hi") - F.col("clip_lo")
     level = F.when(size <= 1, 0).otherwise(F.length(F.bin(size - 1)))
-    levelled = clips.where(size > 0).withColumn("level", level.cast("int"))
-    cells = F.array_distinct(F.array(F.expr("shiftright(clip_lo, level)"), F.expr("shiftright(clip_hi - 1, level)")))
-    held = levelled.withColumn("cell", F.explode(cells))
-    levels = levelled.groupBy(identity).agg(F.collect_set("level").alias("levels"))
-    asked = requests.join(levels, identity).withColumn("level", F.explode("levels")).withColumn("cell", F.expr("shiftright(lo, level)")).drop("levels")
-    met = asked.join(held, [identity, "level", "cell"]).where("clip_lo <= lo and clip_hi >= hi")
-    best = F.min(F.struct((F.col("clip_hi") - F.col("clip_lo")).alias("span"), F.col("path"))).alias("best")
-    return met.groupBy(*requests.columns).agg(best).select(*requests.columns, F.col("best.path").alias("path"), F.col("best.span").alias("span"))
+    sized = clips.where(size > 0).select(F.col(identity).alias("_id"), F.greatest(F.lit(CELL), level - SPREAD).cast("int").alias("_unit"), "clip_lo", "clip_hi", size.alias("span"), "path").where("_id is not null")
+    held = sized.withColumn("_cell", F.explode(F.sequence(F.expr("shiftright(clip_lo, _unit)"), F.expr("shiftright(clip_hi - 1, _unit)"))))
+    units = sized.agg(F.collect_set("_unit").alias("_units"))
+    asked = requests.where(F.col(identity).isNotNull() & F.col("lo").isNotNull() & F.col("hi").isNotNull()).crossJoin(F.broadcast(units))
+    asked = asked.withColumn("_unit", F.explode("_units")).drop("_units").withColumn("_id", F.col(identity)).withColumn("_cell", F.expr("shiftright(lo, _unit)"))
+    keys, own = ["_id", "_unit", "_cell"], requests.columns
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right, sort_keys=[("span", "ascending"), ("path", "ascending")], null_placement="at_start"))
+        numbers = lambda t, c: t.column(c).to_numpy().astype(np.int64)
+        k = first_cover(numbers(left, "lo"), numbers(left, "hi"), numbers(right, "clip_lo"), numbers(right, "clip_hi"))
+        hit = np.flatnonzero(k >= 0)
+        of = right.take(pa.array(k[hit]))
+        return left.select(own).take(pa.array(hit)).append_column("span", of.column("span")).append_column("path", of.column("path"))
+
+    schema = StructType([*requests.schema.fields, *held.select("span", "path").schema.fields])
+    met = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(run, schema)
+    return met.groupBy(*requests.columns).agg(F.min(F.struct("span", "path")).alias("best")).select(*requests.columns, F.col("best.path").alias("path"), F.col("best.span").alias("span"))
 
 
 def with_times(track: DataFrame, times: DataFrame, fps: float, start: float = 0.0) -> DataFrame:

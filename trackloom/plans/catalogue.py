@@ -271,7 +271,7 @@ j AS (SELECT q.*, path, clip_hi - clip_lo AS span, row_number() OVER (PARTITION
 SELECT l_orderkey, l_linenumber, id, lo, hi, path, span FROM j WHERE k = 1""")
 def covering_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("id"), F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderkey").alias("clip_lo"), (F.col("o_orderkey") + 1 + F.floor(F.col("o_totalprice") / 2000)).alias("clip_hi"))
-    asked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 10).alias("id"), F.col("l_orderkey").alias("lo"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("hi")).distinct()
+    asked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 10).alias("id"), F.col("l_orderkey").alias("lo"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("hi"))
     return R.smallest_cover(asked, clips, "id")
 
 

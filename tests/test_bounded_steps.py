@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from trackloom.functions import kernels as k
-from trackloom.operators import relational, sequences
+from trackloom.operators import relational, sequences, simplify
 
 R = np.random.default_rng(11)
 
@@ -40,3 +40,41 @@ def test_covers_of_all_lengths(spark):
         wanted |= {(key, p, q, min(fits)[1], min(fits)[0])} if fits else set()
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(wanted) and set(rows) == wanted
+
+
+def _noise(n, seed):
+    r = np.random.default_rng(seed)
+    return {"noise": r.integers(0, 101, n).astype(float), "burst": np.clip(np.rint(r.exponential(50, n)), 0, 100), "wave": np.rint(50 + 45 * np.sin(np.arange(n) / 9) + r.random(n) * 8), "plateaus": np.repeat(r.integers(0, 101, n // 5 + 1), 5)[:n].astype(float)}
+
+
+@pytest.mark.parametrize(("size", "margin"), [(300, 32), (100, 3), (25, 2)])
+def test_refinement_without_calm_stretches_goes_in_pieces(spark, monkeypatch, size, margin):
+    """Noise has no calm stretch; a piece stays near a chunk unless its neighbours disagree, and the knots are those of the whole."""
+    x = _noise(1500, size)
+    dense = spark.createDataFrame([(key, i, float(v)) for key, y in x.items() for i, v in enumerate(y)], "video_id string, frame long, y double")
+    starts = {key: np.unique(np.r_[0, len(y) - 1, k.turning_points(y, 30.0, 10.0)]) for key, y in x.items()}
+    first = spark.createDataFrame([(key, int(f)) for key, fs in starts.items() for f in fs], "video_id string, frame long")
+    rounds, deal = [], simplify._refined_pieces
+    monkeypatch.setattr(simplify, "_refined_pieces", lambda own, spans, cuts, *rest: rounds.append(cuts) or deal(own, spans, cuts, *rest))
+    got = simplify.refined(dense, first, size=size, margin=margin).collect()
+    for key, y in x.items():
+        assert sorted(r.frame for r in got if r.video_id == key) == k.refine(y, starts[key]).tolist()
+    if margin == 32:
+        assert len(rounds) == 1 and rounds[0].count() == 4 * 1500 // size
+
+
+@pytest.mark.parametrize("size", [40, 200])
+def test_device_pass_in_pieces(spark, size):
+    x = _noise(1500, size + 1)
+    knots = {key: np.flatnonzero(np.random.default_rng(1).random(1500) < 0.5) for key in x}
+    rows = spark.createDataFrame([(key, int(f), float(x[key][f])) for key, fs in knots.items() for f in fs], "video_id string, frame long, y double")
+    parts = {}
+    for r in simplify.device_pieces(rows, 30.0, size).collect():
+        parts.setdefault((r.video_id, r.piece), []).append((r.frame, r.home))
+    assert max(len(v) for (key, _), v in parts.items() if key == "noise") < 3 * size
+    for key, fs in knots.items():
+        got = []
+        for (name, _), part in parts.items():
+            kept = k.device_points(x[key], np.array(sorted(f for f, _ in part)), 30.0) if name == key else []
+            got += [f for f, home in part if home and f in set(np.asarray(kept).tolist())]
+        assert sorted(got) == k.device_points(x[key], fs, 30.0).tolist()

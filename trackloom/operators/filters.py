@@ -141,14 +141,16 @@ def polynomial_window(seconds: float, fps: float) -> int:
     return max(5, round(max(0.0, seconds) * fps)) | 1
 
 
-def polynomial(track: DataFrame, window: int, column: str = "pos", shrink: bool = True, size: int = C.CHUNK_FRAMES) -> DataFrame:
+def polynomial(track: DataFrame, window: int, column: str = "pos", shrink: bool = True, size: int = C.CHUNK_FRAMES, few: bool = False) -> DataFrame:
     """(video_id, frame, value): a quadratic fitted around each sample; the ends take that of the first and last window.
 
     A track no longer than the window takes the largest odd window below the window that it holds (shrink), and stays
-    as it is where that is under 5 or without shrink.
+    as it is where that is under 5 or without shrink. `few` is for long tracks alone: their lengths, a row for more than a
+    chunk, are broadcast, so that no join deals rows by track.
     """
     half = window // 2
-    rows = track.select(KEY, FRAME, F.col(column).cast("double").alias("x")).join(_lengths(track), KEY)
+    lengths = F.broadcast(_lengths(track)) if few else _lengths(track)
+    rows = track.select(KEY, FRAME, F.col(column).cast("double").alias("x")).join(lengths, KEY)
     centre = kernels.savgol(np.eye(window), window)[half].tolist()
     long = rows.where(F.col("n") > window)
     inner = Window.partitionBy(KEY, "part").orderBy(FRAME).rowsBetween(-half, half)
@@ -167,7 +169,7 @@ def polynomial(track: DataFrame, window: int, column: str = "pos", shrink: bool
     ends = long.where((F.col(FRAME) < window) | (F.col(FRAME) >= F.col("n") - window))
     sides = ends.select("*", F.explode(F.filter(F.array(F.when(F.col(FRAME) < window, 0), F.when(F.col(FRAME) >= F.col("n") - window, 1)), lambda s: s.isNotNull())).alias("side"))
     full = by_matrix(sides, {window: kernels.savgol(np.eye(window), window)}, F.lit(window))
-    near_end = full.join(_lengths(track), KEY).where(F.when(F.col("side") == 0, F.col(FRAME) < half).otherwise(F.col(FRAME) >= F.col("n") - half)).select(KEY, FRAME, "value")
+    near_end = full.join(lengths, KEY).where(F.when(F.col("side") == 0, F.col(FRAME) < half).otherwise(F.col(FRAME) >= F.col("n") - half)).select(KEY, FRAME, "value")
     short = rows.where(F.col("n") <= window)
     fitted = {n: kernels.savgol(np.eye(n), w) for n in range(5, window + 1) if shrink and (w := n - 1 + n % 2) >= 5}
     small = by_matrix(short.where(F.col("n").isin(*fitted) if fitted else F.lit(False)).withColumn("side", F.lit(0)), fitted, F.col("n").cast("int")).drop("side")

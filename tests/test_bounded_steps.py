@@ -78,3 +78,23 @@ def test_device_pass_in_pieces(spark, size):
             kept = k.device_points(x[key], np.array(sorted(f for f, _ in part)), 30.0) if name == key else []
             got += [f for f, home in part if home and f in set(np.asarray(kept).tolist())]
         assert sorted(got) == k.device_points(x[key], fs, 30.0).tolist()
+
+
+def test_scripts_as_columns_are_those_action_by_action(spark):
+    from trackloom.sources import layout, scripts
+
+    for n in (0, 1, 127, 128, 20_000):
+        rows = [(float(np.float32(i / 30)), int(i % 101)) for i in range(n)]
+        data = layout.encode_script(rows, "a/b", "ü")
+        assert layout.encode_actions(np.array([s for s, _ in rows]), np.array([p for _, p in rows]), "a/b", "ü") == data
+        assert list(zip(*(c.tolist() for c in layout.decode_actions(data)), strict=True)) == rows
+        for cut in (data[:3], data[: len(data) // 2], data[:-1]):
+            with pytest.raises((ValueError, layout.struct.error)):
+                layout.decode_actions(cut)
+    odd = layout.block(layout.record(layout.listed(layout.block(layout.record(layout.number("f"), layout.number("h"), layout.number("I")))), layout.TEXT, layout.TEXT, layout.number("B")))
+    assert [c.tolist() for c in layout.decode_actions(odd.write(([(1.0, 5, 0)], "", "", 1)))] == [[1.0], [5]]
+    frame = spark.createDataFrame([(key, int(1000 * i / 30), i % 120 - 9) for key in "abc" for i in range(3000)], "video_id string, at long, pos int")
+    packed = scripts.packed_scripts(frame)
+    for r in packed.collect():
+        assert bytes(r.data) == layout.encode_script([(float(np.float32(int(1000 * i / 30) / 1000)), min(max(i % 120 - 9, 0), 100)) for i in range(3000)], f"{r.video_id}.funscript", r.video_id)
+    assert scripts.unpacked_scripts(packed).count() == 9000

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.schema import FRAME, KEY
-from trackloom.sources.layout import decode_script, encode_script
+from trackloom.sources.layout import decode_actions, encode_actions
 
 
 def _listed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,23 +73,35 @@ def packed_scripts(keyframes: DataFrame) -> DataFrame:
     seconds = (F.col("at") / 1000).cast("float")
     pos = F.least(F.greatest(F.col("pos"), F.lit(0)), F.lit(100))
     last = keyframes.where("at >= 0").withColumn("s", seconds).groupBy(KEY, "s").agg(F.max_by(F.struct("at", pos.alias("pos")), F.col("at")).alias("v"))
-    listed = last.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("s", F.col("v.pos").alias("pos")))).alias("rows"))
+    listed = last.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("s", F.col("v.pos").cast("int").alias("pos")))).alias("rows"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
-            yield pd.DataFrame({KEY: p[KEY], "data": [encode_script([(r["s"], r["pos"]) for r in rows], f"{k}.funscript", k) for k, rows in zip(p[KEY], p["rows"], strict=True)]})
+            keys, rows = p.column(0), p.column(1)
+            for i, key in enumerate(keys.to_pylist()):  # one script at a time, as columns
+                seconds, pos = rows.slice(i, 1).flatten().flatten()
+                data = encode_actions(seconds.to_numpy(zero_copy_only=False), pos.to_numpy(zero_copy_only=False), f"{key}.funscript", key)
+                yield pa.RecordBatch.from_arrays([keys.slice(i, 1), pa.array([data], pa.binary())], [KEY, "data"])
 
-    return listed.mapInPandas(run, f"{KEY} string, data binary")
+    return listed.select(KEY, "rows").mapInArrow(run, f"{KEY} string, data binary")
+
+
+#: actions of an output batch
+ACTION_ROWS = 1 << 17
 
 
 def unpacked_scripts(packed: DataFrame) -> DataFrame:
     """(video_id, seconds, pos) of binary scripts."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
-            yield pd.DataFrame([(k, t, pos) for k, d in zip(p[KEY], p["data"], strict=True) for t, pos in decode_script(d)[0]], columns=[KEY, "seconds", "pos"])
+            for key, data in zip(p.column(0), p.column(1), strict=True):
+                seconds, pos = decode_actions(memoryview(data.as_buffer()).tobytes())
+                for at in range(0, len(seconds), ACTION_ROWS):
+                    s, v = seconds[at : at + ACTION_ROWS], pos[at : at + ACTION_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(key, len(s)), pa.array(np.ascontiguousarray(s), pa.float32()), pa.array(v.astype(np.int32))], [KEY, "seconds", "pos"])
 
-    return packed.mapInPandas(run, f"{KEY} string, seconds float, pos int")
+    return packed.select(KEY, "data").mapInArrow(run, f"{KEY} string, seconds float, pos int")
 
 
 def list_videos(spark: SparkSession, target: str, excluded: list[str] = (), again: bool = False, pattern: str = "*.mp4") -> DataFrame:

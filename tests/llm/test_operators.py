@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.llm import bpe, chat_format, exact_dedup, html_consensus, jaccard_join, language_gru, packing, pii, quality_conv, registry, simhash, tokenizer
+from trackloom.llm import bpe, chat_format, exact_dedup, html_consensus, jaccard_join, language_gru, packing, pii, quality_conv, registry, shared, simhash, tokenizer
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, n_chars long, gid string, label int"
@@ -78,6 +78,43 @@ def test_jaccard_join_of_common_passages(spark):
     assert rows(jaccard_join.classes(spark.createDataFrame(docs, "doc_id long, text string"))) == sorted(linked(docs), key=repr)
 
 
+@pytest.fixture
+def stagings(monkeypatch):
+    """The tags of the tables that get staged, in order."""
+    tags, real = [], shared.staged
+    monkeypatch.setattr(shared, "staged", lambda df, tag: (tags.append(tag), real(df, tag))[1])
+    return tags
+
+
+def test_components_end_at_stars(spark, stagings):
+    """Stars are the result: they take no round, and repeated or turned edges and loops make no difference."""
+    stars = [(9, 1), (9, 1), (1, 9), (4, 1), (7, 2), (5, 5)]
+    assert rows(shared.components(spark.createDataFrame(stars, "a long, b long"))) == [(1, 1), (2, 2), (4, 1), (7, 2), (9, 1)]
+    assert stagings == ["edges"]
+    assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    draw = random.Random(3)
+    order = draw.sample(range(300), 300)
+    chains = [(order[i], order[i + 1]) for i in range(299) if i % 100 != 99] + [(1000 + draw.randrange(40), 1000 + draw.randrange(40)) for _ in range(30)]
+    parent = {x: x for e in chains for x in e if e[0] != e[1]}
+    for _ in parent:
+        for a, b in chains:
+            if a != b:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    assert rows(shared.components(spark.createDataFrame(chains, "a long, b long"))) == sorted(parent.items(), key=repr)
+
+
+def test_pivot_turns_only_where_many_pairs_are_open(spark, stagings, monkeypatch):
+    """60 texts around one passage, unlike but for a few: so few comparisons a row need no turn, and with turns the result is the same."""
+    passage = " ".join(f"p{i}" for i in range(44))
+    docs = [(i, f"{passage} " + " ".join(f"own{i // 2 if i < 6 else i}_{k}" for k in range(8 - (i % 2 if i < 6 else 0)))) for i in range(60)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    wanted = sorted(linked(docs), key=repr)
+    assert len({r[2] for r in wanted}) == 57
+    assert rows(jaccard_join.classes(table)) == wanted and "token_pivots" not in stagings
+    monkeypatch.setattr(jaccard_join, "PAIRS", 0)
+    assert rows(jaccard_join.classes(table)) == wanted and "token_pivots" in stagings
+
+
 def test_size_classes(spark):
     sizes = [*range(1, 400), 3**9, 4**9, 3 * 10**6, 4 * 10**6]  # in order
     for percent in (50, 75, 90, 100):

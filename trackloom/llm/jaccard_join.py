@@ -31,6 +31,8 @@ from trackloom.llm import byte_models, shared
 WIDTH, PERCENT = 5, 75
 SKETCH_BITS, BLOCK_BITS, LIGHT = 24, 16, 4
 LARGE, ROUNDS, TABLE_BITS, TOKEN_BITS = 32, 2, 22, 26
+#: comparisons a row that cost about as much as a pivot turn, which joins and exchanges every row some ten times
+PAIRS = 256
 _BLOCK_BYTES = 1 << 20
 _RNG = np.random.default_rng(51_966)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -405,6 +407,14 @@ def _open(sets: DataFrame, met: DataFrame, labels: DataFrame) -> tuple[DataFrame
     return named, found
 
 
+def _open_pairs(rows: DataFrame) -> tuple[int, int]:
+    """How many rows `_open` left, and how many pairs of groups of different labels meet at their tokens of many groups."""
+    by_label = rows.groupBy("token", "label").agg(F.count("*").alias("k"), F.max("c").alias("c"))
+    met = F.when(F.col("c") >= LARGE, F.col("k").cast("double") * (F.col("c") - F.when(F.col("label").isNull(), 1).otherwise(F.col("k"))) / 2)
+    found = by_label.agg(F.sum("k"), F.sum(met)).first()
+    return found[0] or 0, int(found[1] or 0)
+
+
 def set_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The staged rows of `shapes`, and (node, label) of the sets that link with another set, staged.
 
@@ -436,10 +446,16 @@ def set_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     # tokens that many groups still hold under different labels: compared with a pivot of the token's own, again and again
     # labels only ever merge, so a token that is closed once stays so, and each turn reads the rows the last one left
+    # a turn is a pass over all that is open: it is only worth it where more pairs are left, and while it halves them
     named = open_tokens = None
+    before = math.inf
     for turn in range(ROUNDS):
         named, open_tokens = _open(sets, met, labels)
         shared.released(met)
+        n, pairs_left = _open_pairs(open_tokens)
+        if pairs_left <= PAIRS * n or 2 * pairs_left > before:
+            break
+        before = pairs_left
         large = open_tokens.where(f"c >= {LARGE}")
         pivot = large.groupBy("token").agg(F.min(F.struct(F.xxhash64("gid", "token", F.lit(turn)).alias("h"), "gid", "label", "n")).alias("p"))
         pivot = shared.staged(pivot, "token_pivots")

@@ -120,7 +120,8 @@ def kind_of(df: DataFrame, column: str) -> str:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the undirected table (a, b): label is the smallest node reachable.
 
-    Alternates the large-star and small-star steps, each round staged, until a round changes nothing.
+    Alternates the large-star and small-star steps, each round staged, until every node stands on one side only: as a
+    leaf with one root, or as a root. As edges lead to smaller nodes, that root is the smallest node of its component.
     """
 
     def both(e: DataFrame) -> DataFrame:
@@ -130,20 +131,16 @@ def components(edges: DataFrame) -> DataFrame:
         near = both(e) if large else e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         met = near.join(low, "u")
-        if large:
-            return met.where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        if large:  # repeated edges go in the next step, which is no larger for them than twice the edges
+            return met.where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return met.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.where("u <> m").select("u", "m")).distinct()
 
-    def mark(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def roots(e: DataFrame) -> DataFrame:
+        ends = e.select(F.col("a").alias("node"), F.col("b").alias("v")).union(e.select("b", "b"))  # a root is its own
+        return ends.groupBy("node").agg(F.min("v").alias("label"), F.max("v").alias("other"))
 
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = mark(now)
-    while before[0]:
+    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    while not roots(now).where("label <> other").isEmpty():
         old, now = now, staged(star(star(now, True), False), "edges")
         released(old)
-        after = mark(now)
-        if after == before:
-            break
-        before = after
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b").distinct())
+    return roots(now).select("node", "label")

@@ -6,6 +6,7 @@ import re
 from array import array
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,37 @@ def test_pivot_turns_only_where_many_pairs_are_open(spark, stagings, monkeypatch
     assert rows(jaccard_join.classes(table)) == wanted and "token_pivots" in stagings
 
 
+def test_near_copies_of_a_family_are_compared_in_proportion(spark, monkeypatch):
+    """Copies of one text with two or four words changed: most link with the text itself only, which must be the pivot wherever its id stands."""
+    checked, real = [], jaccard_join.verify
+    monkeypatch.setattr(jaccard_join, "verify", lambda pairs, *more: (checked.append(pairs.count()), real(pairs, *more))[1])
+    draw = random.Random(0)
+    base = [f"w{i}" for i in range(150)]
+
+    def changed(i, n):
+        words = list(base)
+        for at in draw.sample(range(5, 145, 5), n):
+            words[at] = f"own{i}_{at}"
+        return " ".join(words)
+
+    docs = [(i, changed(i, 0 if i == 77 else 2 if i % 2 else 4)) for i in range(160)]
+    wanted = sorted(linked(docs), key=repr)
+    assert {r[2] for r in wanted} == {0}
+    assert rows(jaccard_join.classes(spark.createDataFrame(docs, "doc_id long, text string"))) == wanted
+    assert sum(checked) <= 2 * len(docs)
+
+
+def test_group_ids_stand_by_the_share_of_frequent_shingles():
+    tokens = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 40, dtype=np.uint64) * np.uint64(2))
+    ids = []
+    for frequent in (0, 10, 30, 40):
+        ranks = np.zeros(1 << 16, np.uint8)
+        ranks[(tokens[:frequent] >> np.uint64(48)).astype(np.int64)] = 30
+        ids.append(jaccard_join.group_id(tokens, 150, ranks))
+    assert ids == sorted(ids) and len({*ids}) == 4 and all(-(1 << 63) <= x < 1 << 63 for x in ids)
+    assert jaccard_join.group_id(tokens, 151, ranks) != ids[-1] != jaccard_join.group_id(tokens[:-1], 150, ranks)
+
+
 def test_size_classes(spark):
     sizes = [*range(1, 400), 3**9, 4**9, 3 * 10**6, 4 * 10**6]  # in order
     for percent in (50, 75, 90, 100):

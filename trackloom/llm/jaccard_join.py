@@ -2,8 +2,10 @@
 
 The shingles of a set stand in one global order: those that a corpus-wide count sketch calls frequent come last, the
 rarer first, the others by hash. Two sets that reach the threshold then share a shingle of their prefixes. Documents with the same
-prefix and size are one group; groups that share a prefix shingle are candidates. Groups are first compared with a
-pivot each, so that a large family of near copies becomes one component in a linear number of checks; then every pair
+prefix and size are one group; groups that share a prefix shingle are candidates. Groups are first compared with one
+pivot at each shingle: the group with the least share of rare shingles in its prefix, as a near copy with few edits is
+within reach of those with many, while two of many edits are not. So a large family of near copies becomes one component
+in a linear number of checks; then every pair
 of groups whose components differ is expanded to its members and verified. The sketch only sets the order, so its
 fixed size bounds the broadcast and never changes a result. Components of open shingles are told apart by 64-bit hashes of
 their labels, so that two that still have to link would be taken for one with a chance of 2^-64; texts likewise are told
@@ -183,6 +185,15 @@ def prefix(tokens: np.ndarray, ranks: np.ndarray, percent: int = PERCENT) -> np.
     return light[:size] if len(light) >= size else tokens[np.argsort(rank, kind="stable")[:size]]
 
 
+def group_id(first: np.ndarray, n: int, ranks: np.ndarray) -> int:
+    """A signed 64-bit hash of a prefix and its set's size; groups with a larger share of frequent shingles in it have larger ids, in 16 steps."""
+    import xxhash
+
+    rank = ranks[(first >> np.uint64(64 - (len(ranks).bit_length() - 1))).astype(np.int64)]
+    share = 15 * int(np.count_nonzero(rank)) // len(first)
+    return ((share << 60) | (xxhash.xxh3_64_intdigest(first, seed=n) >> 4)) - (1 << 63)
+
+
 def bitmap(tokens: np.ndarray) -> bytes:
     """Parity of the number of tokens in each of about 2n buckets."""
     bits = 1 << int(np.clip((2 * len(tokens) - 1).bit_length(), 9, 16))
@@ -220,8 +231,6 @@ def shapes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
 
     @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         ranks = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed.value), np.uint8)
         seen: set[bytes] = set()
 
@@ -233,7 +242,7 @@ def shapes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
                     continue
                 key = _set_key(tokens)
                 first = prefix(tokens, ranks, percent)
-                gid = xxhash.xxh3_64_intdigest(first, seed=len(tokens)) - (1 << 63)
+                gid = group_id(first, len(tokens), ranks)
                 if len(seen) > 100_000:
                     seen.clear()
                 new_set, new_group = key not in seen, gid not in seen
@@ -424,7 +433,7 @@ def set_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     rows = shared.staged(shapes(docs, width, percent), "shapes")
     pairs = rows.where("prefix is not null").select(F.explode("prefix").alias("token"), "gid")
     bounds = pairs.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo <> hi")
-    bounds = shared.staged(bounds, "bounds")
+    bounds = shared.staged(bounds.select("token", "hi"), "bounds")
     met = shared.staged(_prefix_rows(rows, bounds.select("token")).join(bounds.hint("merge"), "token"), "met")
     # groups that matter: those that meet another one, and those of more than one set
     several = rows.where("gid is not null").groupBy("gid").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("gid")
@@ -434,8 +443,8 @@ def set_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     sets = shared.staged(sets, "sets")
     reps = shared.staged(sets.groupBy("gid").agg(F.min("set_key").alias("rep"), F.min("n_shingles").alias("n")), "reps")
 
-    # each group with the lowest and the highest group at its shingles, each set with its group's first
-    pivots = met.select(F.col("lo").alias("p"), "gid").union(met.select("hi", "gid")).where("p <> gid").distinct()
+    # each group with the highest group at its shingles (by `group_id` the one of most frequent shingles), each set with its group's first
+    pivots = met.select(F.col("hi").alias("p"), "gid").where("p <> gid").distinct()
     pivot_reps = reps.select(F.col("gid").alias("p"), F.col("rep").alias("a"), F.col("n").alias("m"))
     chosen = pivots.join(pivot_reps.hint("merge"), "p").join(reps.hint("merge"), "gid").where(_sizes_fit("n", "m", percent)).select("a", F.col("rep").alias("b"))
     inside = sets.join(reps.select("gid", "rep").hint("merge"), "gid").where("set_key <> rep").select(F.col("rep").alias("a"), F.col("set_key").alias("b"))
@@ -457,7 +466,7 @@ def set_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
             break
         before = pairs_left
         large = open_tokens.where(f"c >= {LARGE}")
-        pivot = large.groupBy("token").agg(F.min(F.struct(F.xxhash64("gid", "token", F.lit(turn)).alias("h"), "gid", "label", "n")).alias("p"))
+        pivot = large.groupBy("token").agg(F.max(F.struct(F.shiftright("gid", 60).alias("share"), F.xxhash64("gid", "token", F.lit(turn)).alias("h"), "gid", "label", "n")).alias("p"))
         pivot = shared.staged(pivot, "token_pivots")
         asked = large.join(pivot.hint("merge"), "token").where("p.gid <> gid and (p.label is null or label is null or p.label <> label)")
         asked = asked.where(_sizes_fit("n", "p.n", percent)).select(F.col("p.gid").alias("p"), "gid").distinct()

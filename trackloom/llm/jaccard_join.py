@@ -6,8 +6,8 @@ prefix and size are one group; groups that share a prefix shingle are candidates
 pivot at each shingle: the group with the least share of rare shingles in its prefix, as a near copy with few edits is
 within reach of those with many, while two of many edits are not. So a large family around such a copy becomes one
 component in a linear number of checks; then every pair of groups whose components differ is expanded to its members and
-verified. A group's id has 60 bits of hash, so two prefixes would be taken for one with a chance of 2^-60. The sketch only sets the order, so its
-fixed size bounds the broadcast and never changes a result. Components of open shingles are told apart by 64-bit hashes of
+verified. A group's id has 60 bits of hash, so two prefixes would be taken for one with a chance of 2^-60.
+The sketch only sets the order and the pivots, so its fixed size bounds the broadcast and never changes a result. Components of open shingles are told apart by 64-bit hashes of
 their labels, so that two that still have to link would be taken for one with a chance of 2^-64; texts likewise are told
 apart by a 64-bit hash where they share a doc_id. Verification is exact: a parity bitmap's bound first,
 then the sets themselves.

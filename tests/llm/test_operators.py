@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from array import array
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from trackloom.llm import bpe, chat_format, exact_dedup, html_consensus, jaccard_join, language_gru, packing, pii, quality_conv, registry, shared, simhash, tokenizer
@@ -147,6 +150,59 @@ def test_group_ids_stand_by_the_share_of_frequent_shingles():
     assert jaccard_join.group_id(tokens, 151, ranks) != ids[-1] != jaccard_join.group_id(tokens[:-1], 150, ranks)
 
 
+class Caught:
+    """Stands in for a table, to get the function that a step runs in its tasks."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+    def repartition(self, *_):
+        raise InterruptedError
+
+
+def traced(run, batches):
+    """The blocks that a task gives, and the MB that it held at most."""
+    list(run(iter(batches)))  # what is imported on the way stays out of the figure
+    tracemalloc.start()
+    try:
+        found = [row for batch in run(iter(batches)) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        return found, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_sketch_counts_every_shingle_in_little_memory(monkeypatch):
+    texts = pa.array(["a " * 150_000, "", None, " ".join(f"w{i % 7919}" for i in range(60_000)), "a " * 20])
+    wanted = np.zeros(1 << jaccard_join.SKETCH_BITS, np.int64)
+    for found in jaccard_join.shingle_hashes(texts):
+        np.add.at(wanted, (found >> np.uint64(64 - jaccard_join.SKETCH_BITS)).astype(np.int64), 1)
+    assert wanted.max() > 1 << 17  # beyond 16 bits
+    table = Caught()
+    monkeypatch.setattr(jaccard_join, "_counted", lambda parts, bits: None)
+    jaccard_join.sketch(table)
+    found, most = traced(table.run, [pa.RecordBatch.from_arrays([texts], ["text"])])
+    got = np.zeros((256, 1 << 16), np.int64)
+    for block, part in found:
+        got[block] += np.frombuffer(zstandard.ZstdDecompressor().decompress(part), np.uint32)
+    assert (got.ravel() == wanted).all() and most < 60
+
+
+def test_bit_tables_are_marked_in_their_own_size(spark):
+    hashes = np.random.default_rng(7).integers(-(1 << 63), 1 << 63, 50_000)
+    hashes[:1000] = hashes[1000:2000]
+    table = Caught()
+    with pytest.raises(InterruptedError):
+        jaccard_join.bit_table(table, jaccard_join.TOKEN_BITS)
+    found, most = traced(table.run, [pa.RecordBatch.from_arrays([pa.array(x)], ["h"]) for x in (hashes[:700], hashes[700:], hashes[:0])])
+    wanted = np.zeros(1 << jaccard_join.TOKEN_BITS, bool)
+    wanted[(hashes.view(np.uint64) >> np.uint64(64 - jaccard_join.TOKEN_BITS)).astype(np.int64)] = True
+    assert b"".join(part for _, part in sorted(found)) == np.packbits(wanted).tobytes() and most < 40
+
+
 def test_size_classes(spark):
     sizes = [*range(1, 400), 3**9, 4**9, 3 * 10**6, 4 * 10**6]  # in order
     for percent in (50, 75, 90, 100):

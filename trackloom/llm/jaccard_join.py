@@ -35,7 +35,7 @@ SKETCH_BITS, BLOCK_BITS, LIGHT = 24, 16, 4
 LARGE, ROUNDS, TABLE_BITS, TOKEN_BITS = 32, 2, 22, 26
 #: comparisons a row that cost about as much as a pivot turn, which joins and exchanges every row some ten times
 PAIRS = 256
-_BLOCK_BYTES = 1 << 20
+_BLOCK_BYTES = 1 << 17
 _RNG = np.random.default_rng(51_966)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,7 +44,9 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: bytes of texts or tokens that are worked on at a time; their hashes take some twenty times as much
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
+#: partitions in which the tasks' blocks are summed, each block there with 8 bytes a bucket
+MERGES = 16
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -136,20 +138,34 @@ def _counted(parts: DataFrame, bits: int) -> np.ndarray:
 
     out = np.zeros(1 << bits, np.uint8)
     size = 1 << min(bits, BLOCK_BITS)
-    for row in parts.repartition(F.col("block")).mapInArrow(merge, "block int, counts binary").collect():
+    for row in parts.repartition(MERGES, F.col("block")).mapInArrow(merge, "block int, counts binary").collect():
         out[row.block * size : (row.block + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.counts)), np.uint8)
     return out
 
 
-def _blocks(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _tallied(hashes: Iterator[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
+    """Packed blocks of how many hashes fall into each bucket; a block whose 16-bit counts fill up goes out early and begins anew."""
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1)
-    size = min(len(counts), 1 << BLOCK_BITS)
-    for k in range(len(counts) // size):
-        part = counts[k * size : (k + 1) * size]
+    counts = np.zeros(1 << bits, np.uint16)
+    blocks = counts.reshape(-1, 1 << min(bits, BLOCK_BITS))
+    half = 1 << 15
+
+    def packed(part: np.ndarray) -> bytes:
+        return memoryview(pack.compress(part.astype(np.uint32).tobytes())).tobytes()  # what compress gives keeps the room of the worst case
+
+    for found in hashes:
+        for k in range(0, len(found), half):  # no count grows by more than a half at a time
+            at = (found[k : k + half] >> np.uint64(64 - bits)).astype(np.int64)
+            np.add.at(counts, at, np.uint16(1))
+            full = at[counts[at] >= half]
+            for block in np.unique(full // blocks.shape[1]).tolist() if len(full) else ():
+                yield block, packed(blocks[block])
+                blocks[block] = 0
+    for block, part in enumerate(blocks):
         if part.any():
-            yield k, pack.compress(part.tobytes())
+            yield block, packed(part)
 
 
 _BLOCK_KINDS = {"block": pa.int32(), "counts": pa.binary()}
@@ -160,12 +176,8 @@ def sketch(texts: DataFrame, width: int = WIDTH, bits: int = SKETCH_BITS) -> np.
 
     @shared.trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
-        for batch in batches:
-            for piece in byte_models.slices(batch, SLICE_BYTES):
-                for found in shingle_hashes(piece.column(0), width):
-                    np.add.at(counts, (found >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
-        yield from shared.arrow_rows(_blocks(counts), _BLOCK_KINDS)
+        hashes = (found for batch in batches for piece in byte_models.slices(batch, SLICE_BYTES) for found in shingle_hashes(piece.column(0), width))
+        yield from shared.arrow_rows(_tallied(hashes, bits), _BLOCK_KINDS)
 
     return _counted(texts.select("text").mapInArrow(run, "block int, counts binary"), bits)
 
@@ -274,10 +286,12 @@ def bit_table(hashes: DataFrame, bits: int):
 
     @shared.trimming
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.zeros(1 << bits, bool)
+        there = np.zeros(1 << bits - 3, np.uint8)
         for batch in batches:
-            there[_places(batch.column(0), bits)] = True
-        table = np.packbits(there).reshape(-1, size)
+            places = _places(batch.column(0), bits)
+            for k in range(8):  # the places of one bit set the same bit, so repeated bytes do no harm
+                there[places[places & 7 == k] >> 3] |= np.uint8(128 >> k)
+        table = there.reshape(-1, size)
         yield from shared.arrow_rows(((int(k), table[k].tobytes()) for k in np.flatnonzero(table.any(axis=1))), _BLOCK_KINDS)
 
     @shared.trimming
